@@ -25,11 +25,23 @@ _ASCII_FORMS = {
     "b": f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))",
     "s": r"[\t\n\f\r ]",
 }
+_NEVER = "(?!)"
 
 
 def ascii_pattern(pattern: str) -> str:
-    """Pattern for Spark whose word boundary and white space are ASCII only."""
-    return re.sub(r"\\(.)", lambda m: _ASCII_FORMS.get(m[1], m[0]), pattern)
+    """Pattern for Spark whose word boundary and white space are ASCII only.
+
+    Next to a digit only the other side of a boundary is open, so one look-around is enough there.
+    """
+
+    def form(found: re.Match) -> str:
+        if found[0] == r"\b" and re.match(r"\\d(?![*?]|\{0)", pattern[found.end() :]):
+            return f"(?<!{_WORD})"
+        if found[0] == r"\b" and re.search(r"(?<!\\)\\d(\{[1-9]\d*(,\d*)?\})?$", pattern[: found.start()]):
+            return f"(?!{_WORD})"
+        return _ASCII_FORMS.get(found[1], found[0])
+
+    return re.sub(r"\\(.)", form, pattern)
 
 
 def _each_text(value: Column, kind: T.DataType, path: Column, found: Callable[[Column, Column], Column], result: str):
@@ -66,10 +78,31 @@ def _over_columns(df: DataFrame, cols: Sequence[str], found: Callable[[Column, C
     return F.concat(*parts)
 
 
-def _when_needed(rule: Rule, text: Column, work: Column, result: str) -> Column:
-    """``work`` only where the text holds what every match of the rule needs."""
+def find_all(text: Column, rule: Rule) -> Column:
+    """All matches of a rule; text without what every match needs is not searched."""
     needed = F.contains(text, F.lit(rule.needs)) if rule.needs else text.isNotNull()
-    return F.when(needed, work).otherwise(F.array().cast(result))
+    values = F.regexp_extract_all(text, F.lit(ascii_pattern(rule.pattern)), F.lit(0))
+    return F.when(needed, values).otherwise(F.array().cast("array<string>"))
+
+
+def replace_all(text: Column, rules: Sequence[Rule]) -> Column:
+    """Text with every match replaced by the mask of its rule, rule after rule.
+
+    A rule is skipped when its needed text cannot be there: the text lacks it, and so
+    does the mask of every earlier rule that can have applied.
+    """
+    reachable: list[Column] = []
+    changed, any_possible = text, F.lit(False)
+    for i, rule in enumerate(rules):
+        possible = F.contains(text, F.lit(rule.needs)) if rule.needs else F.lit(True)
+        for earlier, earlier_possible in zip(rules[:i], reachable):
+            if rule.needs and rule.needs in earlier.mask and rule.needs != earlier.needs:
+                possible = possible | earlier_possible
+        reachable.append(possible)
+        any_possible = any_possible | possible
+        pattern = F.when(possible, F.lit(ascii_pattern(rule.pattern))).otherwise(F.lit(_NEVER))
+        changed = F.regexp_replace(changed, pattern, F.lit(rule.mask))
+    return F.when(any_possible, changed).otherwise(text)
 
 
 def leaves(df: DataFrame, cols: Sequence[str]) -> Column:
@@ -91,13 +124,11 @@ def matches(df: DataFrame, cols: Sequence[str], rules: Sequence[Rule] = CLINICAL
 
     def found(path: Column, text: Column) -> Column:
         def rows(rule: Rule) -> Column:
-            values = F.regexp_extract_all(text, F.lit(ascii_pattern(rule.pattern)), F.lit(0))
-
             def row(value: Column) -> Column:
                 kind, mask = F.lit(rule.type), F.lit(rule.mask)
                 return F.struct(path.alias("path"), kind.alias("type"), mask.alias("mask"), value.alias("value"))
 
-            return _when_needed(rule, text, F.transform(values, row), MATCH)
+            return F.transform(find_all(text, rule), row)
 
         return F.concat(*[rows(rule) for rule in rules])
 
@@ -121,13 +152,11 @@ def positions(df: DataFrame, cols: Sequence[str], rules: Sequence[Rule] = CLINIC
 
     def found(path: Column, text: Column) -> Column:
         def rows(rule: Rule) -> Column:
-            pattern = ascii_pattern(rule.pattern)
-            both = F.struct(
-                F.split(text, pattern, -1).alias("pieces"),
-                F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("values"),
-            )
+            def place(values: Column) -> Column:
+                both = F.struct(F.split(text, ascii_pattern(rule.pattern), -1).alias("pieces"), values.alias("values"))
+                return F.flatten(F.transform(F.array(both), starts))
 
-            def place(pair: Column) -> Column:
+            def starts(pair: Column) -> Column:
                 def one(value: Column, i: Column) -> Column:
                     start = bytes_of(pair["pieces"], i + 1) + bytes_of(pair["values"], i)
                     return F.struct(
@@ -140,7 +169,8 @@ def positions(df: DataFrame, cols: Sequence[str], rules: Sequence[Rule] = CLINIC
 
                 return F.transform(pair["values"], one)
 
-            return _when_needed(rule, text, F.flatten(F.transform(F.array(both), place)), POSITION)
+            some = F.filter(F.array(find_all(text, rule)), lambda values: F.size(values) > 0)
+            return F.flatten(F.transform(some, place))
 
         return F.concat(*[rows(rule) for rule in rules])
 
@@ -185,12 +215,10 @@ def _rebuilt(value: Column, kind: T.DataType, change: Callable[[Column], Column]
 
 
 def mask_phi(df: DataFrame, cols: Sequence[str], rules: Sequence[Rule] = CLINICAL_RULES) -> DataFrame:
-    """Replace every match in the named columns by the mask of its rule, rule after rule."""
+    """Replace every match in the named columns; types other than text stay as they are."""
 
     def masked(text: Column) -> Column:
-        for rule in rules:
-            text = F.regexp_replace(text, ascii_pattern(rule.pattern), rule.mask)
-        return text
+        return replace_all(text, rules)
 
     return df.withColumns({c: _rebuilt(F.col(c), df.schema[c].dataType, masked) for c in cols})
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vitalweave.functions import scalars as S
 from vitalweave.functions.similarity import jaro_winkler
-from vitalweave.operators.privacy import ascii_pattern
+from vitalweave.operators.privacy import find_all, replace_all
 from vitalweave.plans.registry import Tables, plan
 from vitalweave.sources.reference_data import DEFAULT_RULES
 from vitalweave.sources.tables import export_rows
@@ -97,11 +97,10 @@ def _(t: Tables):
        regexp_replace(text, '{EMAIL.pattern}', '{EMAIL.mask}', 'g') AS masked FROM documents""",
 )
 def _(t: Tables):
-    pattern = ascii_pattern(EMAIL.pattern)
     return t["documents"].select(
         "doc_id",
-        F.size(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).cast("bigint").alias("found"),
-        F.regexp_replace("text", pattern, EMAIL.mask).alias("masked"),
+        F.size(find_all(F.col("text"), EMAIL)).cast("bigint").alias("found"),
+        replace_all(F.col("text"), [EMAIL]).alias("masked"),
     )
 
 

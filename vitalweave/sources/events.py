@@ -11,14 +11,15 @@ ENVELOPE = "id string, type string, source string, data string, timestamp string
 
 
 def decode_events(df: DataFrame, value: str = "value") -> DataFrame:
-    """Envelope columns plus ``reason``, which is set for a message that does not decode."""
-    parsed = df.withColumn("_event", F.from_json(F.col(value).cast("string"), ENVELOPE))
-    reason = F.when(
-        F.col("_event").isNull() | F.col("_event.id").isNull() | F.col("_event.data").isNull(), F.lit("malformed event")
-    )
-    return parsed.select(
-        "_event.*", F.col(value).cast("string").alias("raw"), reason.alias("reason")
-    )
+    """Envelope columns plus ``reason``, which is set for a message that does not decode.
+
+    The envelope is opened by a generator: a later filter on ``reason`` stays above it,
+    so that the text is parsed once and not again inside the filter.
+    """
+    text = F.col(value).cast("string")
+    opened = df.select(text.alias("raw"), F.inline(F.array(F.from_json(text, ENVELOPE))))
+    malformed = F.col("id").isNull() | F.col("data").isNull()
+    return opened.withColumn("reason", F.when(malformed, F.lit("malformed event")))
 
 
 def read_events(spark: SparkSession, source: str, options: Mapping[str, str]) -> DataFrame:

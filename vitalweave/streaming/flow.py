@@ -62,10 +62,8 @@ def store_batch(
 ) -> None:
     """Write every table of one batch under its batch id; a replay overwrites the same folders."""
     good = requests.filter(F.col("reason").isNull())
-    hidden = tokenize(good, ["payload"], salt, rules)
-    records = normalize(hidden, catalog, allowed)
-    accepted = records.filter(F.col("reason").isNull())
-    keyed = link_deterministic(deterministic_key(accepted, link_fields), registry)
+    records = normalize(tokenize(good, ["payload"], salt, rules), catalog, allowed)
+    keyed = link_deterministic(deterministic_key(records, link_fields), registry)
     fresh = F.col("link_key").isNull()
     linked = keyed.withColumns(
         {
@@ -74,9 +72,10 @@ def store_batch(
             "method": F.when(fresh, F.lit("new")).otherwise(F.col("method")),
         }
     ).persist(StorageLevel.MEMORY_AND_DISK)
+    accepted = linked.filter(F.col("reason").isNull())
     rejected = requests.filter(F.col("reason").isNotNull()).select("id", "reason")
-    rejected = rejected.unionByName(records.filter(F.col("reason").isNotNull()).select("id", "reason"))
-    facts = linked.select(
+    rejected = rejected.unionByName(linked.filter(F.col("reason").isNotNull()).select("id", "reason"))
+    facts = accepted.select(
         "id", "master_id", "patient_id", "resource_type", "concept", "value", "unit", "timestamp",
         F.col("loinc").alias("code_loinc"), F.col("snomed").alias("code_snomed"), F.col("icd10").alias("code_icd10"),
     )
@@ -85,7 +84,7 @@ def store_batch(
         "facts": facts,
         "rollups": rollup_rows(facts),
         "features": event_features(facts),
-        "links": link_rows(linked, attributes),
+        "links": link_rows(accepted, attributes),
         "vault": vault_rows(good, ["payload"], salt, rules),
         "quarantine": rejected,
     }
