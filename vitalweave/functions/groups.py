@@ -44,22 +44,16 @@ def running_total(
 ) -> DataFrame:
     """Inclusive running sum of ``value`` per key, as column ``name``.
 
-    ``bucket`` must not decrease along ``order``. Sums run inside (key, bucket),
-    then one pre-aggregated total per bucket is carried forward, so a hot key is
-    split over its buckets and never sorted in one task.
+    ``bucket`` must not decrease along ``order``. The pre-aggregated totals of the
+    earlier buckets enter each bucket as its first row, and sums run inside (key,
+    bucket). A hot key is thus split over its buckets and never sorted in one task,
+    and the rows are shuffled once.
     """
     rows = df.withColumn("_value", value).withColumn("_bucket", bucket)
     totals = rows.groupBy(*keys, "_bucket").agg(F.sum("_value").alias("_total"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col("_bucket").alias("_k_bucket"),
-        F.coalesce(F.sum("_total").over(before), F.lit(0).cast(totals.schema["_total"].dataType)).alias("_carry"),
-    )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = rows.withColumn("_local", F.sum("_value").over(inside))
-    same = F.col("_bucket").eqNullSafe(F.col("_k_bucket"))
-    for key in keys:
-        same = same & F.col(key).eqNullSafe(F.col(f"_k_{key}"))
-    joined = local.join(carried, same, "left")
-    return joined.select(*df.columns, (F.col("_local") + F.col("_carry")).alias(name))
+    carried = totals.withColumn("_value", F.sum("_total").over(before)).drop("_total").filter("_value IS NOT NULL")
+    joined = rows.withColumn("_own", F.lit(1)).unionByName(carried.withColumn("_own", F.lit(0)), allowMissingColumns=True)
+    inside = Window.partitionBy(*keys, "_bucket").orderBy("_own", *order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = joined.withColumn("_sum", F.sum("_value").over(inside)).filter("_own = 1")
+    return summed.select(*df.columns, F.col("_sum").alias(name))

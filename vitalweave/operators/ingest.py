@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitalweave.functions.groups import latest_per_key
+from vitalweave.functions.once import evaluate_once
 from vitalweave.functions.scalars import clean_lower
 
 # Accepted sources and formats, and the retention period.
@@ -48,7 +49,7 @@ def validate_requests(
     reason = F.when(*ladder[0])
     for condition, text in ladder[1:]:
         reason = reason.when(condition, text)
-    return df.withColumn("reason", reason)
+    return evaluate_once(df, {"reason": reason})
 
 
 def latest_status(status_events: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from vitalweave.functions.groups import top_n_per_key
 from vitalweave.functions.scalars import clean, present
 from vitalweave.functions.similarity import TextBatch, best_match
+from vitalweave.session import cut_lineage
 
 THRESHOLD = 0.85
 RECENT = 100
@@ -56,24 +57,32 @@ def _tiles(rows: DataFrame, tile: int, side: str) -> tuple[DataFrame, DataFrame]
     numbered = rows.join(sizes, "_block").withColumn(
         f"_{side}_tile", F.pmod(F.xxhash64("_text"), F.col(f"_{side}_tiles")).cast("int")
     )
-    item = F.struct("_text", "_ref") if "_ref" in rows.columns else F.struct("_text")
-    grouped = numbered.groupBy("_block", f"_{side}_tile").agg(F.collect_list(item).alias(f"_{side}"))
+    # Without this exchange the grouping would reuse the partitions of the join, one per block.
+    spread = numbered.repartition("_block", f"_{side}_tile")
+    items = F.collect_list(F.struct(*[c for c in ("_text", "_ref") if c in rows.columns]))
+    grouped = spread.groupBy("_block", f"_{side}_tile").agg(items.alias(f"_{side}"))
     return grouped, sizes
 
 
 def _score_tiles(floor: float):
-    """Best registry row for each incoming text of a tile pair, in one pass over Arrow batches."""
+    """Best registry row for each incoming text of a tile pair, in one pass over Arrow batches.
+
+    Pairs with the same registry tile arrive together, so its encoding is kept for the next pair.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, refs, encoded = None, [], None
         for batch in batches:
             rows: list[tuple] = []
-            for block, incoming, registry in zip(batch["_block"], batch["_left"], batch["_right"]):
-                known = sorted(((r["_ref"], r["_text"]) for r in registry))
-                texts = TextBatch([text for _, text in known])
-                for item in incoming:
-                    found = best_match(item["_text"], texts, floor)
+            for block, tile, incoming, texts, numbers in batch.itertuples(index=False):
+                if held != (block, tile):
+                    order = sorted(range(len(numbers)), key=lambda i: numbers[i])
+                    held, refs = (block, tile), [numbers[i] for i in order]
+                    encoded = TextBatch([texts[i] for i in order])
+                for text in incoming:
+                    found = best_match(text, encoded, floor)
                     if found is not None:
-                        rows.append((block, item["_text"], known[found[0]][0], found[1]))
+                        rows.append((block, text, refs[found[0]], found[1]))
             yield pd.DataFrame(rows, columns=["_block", "_text", "_ref", "_score"])
 
     return run
@@ -96,15 +105,20 @@ def best_candidates(
     known = registry.select(side(registry).alias("_block"), F.col(text).alias("_text"), F.col(ref).alias("_ref"))
     known = known.na.drop().groupBy("_block", "_text").agg(F.min("_ref").alias("_ref"))
 
-    equal = asked.join(known, ["_block", "_text"]).select("_block", "_text", "_ref", F.lit(1.0).alias("_score"))
-    open_ = asked.join(known, ["_block", "_text"], "left_anti")
+    # Both tables are read several times below, so they are stored once.
+    known = cut_lineage(known)
+    settled = cut_lineage(asked.join(known, ["_block", "_text"], "left"))
+    equal = settled.filter(F.col("_ref").isNotNull()).withColumn("_score", F.lit(1.0))
+    open_ = settled.filter(F.col("_ref").isNull()).drop("_ref")
     left, _ = _tiles(open_, tile, "left")
     right, right_sizes = _tiles(known, tile, "right")
     # One copy of an incoming tile per registry tile; the pair of keys then spreads a hot block.
     spread = left.join(right_sizes, "_block").select(
         "_block", "_left", F.explode(F.sequence(F.lit(0), F.col("_right_tiles") - 1)).alias("_right_tile")
     )
-    pairs = spread.join(right, ["_block", "_right_tile"]).select("_block", "_left", "_right")
+    pairs = spread.join(right, ["_block", "_right_tile"]).select(
+        "_block", "_right_tile", "_left._text", F.col("_right._text").alias("_texts"), F.col("_right._ref").alias("_refs")
+    )
     kinds = {f.name: f.dataType.simpleString() for f in known.schema.fields}
     scored = pairs.mapInPandas(
         _score_tiles(threshold), f"_block {kinds['_block']}, _text string, _ref {kinds['_ref']}, _score double"

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vitalweave.functions.once import evaluate_once
 from vitalweave.functions.scalars import clean_lower, first_present, last_part, present, rfc3339_time, title_case
 
 # Fields of a resource payload that reach the canonical record.
@@ -35,7 +36,7 @@ def select_payload(df: DataFrame, schema: str = PAYLOAD) -> DataFrame:
     wrapped = F.get_json_object(F.concat(F.lit('{"t":'), F.col("tokenized_data"), F.lit("}")), "$.t")
     quoted = F.when(clean_lower("tokenized_data").startswith('"'), F.from_json(wrapped, schema))
     payload = F.coalesce(decoded("tokenized_data"), decoded("sanitized_data"), quoted)
-    return df.withColumn("payload", payload).withColumn(
+    return evaluate_once(df, {"payload": payload}).withColumn(
         "reason", F.when(F.col("payload").isNull(), F.lit("tokenized data not present"))
     )
 
@@ -48,7 +49,7 @@ def route_resources(df: DataFrame, allowed: Sequence[str] = SUPPORTED, kind: str
     if names:
         reason = reason.when(~key.isin(names), F.concat(F.lit("resourceType "), text, F.lit(" not allowed")))
     reason = reason.when(~key.isin(*SUPPORTED), F.concat(F.lit("resourceType "), text, F.lit(" unsupported")))
-    return df.withColumn("resource_key", key).withColumn("reason", reason)
+    return evaluate_once(df, {"resource_key": key, "reason": reason})
 
 
 def patient_ref(payload: str = "payload") -> Column:
@@ -166,12 +167,11 @@ def normalize(
                 value = F.when(F.col("resource_key") == key, fields[name]).otherwise(value)
         return F.when(accepted, value)
 
-    records = routed.select(
-        "id",
-        F.when(accepted, patient_ref()).alias("patient_id"),
-        F.when(accepted, title_case("resource_key")).alias("resource_type"),
-        *[merged(name).alias(name) for name in names],
-        F.when(accepted, event_time("payload", F.col(received_at))).alias("timestamp"),
-        "reason",
-    )
-    return attach_codes(records, catalog)
+    columns = {
+        "patient_id": F.when(accepted, patient_ref()),
+        "resource_type": F.when(accepted, title_case("resource_key")),
+        **{name: merged(name) for name in names},
+        "timestamp": F.when(accepted, event_time("payload", F.col(received_at))),
+    }
+    records = evaluate_once(routed.select("id", "payload", "resource_key", received_at, "reason"), columns)
+    return attach_codes(records.select("id", *columns, "reason"), catalog)

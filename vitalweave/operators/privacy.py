@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vitalweave.functions.once import evaluate_once
 from vitalweave.functions.scalars import clean, token
 from vitalweave.sources.reference_data import CLINICAL_RULES, Rule
 
@@ -188,7 +189,7 @@ def phi_confidence(count: Column) -> Column:
 
 def phi_summary(df: DataFrame, id: str, cols: Sequence[str], rules: Sequence[Rule] = CLINICAL_RULES) -> DataFrame:
     """Per record: detected, match count, confidence, sorted types and suggested masks."""
-    found = df.select(id, matches(df, cols, rules).alias("_found"))
+    found = evaluate_once(df.select(id, *cols), {"_found": matches(df, cols, rules)})
     count = F.size("_found")
     return found.select(
         id,
@@ -223,23 +224,34 @@ def mask_phi(df: DataFrame, cols: Sequence[str], rules: Sequence[Rule] = CLINICA
     return df.withColumns({c: _rebuilt(F.col(c), df.schema[c].dataType, masked) for c in cols})
 
 
-def _values(found: Column) -> Column:
-    return F.array_distinct(F.transform(found, lambda m: m["value"]))
+def detected_values(df: DataFrame, cols: Sequence[str], rules: Sequence[Rule] = CLINICAL_RULES) -> Column:
+    """Distinct matched texts of the whole record."""
+
+    def found(_path: Column, text: Column) -> Column:
+        return F.concat(*[find_all(text, rule) for rule in rules])
+
+    return F.array_distinct(_over_columns(df, cols, found, "array<string>"))
 
 
 def _holds_any(text: Column, values: Column) -> Column:
     return F.exists(values, lambda v: F.contains(text, v))
 
 
-def tokenize(df: DataFrame, cols: Sequence[str], salt: str, rules: Sequence[Rule] = CLINICAL_RULES) -> DataFrame:
-    """Replace each string leaf that contains any value detected in its record by a token."""
+def tokenize(
+    df: DataFrame, cols: Sequence[str], salt: str, rules: Sequence[Rule] = CLINICAL_RULES, values: str | None = None
+) -> DataFrame:
+    """Replace each string leaf that contains any value detected in its record by a token.
+
+    ``values`` names a column that already holds :func:`detected_values`.
+    """
     kinds = {c: df.schema[c].dataType for c in cols}
-    found = df.withColumn("_values", _values(matches(df, cols, rules)))
+    found = evaluate_once(df, {"_values": F.col(values) if values else detected_values(df, cols, rules)})
 
     def hidden(text: Column) -> Column:
         return F.when(_holds_any(text, F.col("_values")), token(text, salt)).otherwise(text)
 
-    return found.withColumns({c: _rebuilt(F.col(c), kinds[c], hidden) for c in cols}).drop("_values")
+    changed = evaluate_once(found, {c: _rebuilt(F.col(c), kinds[c], hidden) for c in cols})
+    return changed.select(*df.columns)
 
 
 def vault_rows(
@@ -248,6 +260,7 @@ def vault_rows(
     salt: str,
     rules: Sequence[Rule] = CLINICAL_RULES,
     existing: DataFrame | None = None,
+    values: str | None = None,
 ) -> DataFrame:
     """New (token, value) pairs behind :func:`tokenize` of the same raw records."""
 
@@ -255,13 +268,11 @@ def vault_rows(
         return F.when(text.isNotNull(), F.array(text)).otherwise(F.array().cast("array<string>"))
 
     strings = [c for c in cols if not isinstance(df.schema[c].dataType, T.NumericType)]
-    records = df.select(
-        _values(matches(df, cols, rules)).alias("_values"),
-        _over_columns(df, strings, found, "array<string>").alias("_texts"),
-    )
-    hit = F.filter("_texts", lambda text: _holds_any(text, F.col("_values")))
-    values = records.select(F.explode(hit).alias("value")).distinct()
-    rows = values.select(token("value", salt).alias("token"), "value")
+    records = evaluate_once(df, {"_values": F.col(values) if values else detected_values(df, cols, rules)})
+    texts = _over_columns(df, strings, found, "array<string>")
+    hidden = records.filter(F.size("_values") > 0).select("_values", F.explode(texts).alias("value"))
+    hits = hidden.filter(_holds_any(F.col("value"), F.col("_values"))).select("value").distinct()
+    rows = hits.select(token("value", salt).alias("token"), "value")
     return rows if existing is None else rows.join(existing.select("token"), "token", "left_anti")
 
 

@@ -24,6 +24,15 @@ def _count(condition: Column) -> Column:
     return F.count_if(condition)
 
 
+def one_row(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """One-row tables side by side, put together without a join."""
+    rows, names = first, list(first.columns)
+    for other in others:
+        rows = rows.unionByName(other, allowMissingColumns=True)
+        names += other.columns
+    return rows.agg(*[F.max(n).alias(n) for n in names])
+
+
 def overview(
     requests: DataFrame, jobs: DataFrame, facts: DataFrame, as_of: Column, recent: timedelta = HOUR, rate: timedelta = MINUTE
 ) -> DataFrame:
@@ -36,11 +45,10 @@ def overview(
         _count(within("created_at", as_of, rate)).alias("requests_recent"),
         _count(status != "published").alias("backlog"),
         _count((status == "failed") & (F.to_date("updated_at") == F.to_date(as_of))).alias("failed_today"),
-        F.lit(1).alias("_one"),
     )
-    j = jobs.agg(_count(status.isin("queued", "running")).alias("jobs_active"), F.lit(1).alias("_one"))
-    f = facts.agg(_count(within("timestamp", as_of, rate)).alias("facts_recent"), F.lit(1).alias("_one"))
-    return r.join(j, "_one").join(f, "_one").drop("_one")
+    j = jobs.agg(_count(status.isin("queued", "running")).alias("jobs_active"))
+    f = facts.agg(_count(within("timestamp", as_of, rate)).alias("facts_recent"))
+    return one_row(r, j, f)
 
 
 def ladder(first: Column, second: Column) -> Column:
@@ -96,12 +104,11 @@ def privacy_stats(requests: DataFrame, vault: DataFrame, as_of: Column) -> DataF
     counts = requests.agg(
         _count(today & (F.col("status") == "failed")).alias("failed_today"),
         _count(today & (F.col("status") == "accepted")).alias("accepted_today"),
-        F.lit(1).alias("_one"),
     )
-    size = vault.agg(F.count("*").alias("vault_size"), F.lit(1).alias("_one"))
+    size = vault.agg(F.count("*").alias("vault_size"))
     handled = F.col("failed_today") + F.col("accepted_today")
     rate = F.when(handled > 0, F.col("failed_today") / handled).otherwise(F.lit(0.0))
-    return counts.join(size, "_one").drop("_one").withColumn("failure_rate", rate)
+    return one_row(counts, size).withColumn("failure_rate", rate)
 
 
 def top_reasons(requests: DataFrame, n: int = TOP_REASONS) -> DataFrame:

@@ -7,17 +7,17 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitalweave.functions.once import evaluate_once
+
 ENVELOPE = "id string, type string, source string, data string, timestamp string, metadata map<string,string>"
 
 
 def decode_events(df: DataFrame, value: str = "value") -> DataFrame:
     """Envelope columns plus ``reason``, which is set for a message that does not decode.
 
-    The envelope is opened by a generator: a later filter on ``reason`` stays above it,
-    so that the text is parsed once and not again inside the filter.
     """
-    text = F.col(value).cast("string")
-    opened = df.select(text.alias("raw"), F.inline(F.array(F.from_json(text, ENVELOPE))))
+    text = df.select(F.col(value).cast("string").alias("raw"))
+    opened = evaluate_once(text, {"_event": F.from_json("raw", ENVELOPE)}).select("_event.*", "raw")
     malformed = F.col("id").isNull() | F.col("data").isNull()
     return opened.withColumn("reason", F.when(malformed, F.lit("malformed event")))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from dataclasses import asdict, dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 MAX_RULES = 1_000
@@ -71,6 +72,11 @@ def _rows(kind: type, given: Iterable[object] | None, default: tuple, what: str)
     return rows
 
 
+def _local_table(spark: SparkSession, rows: list) -> DataFrame:
+    """Rows as a local relation: unlike a parallelized list, its size is known when a join is planned."""
+    return spark.createDataFrame(pa.Table.from_pylist([asdict(row) for row in rows]))
+
+
 def rules(given: Iterable[Rule | Mapping] | None = None) -> list[Rule]:
     """Enabled rules in order; defaults when none are given, an error when the list is empty."""
     return [r for r in _rows(Rule, given, DEFAULT_RULES, "privacy rules") if r.enabled]
@@ -78,7 +84,7 @@ def rules(given: Iterable[Rule | Mapping] | None = None) -> list[Rule]:
 
 def rules_df(spark: SparkSession, given: Iterable[Rule | Mapping] | None = None) -> DataFrame:
     found = _rows(Rule, given, DEFAULT_RULES, "privacy rules")
-    return spark.createDataFrame([tuple(asdict(r).values()) for r in found], RULE_SCHEMA)
+    return _local_table(spark, found)
 
 
 def read_rules(spark: SparkSession, path: str, limit: int = MAX_RULES) -> list[Rule]:
@@ -90,9 +96,8 @@ def read_rules(spark: SparkSession, path: str, limit: int = MAX_RULES) -> list[R
 
 
 def catalog_df(spark: SparkSession, given: Iterable[Concept | Mapping] | None = None) -> DataFrame:
-    """Terminology rows. Their size is known to the optimizer, so joins broadcast them on their own."""
     found = _rows(Concept, given, DEFAULT_CONCEPTS, "terminology concepts")
-    return spark.createDataFrame([tuple(asdict(c).values()) for c in found], CATALOG_SCHEMA)
+    return _local_table(spark, found)
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:

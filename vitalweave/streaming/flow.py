@@ -14,13 +14,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from vitalweave.functions.once import evaluate_once
 from vitalweave.functions.scalars import present, rfc3339_time
 from vitalweave.operators.cohort import rollup_rows
 from vitalweave.operators.features import event_features
 from vitalweave.operators.ingest import validate_requests
 from vitalweave.operators.linkage import deterministic_key, link_deterministic, link_rows, master_id
 from vitalweave.operators.normalize import PAYLOAD, SUPPORTED, normalize
-from vitalweave.operators.privacy import tokenize, vault_rows
+from vitalweave.operators.privacy import detected_values, tokenize, vault_rows
 from vitalweave.sources.reference_data import CLINICAL_RULES, Rule
 
 REQUEST = "source string, format string, data string, patient_id string, received_at string"
@@ -29,8 +30,7 @@ TABLES = ("facts", "rollups", "features", "links", "vault", "quarantine")
 
 def unwrap(events: DataFrame) -> DataFrame:
     """Decoded events to validated requests: the resource leaves its request wrapper once, here."""
-    request = F.from_json("data", REQUEST)
-    opened = events.withColumn("_request", request).select(
+    opened = evaluate_once(events, {"_request": F.from_json("data", REQUEST)}).select(
         "id",
         F.col("_request.source").alias("source"),
         F.col("_request.format").alias("format"),
@@ -40,13 +40,10 @@ def unwrap(events: DataFrame) -> DataFrame:
         F.col("reason").alias("_malformed"),
     )
     checked = validate_requests(opened).withColumn("reason", F.coalesce("_malformed", "reason"))
-    payload = F.from_json("data", PAYLOAD)
+    parsed = evaluate_once(checked, {"_payload": F.when(F.col("reason").isNull(), F.from_json("data", PAYLOAD))})
     owner = F.coalesce(present("_payload.patient_id"), present("request_patient"))
-    return (
-        checked.withColumn("_payload", F.when(F.col("reason").isNull(), payload))
-        .withColumn("payload", F.col("_payload").withField("patient_id", owner))
-        .drop("_payload", "_malformed", "request_patient")
-    )
+    filled = evaluate_once(parsed, {"payload": F.col("_payload").withField("patient_id", owner)})
+    return filled.drop("_payload", "_malformed", "request_patient")
 
 
 def store_batch(
@@ -61,8 +58,10 @@ def store_batch(
     link_fields: Sequence[str] = ("patient_id",),
 ) -> None:
     """Write every table of one batch under its batch id; a replay overwrites the same folders."""
-    good = requests.filter(F.col("reason").isNull())
-    records = normalize(tokenize(good, ["payload"], salt, rules), catalog, allowed)
+    held = evaluate_once(requests, {"phi": detected_values(requests, ["payload"], rules)})
+    held = held.persist(StorageLevel.MEMORY_AND_DISK)
+    good = held.filter(F.col("reason").isNull())
+    records = normalize(tokenize(good, ["payload"], salt, rules, values="phi"), catalog, allowed)
     keyed = link_deterministic(deterministic_key(records, link_fields), registry)
     fresh = F.col("link_key").isNull()
     linked = keyed.withColumns(
@@ -73,7 +72,7 @@ def store_batch(
         }
     ).persist(StorageLevel.MEMORY_AND_DISK)
     accepted = linked.filter(F.col("reason").isNull())
-    rejected = requests.filter(F.col("reason").isNotNull()).select("id", "reason")
+    rejected = held.filter(F.col("reason").isNotNull()).select("id", "reason")
     rejected = rejected.unionByName(linked.filter(F.col("reason").isNotNull()).select("id", "reason"))
     facts = accepted.select(
         "id", "master_id", "patient_id", "resource_type", "concept", "value", "unit", "timestamp",
@@ -85,7 +84,7 @@ def store_batch(
         "rollups": rollup_rows(facts),
         "features": event_features(facts),
         "links": link_rows(accepted, attributes),
-        "vault": vault_rows(good, ["payload"], salt, rules),
+        "vault": vault_rows(good, ["payload"], salt, rules, values="phi"),
         "quarantine": rejected,
     }
     try:
@@ -93,6 +92,7 @@ def store_batch(
             rows.write.mode("overwrite").parquet(f"{out}/{name}/batch_id={batch_id}")
     finally:
         linked.unpersist()
+        held.unpersist()
 
 
 def run_flow(
@@ -101,11 +101,7 @@ def run_flow(
     """Start the stream over decoded events; it stops by itself when the available input is stored."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        held = batch.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            store_batch(held, batch_id, out, catalog, salt, registry, **options)
-        finally:
-            held.unpersist()
+        store_batch(batch, batch_id, out, catalog, salt, registry, **options)
 
     return (
         unwrap(events)
