@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vitalweave.functions.groups import latest_per_key
 from vitalweave.functions.once import evaluate_once
-from vitalweave.functions.scalars import clean_lower
+from vitalweave.functions.scalars import present
 
 # Accepted sources and formats, and the retention period.
 SOURCES = ("hospital", "lab", "imaging", "wearable", "telehealth")
@@ -22,6 +22,14 @@ def _allow_list(values: Sequence[str]) -> list[str]:
     return [v.strip().lower() for v in values if v.strip()]
 
 
+def _checks(value: Column, allowed: list[str], what: str, verb: str) -> list[tuple[Column, Column]]:
+    found = [(value.isNull(), F.lit(f"{what} required: invalid {what}"))]
+    if allowed:
+        text = F.concat(F.lit(f"{what} '"), value, F.lit(f"' not {verb}: invalid {what}"))
+        found.append((~value.isin(allowed), text))
+    return found
+
+
 def validate_requests(
     df: DataFrame, sources: Sequence[str] = SOURCES, formats: Sequence[str] = FORMATS, data: str = "data"
 ) -> DataFrame:
@@ -29,27 +37,21 @@ def validate_requests(
 
     ``data`` names a JSON text or a map column. An empty allow-list accepts any value.
     """
-    source, format_ = clean_lower("source"), clean_lower("format")
-    sources, formats = _allow_list(sources), _allow_list(formats)
-
-    def check(value: Column, allowed: list[str], what: str, verb: str) -> list[tuple[Column, Column]]:
-        rules = [(F.coalesce(value, F.lit("")) == "", F.lit(f"{what} required: invalid {what}"))]
-        if allowed:
-            text = F.concat(F.lit(f"{what} '"), value, F.lit(f"' not {verb}: invalid {what}"))
-            rules.append((~value.isin(allowed), text))
-        return rules
-
     if df.schema[data].dataType.typeName() == "map":
         empty = F.coalesce(F.size(data), F.lit(0)) <= 0
     else:
-        body = F.regexp_replace(F.col(data), r"\s+", "")
-        empty = F.coalesce(body, F.lit("")).isin("", "{}", "null")
-    ladder = check(source, sources, "source", "allowed") + check(format_, formats, "format", "supported")
-    ladder.append((empty, F.lit("missing data payload")))
-    reason = F.when(*ladder[0])
-    for condition, text in ladder[1:]:
+        empty = F.coalesce(F.regexp_replace(F.col(data), r"\s+", ""), F.lit("")).isin("", "{}", "null")
+    values = {"_source": present(F.lower("source")), "_format": present(F.lower("format")), "_empty": empty}
+    ready = evaluate_once(df, values)
+    checks = [
+        *_checks(F.col("_source"), _allow_list(sources), "source", "allowed"),
+        *_checks(F.col("_format"), _allow_list(formats), "format", "supported"),
+        (F.col("_empty"), F.lit("missing data payload")),
+    ]
+    reason = F.when(*checks[0])
+    for condition, text in checks[1:]:
         reason = reason.when(condition, text)
-    return evaluate_once(df, {"reason": reason})
+    return ready.withColumn("reason", reason).drop(*values)
 
 
 def latest_status(status_events: DataFrame) -> DataFrame:

@@ -44,12 +44,13 @@ def select_payload(df: DataFrame, schema: str = PAYLOAD) -> DataFrame:
 def route_resources(df: DataFrame, allowed: Sequence[str] = SUPPORTED, kind: str = "payload.resourceType") -> DataFrame:
     """Adds ``resource_key`` and ``reason`` for missing, not allowed and unsupported types."""
     names = [a.strip().lower() for a in allowed if a.strip()]
-    text, key = present(kind), F.lower(present(kind))
+    ready = evaluate_once(df, {"_type": present(kind)})
+    text, key = F.col("_type"), F.lower("_type")
     reason = F.when(text.isNull(), F.lit("resourceType missing"))
     if names:
         reason = reason.when(~key.isin(names), F.concat(F.lit("resourceType "), text, F.lit(" not allowed")))
     reason = reason.when(~key.isin(*SUPPORTED), F.concat(F.lit("resourceType "), text, F.lit(" unsupported")))
-    return evaluate_once(df, {"resource_key": key, "reason": reason})
+    return ready.withColumns({"resource_key": key, "reason": reason}).drop("_type")
 
 
 def patient_ref(payload: str = "payload") -> Column:

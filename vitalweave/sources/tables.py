@@ -11,6 +11,9 @@ from vitalweave.functions.groups import latest_per_key
 from vitalweave.functions.scalars import export_text
 
 
+MAX_FILE_ROWS = 5_000_000
+
+
 def read_table(spark: SparkSession, name: str, path: str) -> DataFrame:
     """One Parquet table below ``path``."""
     return spark.read.parquet(f"{path}/{name}.parquet")
@@ -21,23 +24,28 @@ def read_relational(spark: SparkSession, url: str, table: str, **options: object
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
 
 
-def append_facts(df: DataFrame, path: str) -> None:
-    """Append facts, laid out by resource type and day so that cohort filters prune files.
+def write_facts(df: DataFrame, path: str, mode: str) -> None:
+    """Write facts by resource type and day, so that cohort filters prune files.
 
-    Rows are spread by the layout plus a hash of the id: a busy type and day is
-    written by several tasks, and a small one by few.
+    The rebalance hint lets adaptive execution size the writing tasks: a busy type
+    and day is split over several of them, small ones share one.
     """
-    laid_out = df.withColumn("event_date", F.to_date("timestamp"))
-    spread = F.pmod(F.xxhash64("id"), F.lit(16))
+    layout = ["resource_type", "event_date"]
     (
-        laid_out.repartition("resource_type", "event_date", spread)
-        .sortWithinPartitions("resource_type", "event_date", "patient_id")
-        .write.mode("append")
-        .partitionBy("resource_type", "event_date")
+        df.withColumn("event_date", F.to_date("timestamp"))
+        .hint("rebalance", *layout)
+        .sortWithinPartitions(*layout, "patient_id")
+        .write.mode(mode)
+        .option("maxRecordsPerFile", MAX_FILE_ROWS)
+        .partitionBy(*layout)
         .parquet(path)
     )
 
 
+def append_facts(df: DataFrame, path: str) -> None:
+    write_facts(df, path, "append")
+
+
 def read_facts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

@@ -23,6 +23,7 @@ from vitalweave.operators.linkage import deterministic_key, link_deterministic,
 from vitalweave.operators.normalize import PAYLOAD, SUPPORTED, normalize
 from vitalweave.operators.privacy import detected_values, tokenize, vault_rows
 from vitalweave.sources.reference_data import CLINICAL_RULES, Rule
+from vitalweave.sources.tables import write_facts
 
 REQUEST = "source string, format string, data string, patient_id string, received_at string"
 TABLES = ("facts", "rollups", "features", "links", "vault", "quarantine")
@@ -80,7 +81,6 @@ def store_batch(
     )
     attributes = ["concept", "value", "unit", "recorded_date", "clinical_status", "performed"]
     tables = {
-        "facts": facts,
         "rollups": rollup_rows(facts),
         "features": event_features(facts),
         "links": link_rows(accepted, attributes),
@@ -88,6 +88,7 @@ def store_batch(
         "quarantine": rejected,
     }
     try:
+        write_facts(facts, f"{out}/facts/batch_id={batch_id}", "overwrite")
         for name, rows in tables.items():
             rows.write.mode("overwrite").parquet(f"{out}/{name}/batch_id={batch_id}")
     finally:
