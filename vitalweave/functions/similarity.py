@@ -14,107 +14,126 @@ PREFIX_LIMIT = 4
 PREFIX_WEIGHT = 0.1
 # Byte classes of the overlap bound; merging bytes into classes only loosens the bound.
 _CLASSES = 64
+# Bytes that no UTF-8 text contains: padding of the left side, padding and used bytes of the right side.
+_LEFT_PAD, _GONE = 0xFE, 0xFF
+_PAIRS = 65_536
 
 
 class TextBatch:
-    """Texts as a padded byte matrix, with lengths and byte-class counts."""
+    """Texts as byte columns: row i of ``codes`` holds byte i of every text."""
 
     def __init__(self, texts: Sequence[str]):
         raw = [t.encode("utf-8") for t in texts]
         self.lengths = np.array([len(r) for r in raw], dtype=np.int64)
         width = max(1, int(self.lengths.max(initial=0)))
-        packed = b"".join(r.ljust(width, b"\0") for r in raw)
-        self.codes = np.frombuffer(packed, dtype=np.uint8).reshape(len(raw), width)
-        self.used = np.arange(width) < self.lengths[:, None]
-        counts = np.zeros((len(raw), _CLASSES), dtype=np.int32)
-        rows, columns = np.nonzero(self.used)
-        np.add.at(counts, (rows, self.codes[rows, columns] % _CLASSES), 1)
-        self.counts = counts
+        packed = b"".join(r.ljust(width, bytes([_LEFT_PAD])) for r in raw)
+        self.codes = np.ascontiguousarray(np.frombuffer(packed, dtype=np.uint8).reshape(len(raw), width).T)
+        self.counts = np.zeros((len(raw), _CLASSES), dtype=np.uint16 if width < 2**16 else np.uint32)
+        places, rows = np.nonzero(np.arange(width)[:, None] < self.lengths)
+        np.add.at(self.counts, (rows, self.codes[places, rows] % _CLASSES), 1)
+
+    def __len__(self) -> int:
+        return len(self.lengths)
 
     def take(self, rows: np.ndarray) -> "TextBatch":
         part = object.__new__(TextBatch)
-        part.lengths, part.codes = self.lengths[rows], self.codes[rows]
-        part.used, part.counts = self.used[rows], self.counts[rows]
+        part.lengths, part.codes, part.counts = self.lengths[rows], self.codes[:, rows], self.counts[rows]
         return part
 
+    def right_side(self) -> np.ndarray:
+        """Byte columns with the padding of the other side."""
+        return np.where(self.codes == _LEFT_PAD, np.uint8(_GONE), self.codes)
+
 
-def _prefix(left: TextBatch, right: TextBatch) -> np.ndarray:
-    width = min(PREFIX_LIMIT, left.codes.shape[1], right.codes.shape[1])
-    same = (left.codes[:, :width] == right.codes[:, :width]) & left.used[:, :width] & right.used[:, :width]
-    return np.cumprod(same, axis=1).sum(axis=1)
+def _prefix(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Shared leading bytes, up to the limit, of byte columns whose paddings differ."""
+    width = min(PREFIX_LIMIT, left.shape[0], right.shape[0])
+    return np.cumprod(left[:width] == right[:width], axis=0).sum(axis=0)
 
 
 def _boost(jaro: np.ndarray, prefix: np.ndarray) -> np.ndarray:
     return jaro + prefix * PREFIX_WEIGHT * (1 - jaro)
 
 
+def _in_order(codes: np.ndarray, hit: np.ndarray, height: int) -> np.ndarray:
+    """Matched bytes of each text, moved to the top of its column."""
+    lined = np.zeros((height, hit.shape[1]), dtype=np.uint8)
+    places, rows = np.nonzero(hit)
+    lined[(np.cumsum(hit, axis=0) - 1)[places, rows], rows] = codes[places, rows]
+    return lined
+
+
 def scores(left: TextBatch, right: TextBatch) -> np.ndarray:
-    """Similarity of row i of ``left`` with row i of ``right``; the loops run over byte positions."""
-    n = len(left.lengths)
+    """Similarity of text i of ``left`` with text i of ``right``; the loops run over byte places."""
+    fixed = right.right_side()
+    free = fixed.copy()
     reach = np.maximum(np.maximum(left.lengths, right.lengths) // 2 - 1, 0)
+    near, far = int(reach.min(initial=0)), int(reach.max(initial=0))
     hit_left = np.zeros(left.codes.shape, dtype=bool)
-    hit_right = np.zeros(right.codes.shape, dtype=bool)
-    span = int(reach.max(initial=0))
-    for i in range(left.codes.shape[1]):
-        open_rows = left.used[:, i].copy()
-        for j in range(max(0, i - span), min(right.codes.shape[1], i + span + 1)):
-            pair = open_rows & right.used[:, j] & ~hit_right[:, j] & (abs(i - j) <= reach)
-            pair &= left.codes[:, i] == right.codes[:, j]
-            hit_left[pair, i] = True
-            hit_right[pair, j] = True
-            open_rows &= ~pair
-    matches = hit_left.sum(axis=1)
-    # The k-th matched byte of one side is compared with the k-th of the other.
-    width = max(1, int(matches.max(initial=0)))
-    order = []
-    for batch, hit in ((left, hit_left), (right, hit_right)):
-        lined = np.zeros((n, width), dtype=np.uint8)
-        rows, columns = np.nonzero(hit)
-        lined[rows, (np.cumsum(hit, axis=1) - 1)[rows, columns]] = batch.codes[rows, columns]
-        order.append(lined)
-    moved = (order[0] != order[1]).sum(axis=1) // 2
+    hit_right = np.zeros(free.shape, dtype=bool)
+    for i in range(left.codes.shape[0]):
+        open_ = hit_left[i]
+        for j in range(max(0, i - far), min(free.shape[0], i + far + 1)):
+            pair = (left.codes[i] == free[j]) & ~open_
+            if abs(i - j) > near:
+                pair &= reach >= abs(i - j)
+            open_ |= pair
+            hit_right[j] |= pair
+            free[j] |= np.negative(pair.view(np.uint8))
+    matches = hit_left.sum(axis=0)
+    height = max(1, int(matches.max(initial=0)))
+    moved = (_in_order(left.codes, hit_left, height) != _in_order(fixed, hit_right, height)).sum(axis=0) // 2
     with np.errstate(divide="ignore", invalid="ignore"):
         jaro = (matches / left.lengths + matches / right.lengths + (matches - moved) / matches) / 3
-    result = np.where(matches > 0, _boost(np.nan_to_num(jaro), _prefix(left, right)), 0.0)
-    both_empty = (left.lengths == 0) & (right.lengths == 0)
-    return np.where(both_empty, 1.0, result)
-
-
-def _bounds(text: TextBatch, many: TextBatch) -> np.ndarray:
-    """Greatest score each row of ``many`` could reach against the single row ``text``."""
-    shared = np.minimum(text.counts, many.counts).sum(axis=1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        jaro = np.nan_to_num((shared / text.lengths + shared / many.lengths + 1) / 3)
-    bound = np.where(shared > 0, _boost(jaro, _prefix(text.take(np.zeros(len(shared), int)), many)), 0.0)
-    return np.where((text.lengths == 0) & (many.lengths == 0), 1.0, bound)
-
-
-def best_match(text: str, many: TextBatch, floor: float, probe: int = 32) -> tuple[int, float] | None:
-    """Row of ``many`` with the highest score of at least ``floor``; the lowest row wins a tie.
-
-    The candidates with the highest bounds are scored first. Only rows whose bound
-    still reaches the best score so far are scored after that, so none is missed.
+    result = np.where(matches > 0, _boost(np.nan_to_num(jaro), _prefix(left.codes, fixed)), 0.0)
+    return np.where((left.lengths == 0) & (right.lengths == 0), 1.0, result)
+
+
+def _bounds(left: TextBatch, right: TextBatch) -> np.ndarray:
+    """Greatest score that each left text could reach with each right text, from shared byte counts and prefixes."""
+    fixed = right.right_side()
+    found = np.empty((len(left), len(right)))
+    empty = right.lengths == 0
+    for i in range(len(left)):
+        length = left.lengths[i]
+        shared = np.minimum(left.counts[i], right.counts).sum(axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            jaro = np.nan_to_num((shared / length + shared / right.lengths + 1) / 3)
+        best = np.where(shared > 0, _boost(jaro, _prefix(left.codes[:, i : i + 1], fixed)), 0.0)
+        found[i] = np.where(empty & (length == 0), 1.0, best)
+    return found + 1e-9
+
+
+def best_matches(texts: Sequence[str], many: TextBatch, floor: float, probe: int = 16) -> list[tuple[int, float] | None]:
+    """For each text the row of ``many`` with the highest score of at least ``floor``; the lowest row wins a tie.
+
+    Rows are scored in rounds by falling bound, until no row left could reach the best
+    score found so far. None that could win is skipped.
     """
-    single = TextBatch([text])
-    bound = _bounds(single, many) + 1e-9
-    rows = np.nonzero(bound >= floor)[0]
-    if not len(rows):
-        return None
-    found: dict[int, float] = {}
-
-    def score(chosen: np.ndarray) -> None:
-        part = many.take(chosen)
-        values = np.round(scores(single.take(np.zeros(len(chosen), int)), part), 10)
-        found.update(zip(chosen.tolist(), values.tolist()))
-
-    first = rows[np.argsort(-bound[rows], kind="stable")][:probe]
-    score(first)
-    best = max(found.values())
-    rest = rows[(bound[rows] >= best) & ~np.isin(rows, first)]
-    if len(rest):
-        score(rest)
-    row = min(found, key=lambda r: (-found[r], r))
-    return (row, found[row]) if found[row] >= floor else None
+    left = TextBatch(texts)
+    bounds = _bounds(left, many)
+    best = np.full(len(left), floor, dtype=float)
+    rows = np.full(len(left), -1, dtype=np.int64)
+    active, width = np.arange(len(left)), min(probe, len(many))
+    while len(active) and width:
+        part = bounds[active]
+        chosen = np.argpartition(-part, width - 1, axis=1)[:, :width]
+        live = np.take_along_axis(part, chosen, axis=1) >= best[active][:, None]
+        at, place = np.nonzero(live)
+        asked, row = active[at], chosen[at, place]
+        for start in range(0, len(asked), _PAIRS):
+            some, ref = asked[start : start + _PAIRS], row[start : start + _PAIRS]
+            value = np.round(scores(left.take(some), many.take(ref)), 10)
+            # First of each text in the order of falling score and rising row.
+            order = np.lexsort((ref, -value, some))
+            first = order[np.concatenate(([True], some[order][1:] != some[order][:-1]))]
+            text, ref, value = some[first], ref[first], value[first]
+            wins = (value > best[text]) | ((value == best[text]) & ((rows[text] < 0) | (ref < rows[text])))
+            best[text[wins]], rows[text[wins]] = value[wins], ref[wins]
+        bounds[asked, row] = -1.0
+        active = active[bounds[active].max(axis=1) >= best[active]]
+        width = min(width * 4, len(many))
+    return [(int(r), float(b)) if r >= 0 else None for r, b in zip(rows, best)]
 
 
 @F.pandas_udf(T.DoubleType())

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vitalweave.functions.groups import top_n_per_key
 from vitalweave.functions.scalars import clean, present
-from vitalweave.functions.similarity import TextBatch, best_match
+from vitalweave.functions.similarity import TextBatch, best_matches
 from vitalweave.session import cut_lineage
 
 THRESHOLD = 0.85
@@ -79,8 +79,7 @@ def _score_tiles(floor: float):
                     order = sorted(range(len(numbers)), key=lambda i: numbers[i])
                     held, refs = (block, tile), [numbers[i] for i in order]
                     encoded = TextBatch([texts[i] for i in order])
-                for text in incoming:
-                    found = best_match(text, encoded, floor)
+                for text, found in zip(incoming, best_matches(list(incoming), encoded, floor)):
                     if found is not None:
                         rows.append((block, text, refs[found[0]], found[1]))
             yield pd.DataFrame(rows, columns=["_block", "_text", "_ref", "_score"])
