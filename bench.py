@@ -3,6 +3,9 @@
 BENCH_SF_DIR   data folder, default /root/testdata/sf0.1
 BENCH_CPUS     threads, default 8
 BENCH_QUERIES  comma-separated plan names, default all
+
+Beside the plans it times plain hand-written Spark SQL for the results of some of them
+(``yardstick``), since there is no published number to compare with.
 """
 
 from __future__ import annotations
@@ -14,6 +17,47 @@ import time
 
 from vitalweave.plans import PLANS
 from vitalweave.session import build_session
+from vitalweave.sources import fixtures
+
+GLUCOSE = "resource_type = 'Observation' AND concept = 'blood-glucose' AND value >= 100"
+SSN = r"\\b\\d{{3}}-\\d{{2}}-\\d{{4}}\\b"
+DOB = r"\\b\\d{{1,2}}/\\d{{1,2}}/\\d{{4}}\\b"
+EMAIL = r"\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Z|a-z]{{2,}}\\b"
+PHONE = r"\\b\\d{{3}}-\\d{{3}}-\\d{{4}}\\b|\\b\\(\\d{{3}}\\)\\s?\\d{{3}}-\\d{{4}}\\b"
+MRN = r"MRN\\s*[:#]?\\s*[A-Z0-9-]{{6,}}"
+MASKED = "text"
+for _pattern, _mask in ((SSN, "***-**-****"), (DOB, "##/##/####"), (EMAIL, "***@***"), (PHONE, "(***) ***-****"), (MRN, "MRN-******")):
+    MASKED = f"regexp_replace({MASKED}, '{_pattern}', '{_mask}')"
+NEWEST = "row_number() OVER (PARTITION BY {0} ORDER BY {1})"
+YARDSTICK = {
+    "c3_cohort_count": f"SELECT count(DISTINCT patient_id) FROM {{facts}} WHERE {GLUCOSE}",
+    "c10_timeline": f"""SELECT id, patient_id, concept, timestamp FROM (
+        SELECT *, {NEWEST.format('patient_id', 'timestamp, id')} AS n FROM {{facts}}) WHERE n <= 20""",
+    "c12_materialize_cohort": f"""SELECT patient_id, count(*), avg(value), max_by(concept, struct(timestamp, id)),
+        max_by(value, struct(timestamp, id)), max(timestamp) FROM {{facts}} WHERE {GLUCOSE} GROUP BY patient_id""",
+    "c13_evaluate_cohorts": f"""SELECT DISTINCT 'a', patient_id FROM {{facts}} WHERE {GLUCOSE}
+        UNION ALL SELECT DISTINCT 'b', patient_id FROM {{facts}} WHERE concept IN ('heart-rate', 'blood-pressure') AND value < 200
+        UNION ALL SELECT DISTINCT 'c', patient_id FROM {{facts}} WHERE code_snomed = '44054006'
+        UNION ALL SELECT DISTINCT 'd', patient_id FROM {{facts}} WHERE concept = 'heart-rate' AND value > 100
+        UNION ALL SELECT DISTINCT 'e', patient_id FROM {{facts}} WHERE master_id >= 'master-5' AND resource_type <> 'Procedure'""",
+    "e6_audit_tail": f"""SELECT * FROM (SELECT *, {NEWEST.format('study_id', 'created_at DESC, id DESC')} AS n FROM {{audit_events}}
+        WHERE study_id IS NOT NULL) WHERE n <= 50""",
+    "f5_latest_features": f"""SELECT * FROM (SELECT *, {NEWEST.format('entity_id', 'created_at DESC, version DESC')} AS n
+        FROM {{offline_features}}) WHERE n = 1""",
+    "l3_link_probabilistic": f"""SELECT * FROM (SELECT *, {NEWEST.format('inc_id', 'score, reg_id')} AS n FROM (
+        SELECT i.inc_id, r.reg_id, levenshtein(r.patient_id, trim(i.patient_id)) AS score
+        FROM {{incoming}} i JOIN {{registry}} r ON r.block = i.block)) WHERE n = 1""",
+    "m3_request_summary": """SELECT count_if(status = 'accepted'), count_if(status = 'published'), count_if(status <> 'published') FROM {requests}""",
+    "p6_mask_documents": f"SELECT doc_id, {MASKED} AS text FROM {{documents}}",
+    "v2_latest_status": f"""SELECT * FROM (SELECT *, {NEWEST.format('id', 'at DESC, seq DESC')} AS n FROM {{status_events}}) WHERE n = 1""",
+}
+
+
+def hand_written(spark, sf_dir: str, name: str):
+    """The plain statement for a plan, over the same derived tables."""
+    text = YARDSTICK[name]
+    names = [t for t in [*fixtures.STATEMENTS, "documents"] if "{" + t + "}" in text]
+    return spark.sql(text, **{t: fixtures.load(spark, sf_dir, t) for t in names})
 
 
 def main() -> None:
@@ -34,16 +78,24 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     PLANS["c3_cohort_count"](spark, sf_dir).collect()
     times: dict[str, float] = {}
-    for name in names:
+    yardstick: dict[str, float] = {}
+
+    def measure(into: dict[str, float], name: str, build) -> None:
         start = time.perf_counter()
         try:
-            PLANS[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            build().write.format("noop").mode("overwrite").save()
         except Exception as error:  # one failing plan must not hide the others
             print(f"{name}: {error}", file=sys.stderr)
-            continue
-        times[name] = round(time.perf_counter() - start, 3)
+            return
+        into[name] = round(time.perf_counter() - start, 3)
+
+    for name in names:
+        measure(times, name, lambda: PLANS[name](spark, sf_dir))
+    for name in names:
+        if name in YARDSTICK:
+            measure(yardstick, name, lambda: hand_written(spark, sf_dir, name))
     scale = os.path.basename(os.path.normpath(sf_dir)).removeprefix("sf")
-    result = {"metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": scale}
+    result = {"metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": scale, "yardstick": yardstick}
     print(json.dumps(result))
     spark.stop()
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitalweave.operators import privacy as P
-from vitalweave.sources.reference_data import CLINICAL_RULES, DEFAULT_RULES, Rule, catalog_df, read_rules, rules, rules_df
+from vitalweave.sources.reference_data import CLINICAL_RULES, DEFAULT_RULES, Rule, catalog_df, read_catalog, read_rules, rules, rules_df
 
 TEXTS = [
     "Patient John Doe SSN 123-45-6789 email john@example.com",
@@ -122,3 +122,19 @@ def test_rules_and_catalog(spark, tmp_path):
     path = str(tmp_path / "rules")
     rules_df(spark, CLINICAL_RULES).write.json(path)
     assert {r.type for r in read_rules(spark, path)} == {r.type for r in CLINICAL_RULES}
+
+
+def test_yaml_configuration(spark, tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "rules.yaml").write_text(
+        'rules:\n  - {name: Ward, type: ward, pattern: "\\\\bW-\\\\d+", mask: "W", severity: low, enabled: true}\n'
+        '  - {name: Off, type: off, pattern: "x", mask: "y", severity: low, enabled: false}\n'
+    )
+    (tmp_path / "terms.yaml").write_text('concepts:\n  spo2:\n    display: Saturation\n    loinc: "59408-5"\n')
+    (tmp_path / "none.yaml").write_text("rules: []\nconcepts: {}\n")
+    assert [(r.type, r.pattern) for r in read_rules(spark, str(tmp_path / "rules.yaml"))] == [("ward", r"\bW-\d+")]
+    row = read_catalog(spark, str(tmp_path / "terms.yaml")).first()
+    assert (row["concept"], row["loinc"], row["snomed"]) == ("spo2", "59408-5", "")
+    for read in (read_rules, read_catalog):
+        with pytest.raises(ValueError):
+            read(spark, str(tmp_path / "none.yaml"))

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from vitalweave.operators.linkage import known_masters
 from vitalweave.plans.registry import Tables
 from vitalweave.plans.streams import messages
 from vitalweave.session import cut_lineage, shared_dir
@@ -26,29 +27,45 @@ def stored(spark, out):
 
 def test_stream_equals_batch_and_replay_changes_nothing(spark, tables, tmp_path):
     folder, catalog = str(tmp_path / "topic"), catalog_df(spark, CLINICAL_CONCEPTS)
-    registry = tables["links"].limit(0)
+    links = tables["links"].limit(0)
+    known = known_masters(links)
     sent = messages(tables["payloads"])
     for part in range(3):
         write_events(sent.filter(F.col("key").cast("int") % 3 == part), folder)
     stream = read_events(spark, "parquet", {"path": folder, "maxFilesPerTrigger": "1"})
     out = str(tmp_path / "stream")
-    flow.run_flow(stream, out, str(tmp_path / "checkpoint"), catalog, "salt", registry).awaitTermination()
+    flow.run_flow(stream, out, str(tmp_path / "checkpoint"), catalog, "salt", links).awaitTermination()
     assert len(list((tmp_path / "stream" / "facts").glob("batch_id=*"))) >= 3
-    batch = flow.unwrap(decode_events(sent))
+    batch = flow.prepare(decode_events(sent), catalog, "salt")
     once = str(tmp_path / "batch")
-    flow.store_batch(batch, 0, once, catalog, "salt", registry)
+    flow.store_batch(batch, 0, once, "salt", known)
     assert stored(spark, out) == stored(spark, once)
-    flow.store_batch(batch, 0, once, catalog, "salt", registry)
+    flow.store_batch(batch, 0, once, "salt", known)
     assert stored(spark, out) == stored(spark, once)
 
 
+def test_events_sent_twice_are_stored_once(spark, tables, tmp_path):
+    folder = str(tmp_path / "topic")
+    for _ in range(2):
+        write_events(messages(tables["payloads"]), folder)
+    stream = read_events(spark, "parquet", {"path": folder, "maxFilesPerTrigger": "1"})
+    out, catalog = str(tmp_path / "out"), catalog_df(spark, CLINICAL_CONCEPTS)
+    links = spark.sql("SELECT 1L id, 'm-known' master_id, 'patient_id:patient-000008' deterministic_key, TIMESTAMP_NTZ'2024-01-01' created_at")
+    flow.run_flow(stream, out, str(tmp_path / "checkpoint"), catalog, "salt", links, delay="60 days").awaitTermination()
+    facts = flow.read_store(spark, out, "facts")
+    ids = facts.agg(F.count("*"), F.count_distinct("id")).first()
+    assert ids[0] == ids[1] > 0
+    known = facts.filter("patient_id = 'patient-000008'").select("master_id").distinct().collect()
+    assert [r["master_id"] for r in known] == ["m-known"]
+
+
 def test_health_information_never_reaches_the_facts(spark, tables, tmp_path):
     dirty = tables["payloads"].limit(40).withColumn(
         "payload_text", F.regexp_replace("payload_text", '"unit":"[^"]*"', '"unit":"call 555-123-4567"')
     )
     out = str(tmp_path / "out")
-    batch = flow.unwrap(decode_events(messages(dirty)))
-    flow.store_batch(batch, 0, out, catalog_df(spark), "salt", tables["links"].limit(0))
+    batch = flow.prepare(decode_events(messages(dirty)), catalog_df(spark), "salt")
+    flow.store_batch(batch, 0, out, "salt", known_masters(tables["links"].limit(0)))
     facts = flow.read_store(spark, out, "facts")
     assert facts.filter(F.col("unit").startswith("token_")).count() > 0
     assert facts.filter(F.col("unit").contains("555-123-4567")).count() == 0

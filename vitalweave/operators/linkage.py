@@ -40,7 +40,12 @@ def known_masters(links: DataFrame) -> DataFrame:
 
 def link_deterministic(df: DataFrame, links: DataFrame) -> DataFrame:
     """Adds master_id, score, method and is_new for rows with a ``link_key``; rows without one stay unlinked."""
-    joined = df.join(known_masters(links), "link_key", "left")
+    return link_known(df, known_masters(links))
+
+
+def link_known(df: DataFrame, known: DataFrame) -> DataFrame:
+    """:func:`link_deterministic` with the table of :func:`known_masters` at hand."""
+    joined = df.join(known, "link_key", "left")
     keyed = F.col("link_key").isNotNull()
     return joined.select(
         *df.columns,

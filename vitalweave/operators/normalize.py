@@ -146,9 +146,13 @@ def map_codes(df: DataFrame, catalog: DataFrame, targets: Sequence[str]) -> Data
 
 
 def normalize(
-    df: DataFrame, catalog: DataFrame, allowed: Sequence[str] = SUPPORTED, received_at: str = "received_at"
+    df: DataFrame,
+    catalog: DataFrame,
+    allowed: Sequence[str] = SUPPORTED,
+    received_at: str = "received_at",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Canonical records with codes; rejected rows keep only ``id`` and ``reason``.
+    """Canonical records with codes; rejected rows have only ``id``, ``reason`` and the columns to keep.
 
     One projection covers all resource types, so the payload is read once.
     """
@@ -174,5 +178,5 @@ def normalize(
         **{name: merged(name) for name in names},
         "timestamp": F.when(accepted, event_time("payload", F.col(received_at))),
     }
-    records = evaluate_once(routed.select("id", "payload", "resource_key", received_at, "reason"), columns)
-    return attach_codes(records.select("id", *columns, "reason"), catalog)
+    records = evaluate_once(routed.select("id", "payload", "resource_key", received_at, "reason", *keep), columns)
+    return attach_codes(records.select("id", *columns, "reason", *keep), catalog)

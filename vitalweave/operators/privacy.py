@@ -79,11 +79,23 @@ def _over_columns(df: DataFrame, cols: Sequence[str], found: Callable[[Column, C
     return F.concat(*parts)
 
 
+class Search:
+    """A rule with its constant columns, which many leaves share."""
+
+    def __init__(self, rule: Rule):
+        self.rule = rule
+        self.kind, self.mask = F.lit(rule.type).alias("type"), F.lit(rule.mask).alias("mask")
+        self._needs, self._pattern = F.lit(rule.needs), F.lit(ascii_pattern(rule.pattern))
+        self._whole, self._none = F.lit(0), F.array().cast("array<string>")
+
+    def find_all(self, text: Column) -> Column:
+        """All matches; text without what every match needs is not searched."""
+        needed = F.contains(text, self._needs) if self.rule.needs else text.isNotNull()
+        return F.when(needed, F.regexp_extract_all(text, self._pattern, self._whole)).otherwise(self._none)
+
+
 def find_all(text: Column, rule: Rule) -> Column:
-    """All matches of a rule; text without what every match needs is not searched."""
-    needed = F.contains(text, F.lit(rule.needs)) if rule.needs else text.isNotNull()
-    values = F.regexp_extract_all(text, F.lit(ascii_pattern(rule.pattern)), F.lit(0))
-    return F.when(needed, values).otherwise(F.array().cast("array<string>"))
+    return Search(rule).find_all(text)
 
 
 def replace_all(text: Column, rules: Sequence[Rule]) -> Column:
@@ -123,15 +135,16 @@ def string_leaves(df: DataFrame, id: str, cols: Sequence[str]) -> DataFrame:
 def matches(df: DataFrame, cols: Sequence[str], rules: Sequence[Rule] = CLINICAL_RULES) -> Column:
     """Every match of every rule in the record, in leaf, rule and text order."""
 
+    searches = [Search(rule) for rule in rules]
+
     def found(path: Column, text: Column) -> Column:
-        def rows(rule: Rule) -> Column:
+        def rows(search: Search) -> Column:
             def row(value: Column) -> Column:
-                kind, mask = F.lit(rule.type), F.lit(rule.mask)
-                return F.struct(path.alias("path"), kind.alias("type"), mask.alias("mask"), value.alias("value"))
+                return F.struct(path.alias("path"), search.kind, search.mask, value.alias("value"))
 
-            return F.transform(find_all(text, rule), row)
+            return F.transform(search.find_all(text), row)
 
-        return F.concat(*[rows(rule) for rule in rules])
+        return F.concat(*[rows(search) for search in searches])
 
     return _over_columns(df, cols, found, MATCH)
 
@@ -227,8 +240,10 @@ def mask_phi(df: DataFrame, cols: Sequence[str], rules: Sequence[Rule] = CLINICA
 def detected_values(df: DataFrame, cols: Sequence[str], rules: Sequence[Rule] = CLINICAL_RULES) -> Column:
     """Distinct matched texts of the whole record."""
 
+    searches = [Search(rule) for rule in rules]
+
     def found(_path: Column, text: Column) -> Column:
-        return F.concat(*[find_all(text, rule) for rule in rules])
+        return F.concat(*[search.find_all(text) for search in searches])
 
     return F.array_distinct(_over_columns(df, cols, found, "array<string>"))
 
@@ -254,26 +269,34 @@ def tokenize(
     return changed.select(*df.columns)
 
 
+def hidden_texts(df: DataFrame, cols: Sequence[str], values: Column) -> Column:
+    """The string leaves that :func:`tokenize` replaces for the given detected values."""
+    none = F.array().cast("array<string>")
+
+    def found(_path: Column, text: Column) -> Column:
+        return F.when(_holds_any(text, values), F.array(text)).otherwise(none)
+
+    strings = [c for c in cols if not isinstance(df.schema[c].dataType, T.NumericType)]
+    return _over_columns(df, strings, found, "array<string>")
+
+
+def vault_entries(texts: DataFrame, salt: str, existing: DataFrame | None = None) -> DataFrame:
+    """(token, value) of each distinct text in column ``value``, without those already stored."""
+    rows = texts.select("value").distinct().select(token("value", salt).alias("token"), "value")
+    return rows if existing is None else rows.join(existing.select("token"), "token", "left_anti")
+
+
 def vault_rows(
     df: DataFrame,
     cols: Sequence[str],
     salt: str,
     rules: Sequence[Rule] = CLINICAL_RULES,
     existing: DataFrame | None = None,
-    values: str | None = None,
 ) -> DataFrame:
     """New (token, value) pairs behind :func:`tokenize` of the same raw records."""
-
-    def found(_path: Column, text: Column) -> Column:
-        return F.when(text.isNotNull(), F.array(text)).otherwise(F.array().cast("array<string>"))
-
-    strings = [c for c in cols if not isinstance(df.schema[c].dataType, T.NumericType)]
-    records = evaluate_once(df, {"_values": F.col(values) if values else detected_values(df, cols, rules)})
-    texts = _over_columns(df, strings, found, "array<string>")
-    hidden = records.filter(F.size("_values") > 0).select("_values", F.explode(texts).alias("value"))
-    hits = hidden.filter(_holds_any(F.col("value"), F.col("_values"))).select("value").distinct()
-    rows = hits.select(token("value", salt).alias("token"), "value")
-    return rows if existing is None else rows.join(existing.select("token"), "token", "left_anti")
+    records = evaluate_once(df.select(*cols), {"_values": detected_values(df, cols, rules)})
+    texts = hidden_texts(records, cols, F.col("_values"))
+    return vault_entries(records.filter(F.size("_values") > 0).select(F.explode(texts).alias("value")), salt, existing)
 
 
 def reidentify(df: DataFrame, vault: DataFrame, column: str = "token") -> DataFrame:

@@ -87,8 +87,23 @@ def rules_df(spark: SparkSession, given: Iterable[Rule | Mapping] | None = None)
     return _local_table(spark, found)
 
 
+def _yaml(spark: SparkSession, path: str) -> dict:
+    """A YAML configuration file from any file system that Spark reads."""
+    try:
+        import yaml
+    except ImportError as error:
+        raise RuntimeError("PyYAML is needed for YAML files; use JSON instead") from error
+    return yaml.safe_load(spark.read.text(path, wholetext=True).first()[0]) or {}
+
+
+def _known_fields(kind: type, item: Mapping) -> dict:
+    return {k: v for k, v in item.items() if k in kind.__dataclass_fields__}
+
+
 def read_rules(spark: SparkSession, path: str, limit: int = MAX_RULES) -> list[Rule]:
-    """Rules from a JSON file. They become literals of the plan, hence the checked row count."""
+    """Rules from a JSON or YAML file. They become literals of the plan, hence the checked row count."""
+    if path.endswith((".yaml", ".yml")):
+        return rules(_known_fields(Rule, item) for item in _yaml(spark, path).get("rules") or [])
     found = spark.read.schema(RULE_SCHEMA).json(path).na.fill({"needs": "", "enabled": True}).take(limit + 1)
     if len(found) > limit:
         raise ValueError(f"more than {limit} privacy rules in {path}")
@@ -101,6 +116,11 @@ def catalog_df(spark: SparkSession, given: Iterable[Concept | Mapping] | None =
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """Terminology rows from JSON, or from YAML with the concepts as keys."""
+    if path.endswith((".yaml", ".yml")):
+        concepts = _yaml(spark, path).get("concepts") or {}
+        empty = {"display": "", "snomed": "", "loinc": "", "icd10": ""}
+        return catalog_df(spark, [{**empty, **_known_fields(Concept, c), "concept": k} for k, c in concepts.items()])
     found = spark.read.schema(CATALOG_SCHEMA).json(path).na.fill("")
     if not found.take(1):
         raise ValueError("terminology catalog empty")

@@ -19,9 +19,10 @@ from vitalweave.functions.scalars import present, rfc3339_time
 from vitalweave.operators.cohort import rollup_rows
 from vitalweave.operators.features import event_features
 from vitalweave.operators.ingest import validate_requests
-from vitalweave.operators.linkage import deterministic_key, link_deterministic, link_rows, master_id
+from vitalweave.operators.linkage import deterministic_key, known_masters, link_known, link_rows, master_id
 from vitalweave.operators.normalize import PAYLOAD, SUPPORTED, normalize
-from vitalweave.operators.privacy import detected_values, tokenize, vault_rows
+from vitalweave.operators.privacy import detected_values, hidden_texts, tokenize, vault_entries
+from vitalweave.session import cut_lineage
 from vitalweave.sources.reference_data import CLINICAL_RULES, Rule
 from vitalweave.sources.tables import write_facts
 
@@ -47,23 +48,40 @@ def unwrap(events: DataFrame) -> DataFrame:
     return filled.drop("_payload", "_malformed", "request_patient")
 
 
-def store_batch(
-    requests: DataFrame,
-    batch_id: int,
-    out: str,
+def prepare(
+    events: DataFrame,
     catalog: DataFrame,
     salt: str,
-    registry: DataFrame,
     rules: Sequence[Rule] = CLINICAL_RULES,
     allowed: Sequence[str] = SUPPORTED,
+) -> DataFrame:
+    """Decoded events to de-identified canonical records, on a batch or a stream.
+
+    ``reason`` is set for rejected events. ``hidden`` holds the texts that became
+    tokens; it goes to the vault and to no other table.
+    """
+    requests = unwrap(events)
+    found = evaluate_once(requests, {"phi": detected_values(requests, ["payload"], rules)})
+    marked = found.withColumns({"hidden": hidden_texts(found, ["payload"], F.col("phi")), "rejected": F.col("reason")})
+    records = normalize(
+        tokenize(marked, ["payload"], salt, rules, values="phi"), catalog, allowed, keep=("hidden", "rejected")
+    )
+    return records.withColumn("reason", F.coalesce("rejected", "reason")).drop("rejected")
+
+
+def store_batch(
+    records: DataFrame,
+    batch_id: int,
+    out: str,
+    salt: str,
+    known: DataFrame,
     link_fields: Sequence[str] = ("patient_id",),
 ) -> None:
-    """Write every table of one batch under its batch id; a replay overwrites the same folders."""
-    held = evaluate_once(requests, {"phi": detected_values(requests, ["payload"], rules)})
-    held = held.persist(StorageLevel.MEMORY_AND_DISK)
-    good = held.filter(F.col("reason").isNull())
-    records = normalize(tokenize(good, ["payload"], salt, rules, values="phi"), catalog, allowed)
-    keyed = link_deterministic(deterministic_key(records, link_fields), registry)
+    """Link prepared records and write every table of the batch under its id; a replay overwrites the same folders.
+
+    ``known`` has one master for each key, see :func:`known_masters`.
+    """
+    keyed = link_known(deterministic_key(records, link_fields), known)
     fresh = F.col("link_key").isNull()
     linked = keyed.withColumns(
         {
@@ -73,8 +91,6 @@ def store_batch(
         }
     ).persist(StorageLevel.MEMORY_AND_DISK)
     accepted = linked.filter(F.col("reason").isNull())
-    rejected = held.filter(F.col("reason").isNotNull()).select("id", "reason")
-    rejected = rejected.unionByName(linked.filter(F.col("reason").isNotNull()).select("id", "reason"))
     facts = accepted.select(
         "id", "master_id", "patient_id", "resource_type", "concept", "value", "unit", "timestamp",
         F.col("loinc").alias("code_loinc"), F.col("snomed").alias("code_snomed"), F.col("icd10").alias("code_icd10"),
@@ -84,8 +100,8 @@ def store_batch(
         "rollups": rollup_rows(facts),
         "features": event_features(facts),
         "links": link_rows(accepted, attributes),
-        "vault": vault_rows(good, ["payload"], salt, rules, values="phi"),
-        "quarantine": rejected,
+        "vault": vault_entries(linked.select(F.explode("hidden").alias("value")), salt),
+        "quarantine": linked.filter(F.col("reason").isNotNull()).select("id", "reason"),
     }
     try:
         write_facts(facts, f"{out}/facts/batch_id={batch_id}", "overwrite")
@@ -93,19 +109,36 @@ def store_batch(
             rows.write.mode("overwrite").parquet(f"{out}/{name}/batch_id={batch_id}")
     finally:
         linked.unpersist()
-        held.unpersist()
 
 
 def run_flow(
-    events: DataFrame, out: str, checkpoint: str, catalog: DataFrame, salt: str, registry: DataFrame, **options: object
+    events: DataFrame,
+    out: str,
+    checkpoint: str,
+    catalog: DataFrame,
+    salt: str,
+    links: DataFrame,
+    delay: str | None = None,
+    link_fields: Sequence[str] = ("patient_id",),
+    **options: object,
 ) -> StreamingQuery:
-    """Start the stream over decoded events; it stops by itself when the available input is stored."""
+    """Start the stream over decoded events; it stops by itself when the available input is stored.
+
+    The stages up to the canonical record belong to the streaming plan, which is built
+    once; a batch only links and writes. With a ``delay``, an event id that comes again
+    within it is stored once. The links known at the start are reduced to one master for
+    each key before the first batch.
+    """
+    known = cut_lineage(known_masters(links))
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        store_batch(batch, batch_id, out, catalog, salt, registry, **options)
+        store_batch(batch, batch_id, out, salt, known, link_fields)
 
+    if delay:
+        timed = events.withColumn("sent_at", rfc3339_time("timestamp").cast("timestamp"))
+        events = dedupe_events(timed, delay, "sent_at")
     return (
-        unwrap(events)
+        prepare(events, catalog, salt, **options)
         .writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
