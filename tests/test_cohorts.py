@@ -97,7 +97,7 @@ def test_timeline_of_a_hot_patient(facts):
 
 def test_top_n_needs_a_positive_size(facts):
     with pytest.raises(ValueError):
-        top_n_per_key(facts, ["patient_id"], [F.asc("id")], 0, F.col("id"))
+        top_n_per_key(facts, ["patient_id"], [F.asc("id")], 0)
 
 
 def test_running_total_over_buckets(facts):

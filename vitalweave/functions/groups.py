@@ -20,18 +20,18 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     return picked.select(*keys, "_row.*").select(*df.columns)
 
 
-def top_n_per_key(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, spread: Column, salts: int = 16
-) -> DataFrame:
+def top_n_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, salts: int = 64) -> DataFrame:
     """First ``n`` rows of every key in a total order.
 
     Ranking runs twice: first within (key, salt), which spreads a hot key over
-    ``salts`` tasks, then over the at most ``n * salts`` survivors of each key.
-    Spark also cuts both rankings to ``n`` before each shuffle.
+    ``salts`` tasks, then over the at most ``n * salts`` survivors of each key. Spark
+    also cuts both rankings to ``n`` before each shuffle. The salt follows the input
+    partition, so that a map task keeps ``n`` rows of a key and not ``n`` for each salt;
+    the result does not depend on it.
     """
     if n < 1:
         raise ValueError("n must be positive")
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
+    salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
     first = Window.partitionBy(*keys, "_salt").orderBy(*order)
     final = Window.partitionBy(*keys).orderBy(*order)
     kept = salted.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= n)

@@ -34,7 +34,7 @@ def _noise(scale: float, seed: int | None, keys: Sequence[str], draw: str) -> Co
 def bounded_rows(df: DataFrame, person: str, value: str, bounds: Bounds, row_id: str) -> DataFrame:
     """At most ``bounds.rows`` rows with a value of each person, with clamped values."""
     order = [F.xxhash64(row_id), F.asc(row_id)]
-    kept = top_n_per_key(df.filter(F.col(value).isNotNull()), [person], order, bounds.rows, F.col(row_id))
+    kept = top_n_per_key(df.filter(F.col(value).isNotNull()), [person], order, bounds.rows)
     clamped = F.greatest(F.least(F.col(value).cast("double"), F.lit(bounds.high)), F.lit(bounds.low))
     return kept.withColumn(value, clamped)
 

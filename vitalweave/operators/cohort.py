@@ -193,30 +193,30 @@ class CohortQuery:
     tenant: str | None = None
     limit: int = PATIENT_PAGE
     strict: bool = True
+    metric: str | None = None
 
 
 def cohort_query(facts: DataFrame, spec: CohortQuery) -> dict[str, DataFrame]:
     """Count, patients, sample records and rollup slices of one filtered cohort.
 
-    The slices narrow the cohort's own rollups by metric and patient when a clause
-    fixes them. Persist ``rows`` before running several of the parts.
+    The slices are the newest rollups of the tenant, of the given metric and of the
+    patient that a clause fixes. Persist ``rows`` before running several of the parts.
     """
     rows = cohort_filter(facts, spec.clauses, spec.tenant, spec.strict)
     fixed = {c.field: str(c.value).strip().strip("'\"") for c in spec.clauses if c.op == "="}
-    metric = fixed["resource_type"].lower() if "resource_type" in fixed else None
     return {
         "rows": rows,
         "count": cohort_count(rows),
         "patients": cohort_patients(rows, min(spec.limit, PATIENT_PAGE)),
         "records": cohort_records(rows, spec.fields, min(spec.limit, RECORD_SAMPLE)),
-        "slices": slice_rollups(rollup_rows(tenant_view(facts, spec.tenant)), metric, fixed.get("patient_id")),
+        "slices": slice_rollups(rollup_rows(tenant_view(facts, spec.tenant)), spec.metric, fixed.get("patient_id")),
     }
 
 
 def timeline(facts: DataFrame, patients: DataFrame | None = None, n: int = TIMELINE_ROWS) -> DataFrame:
     """Oldest ``n`` facts of each patient, of the listed patients when given."""
     wanted = facts if patients is None else facts.join(patients.select("patient_id").distinct(), "patient_id", "left_semi")
-    return top_n_per_key(wanted, ["patient_id"], [F.asc("timestamp"), F.asc("id")], n, F.col("id"))
+    return top_n_per_key(wanted, ["patient_id"], [F.asc("timestamp"), F.asc("id")], n)
 
 
 def drilldown(
@@ -313,5 +313,6 @@ def materialization_counts(df: DataFrame, tenant: str | None) -> DataFrame:
 
 
 def page(df: DataFrame, order: Sequence[Column], size: int, number: int) -> DataFrame:
-    """Page ``number`` (from 1) in a total order."""
+    """Page ``number`` (from 1) in a total order; sizes and numbers below one count as one."""
+    size, number = max(size, 1), max(number, 1)
     return df.orderBy(*order).offset((number - 1) * size).limit(size)

@@ -187,7 +187,7 @@ def link_rows(df: DataFrame, attributes: Sequence[str], created_at: str = "times
 def links_for(links: DataFrame, patients: DataFrame | None = None, n: int = LINKS_PER_PATIENT) -> DataFrame:
     """Newest ``n`` links of each patient, of the listed patients when given."""
     wanted = links if patients is None else links.join(patients.select("patient_id").distinct(), "patient_id", "left_semi")
-    return top_n_per_key(wanted, ["patient_id"], [F.desc("created_at"), F.desc("id")], n, F.col("id"))
+    return top_n_per_key(wanted, ["patient_id"], [F.desc("created_at"), F.desc("id")], n)
 
 
 def linkage_summary(links: DataFrame, n: int = LINKS_PER_PATIENT) -> DataFrame:

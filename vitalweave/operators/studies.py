@@ -105,13 +105,13 @@ def apply_consents(subjects: DataFrame, signatures: DataFrame) -> DataFrame:
 def list_consent_versions(df: DataFrame, n: int = LIST_ROWS) -> DataFrame:
     """Newest consent versions of each study by effective time."""
     order = [F.desc("effective_at"), F.desc("id")]
-    return top_n_per_key(df, ["study_id"], order, _size(n), F.col("id"))
+    return top_n_per_key(df, ["study_id"], order, _size(n))
 
 
 def list_subjects(df: DataFrame, n: int = LIST_ROWS) -> DataFrame:
     """Newest subjects of each study."""
     order = [F.desc("created_at"), F.desc("subject_id")]
-    return top_n_per_key(df, ["study_id"], order, _size(n), F.col("subject_id"))
+    return top_n_per_key(df, ["study_id"], order, _size(n))
 
 
 def audit_rows(events: DataFrame) -> DataFrame:
@@ -122,7 +122,7 @@ def audit_rows(events: DataFrame) -> DataFrame:
 
 def audit_tail(log: DataFrame, n: int = LIST_ROWS) -> DataFrame:
     order = [F.desc("created_at"), F.desc("id")]
-    return top_n_per_key(log, ["study_id"], order, _size(n), F.col("id"))
+    return top_n_per_key(log, ["study_id"], order, _size(n))
 
 
 def current_study_status(events: DataFrame) -> DataFrame:

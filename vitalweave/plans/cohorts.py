@@ -95,7 +95,7 @@ def _(t: Tables):
     "facts",
 )
 def _(t: Tables):
-    parts = C.cohort_query(t["facts"], CohortQuery(GLUCOSE, tenant="tenant-2"))
+    parts = C.cohort_query(t["facts"], CohortQuery(GLUCOSE, tenant="tenant-2", metric="observation"))
 
     def items(part: str, df: DataFrame, item):
         return df.select(F.lit(part).alias("part"), item.alias("item"))

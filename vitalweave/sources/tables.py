@@ -57,8 +57,10 @@ def export_rows(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     )
 
 
-def export_cohort(df: DataFrame, fields: Sequence[str], path: str) -> None:
-    """Distributed CSV export with a header in each part file."""
+def export_cohort(df: DataFrame, fields: Sequence[str], path: str, limit: int | None = None) -> None:
+    """Distributed CSV export with a header in each part file; with a limit, of the newest rows."""
+    if limit is not None:
+        df = df.orderBy(F.desc("timestamp"), F.desc("id")).limit(limit)
     export_rows(df, fields).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
 
 
