@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,6 +74,8 @@ def test_no_cross_join_in_the_plan(spark, people, capsys):
     L.link_probabilistic(*frames(spark, people), "block").explain()
     plan = capsys.readouterr().out
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert re.search(r"hashpartitioning\(_block#\d+L?, _left_tile", plan), "a hot block is grouped by tile, not by block"
+    assert re.search(r"hashpartitioning\(_block#\d+L?, _right_tile", plan)
 
 
 def test_key_takes_the_first_field_with_a_value(spark):

@@ -41,6 +41,12 @@ def test_positions_match_brute_force(notes):
         assert sorted(got) == sorted(expected(text)), text
 
 
+def test_positions_of_very_many_matches(spark):
+    text = "ü " + " ".join(f"u{i}@example.com" for i in range(3000))
+    rows = P.phi_positions(spark.createDataFrame([(1, text)], "id int, t string"), "id", ["t"]).collect()
+    assert sorted((r["type"], r["start"], r["end"], r["value"]) for r in rows) == sorted(expected(text))
+
+
 def test_matches_and_summary(notes):
     rows = {r["id"]: r for r in P.phi_summary(notes, "id", ["note"]).collect()}
     assert rows[0]["phi_types"] == ["email", "ssn"] and rows[0]["confidence"] == 0.85

@@ -160,33 +160,39 @@ def positions(df: DataFrame, cols: Sequence[str], rules: Sequence[Rule] = CLINIC
     Text is split at the matches; a match starts after the pieces and matches before it.
     """
 
-    def bytes_of(texts: Column, count: Column) -> Column:
-        first = F.slice(texts, F.lit(1), count)
-        return F.aggregate(first, F.lit(0).cast("bigint"), lambda n, t: n + F.octet_length(t))
+    searches = [Search(rule) for rule in rules]
 
     def found(path: Column, text: Column) -> Column:
-        def rows(rule: Rule) -> Column:
+        def rows(search: Search) -> Column:
+            def starts(values: Column) -> Column:
+                pieces = F.split(text, ascii_pattern(search.rule.pattern), -1)
+                pairs = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(values)).alias("piece"), values.alias("value"))
+                first = F.struct(F.lit(0).cast("bigint").alias("end"), F.array().cast("array<bigint>").alias("starts"))
+
+                def step(seen: Column, pair: Column) -> Column:
+                    start = seen["end"] + F.octet_length(pair["piece"])
+                    end = start + F.octet_length(pair["value"])
+                    return F.struct(end.alias("end"), F.array_append(seen["starts"], start).alias("starts"))
+
+                return F.aggregate(pairs, first, step, lambda seen: seen["starts"])
+
             def place(values: Column) -> Column:
-                both = F.struct(F.split(text, ascii_pattern(rule.pattern), -1).alias("pieces"), values.alias("values"))
-                return F.flatten(F.transform(F.array(both), starts))
+                return F.transform(F.array(F.struct(values.alias("values"), starts(values).alias("starts"))), each)[0]
 
-            def starts(pair: Column) -> Column:
+            def each(both: Column) -> Column:
                 def one(value: Column, i: Column) -> Column:
-                    start = bytes_of(pair["pieces"], i + 1) + bytes_of(pair["values"], i)
+                    start = F.get(both["starts"], i)
+                    end = start + F.octet_length(value)
                     return F.struct(
-                        path.alias("path"),
-                        F.lit(rule.type).alias("type"),
-                        start.alias("start"),
-                        (start + F.octet_length(value)).alias("end"),
-                        value.alias("value"),
+                        path.alias("path"), search.kind, start.alias("start"), end.alias("end"), value.alias("value")
                     )
 
-                return F.transform(pair["values"], one)
+                return F.transform(both["values"], one)
 
-            some = F.filter(F.array(find_all(text, rule)), lambda values: F.size(values) > 0)
+            some = F.filter(F.array(search.find_all(text)), lambda values: F.size(values) > 0)
             return F.flatten(F.transform(some, place))
 
-        return F.concat(*[rows(rule) for rule in rules])
+        return F.concat(*[rows(search) for search in searches])
 
     return _over_columns(df, cols, found, POSITION)
 

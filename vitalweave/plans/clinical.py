@@ -306,12 +306,12 @@ def _(t: Tables):
     "l6_links_for",
     """SELECT id, patient_id, master_id, created_at FROM (
        SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY created_at DESC, id DESC) AS n FROM links
-       WHERE patient_id IN (SELECT patient_id FROM registry WHERE block < 12)) x WHERE n <= 5""",
+       WHERE patient_id IN (SELECT patient_id FROM registry WHERE patient_id LIKE '%-building')) x WHERE n <= 5""",
     "links",
     "registry",
 )
 def _(t: Tables):
-    asked = t["registry"].filter("block < 12")
+    asked = t["registry"].filter("patient_id LIKE '%-building'")
     return L.links_for(t["links"], asked, 5).select("id", "patient_id", "master_id", "created_at")
 
 

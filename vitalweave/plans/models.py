@@ -209,7 +209,12 @@ def merged(t: Tables) -> DataFrame:
     return T.merge_features(X.latest_features(stored(t)), requests(t))
 
 
-@plan("t5_score", f"{MERGED_SQL} SELECT request_id, round({SCORE_SQL}, 10) AS risk_score, CASE WHEN value IS NULL THEN 'missing feature value' END AS error FROM merged", *MODEL_TABLES)
+@plan(
+    "t5_score",
+    f"""{MERGED_SQL} SELECT request_id, round({SCORE_SQL}, 10) AS risk_score,
+        CASE WHEN value IS NULL THEN 'missing feature value' END AS error FROM merged""",
+    *MODEL_TABLES,
+)
 def _(t: Tables):
     return T.score(merged(t), MODEL).select("request_id", rounded("risk_score", 10), "error")
 

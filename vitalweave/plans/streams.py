@@ -23,9 +23,9 @@ def fresh_dir(t: Tables, name: str) -> str:
 
 
 def event_stream(t: Tables) -> DataFrame:
-    """The events table as a file stream."""
+    """The events table as a file stream; the pattern fits a single file as well as a folder of part files."""
     schema = t["events"].schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
+    return t.spark.readStream.schema(schema).parquet(f"{t.sf_dir}/events.parque[t]")
 
 
 def messages(df: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ def _(t: Tables):
     "g2_stored_tables",
     f"""WITH kept AS (SELECT * FROM payloads WHERE {KEPT_SQL})
         SELECT 'facts' AS name, count(*) AS n FROM kept UNION ALL SELECT 'rollups', count(*) FROM kept
-        UNION ALL SELECT 'features', count(*) FROM kept UNION ALL SELECT 'links', count(*) FROM kept
+        UNION ALL SELECT 'features', count(DISTINCT row({PATIENT_SQL}, {TIME_SQL})) FROM kept UNION ALL SELECT 'links', count(*) FROM kept
         UNION ALL SELECT 'quarantine', (SELECT count(*) FROM payloads) - count(*) FROM kept""",
     "payloads",
 )

@@ -132,7 +132,7 @@ FROM {customer}""",
 SELECT reg_id AS inc_id, block,
        CASE WHEN reg_id % 20 = 0 THEN concat('  ', upper(patient_id), ' ')
             ELSE concat(substr(patient_id, 1, 9), substr(patient_id, 11, 1), substr(patient_id, 10, 1), substr(patient_id, 12)) END AS patient_id
-FROM {registry} WHERE reg_id % 10 = 0""",
+FROM {registry}""",
     # Records to link by key: some without a patient id, some with neither field.
     "link_input": """
 SELECT inc_id AS id,

@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from vitalweave.functions.once import evaluate_once
 from vitalweave.functions.scalars import present, rfc3339_time
 from vitalweave.operators.cohort import rollup_rows
-from vitalweave.operators.features import event_features
+from vitalweave.operators.features import append_features, event_features
 from vitalweave.operators.ingest import validate_requests
 from vitalweave.operators.linkage import deterministic_key, known_masters, link_known, link_rows, master_id
 from vitalweave.operators.normalize import PAYLOAD, SUPPORTED, normalize
@@ -98,7 +98,7 @@ def store_batch(
     attributes = ["concept", "value", "unit", "recorded_date", "clinical_status", "performed"]
     tables = {
         "rollups": rollup_rows(facts),
-        "features": event_features(facts),
+        "features": append_features(event_features(facts)),
         "links": link_rows(accepted, attributes),
         "vault": vault_entries(linked.select(F.explode("hidden").alias("value")), salt),
         "quarantine": linked.filter(F.col("reason").isNotNull()).select("id", "reason"),
@@ -147,9 +147,11 @@ def run_flow(
 
 
 def read_store(spark: SparkSession, out: str, table: str) -> DataFrame:
-    """A stored table over all batches; vault entries seen in several batches count once."""
+    """A stored table over all batches: each vault entry once, and the first write of each feature version."""
     rows = spark.read.parquet(f"{out}/{table}")
-    return rows.drop("batch_id").dropDuplicates(["token"]) if table == "vault" else rows
+    if table == "vault":
+        return rows.drop("batch_id").dropDuplicates(["token"])
+    return append_features(rows) if table == "features" else rows
 
 
 def dedupe_events(df: DataFrame, delay: str = "1 hour", at: str = "timestamp") -> DataFrame:
