@@ -105,6 +105,13 @@ def test_tokens_hide_the_whole_text_and_come_back(spark, notes):
     assert P.vault_rows(notes, ["note"], "salt", existing=vault).count() == 0
 
 
+def test_no_rules_and_no_columns(notes):
+    assert P.detect_phi(notes, "id", ["note"], []).count() == 0
+    assert P.detect_phi(notes, "id", []).count() == 0
+    assert P.tokenize(notes, ["note"], "s", []).collect() == notes.collect()
+    assert P.mask_phi(notes, ["note"], []).collect() == notes.collect()
+
+
 def test_a_value_found_in_one_field_hides_another(spark):
     row = spark.createDataFrame([("123-45-6789", "id=123-45-6789x", "free")], "a string, b string, c string")
     got = P.tokenize(row, ["a", "b", "c"], "s").first()

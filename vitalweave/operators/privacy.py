@@ -17,6 +17,7 @@ from vitalweave.functions.once import evaluate_once
 from vitalweave.functions.scalars import clean, token
 from vitalweave.sources.reference_data import CLINICAL_RULES, Rule
 
+TEXTS = "array<string>"
 LEAF = "array<struct<path:string,text:string>>"
 MATCH = "array<struct<path:string,type:string,mask:string,value:string>>"
 POSITION = "array<struct<path:string,type:string,start:bigint,end:bigint,value:string>>"
@@ -45,6 +46,11 @@ def ascii_pattern(pattern: str) -> str:
     return re.sub(r"\\(.)", form, pattern)
 
 
+def _joined(parts: Sequence[Column], result: str) -> Column:
+    """Arrays end to end; empty when there are none."""
+    return F.concat(*parts) if parts else F.array().cast(result)
+
+
 def _each_text(value: Column, kind: T.DataType, path: Column, found: Callable[[Column, Column], Column], result: str):
     """Concatenation of ``found(path, text)`` over all leaves of a value of any type."""
 
@@ -55,7 +61,7 @@ def _each_text(value: Column, kind: T.DataType, path: Column, found: Callable[[C
             parts = [
                 walk(value.getField(f.name), f.dataType, F.concat(path, F.lit("." + f.name))) for f in kind.fields
             ]
-            return F.concat(*parts) if parts else F.array().cast(result)
+            return _joined(parts, result)
         if isinstance(kind, T.ArrayType):
             items = F.flatten(F.transform(value, lambda item: walk(item, kind.elementType, path)))
         elif isinstance(kind, T.MapType):
@@ -76,7 +82,7 @@ def _each_text(value: Column, kind: T.DataType, path: Column, found: Callable[[C
 
 def _over_columns(df: DataFrame, cols: Sequence[str], found: Callable[[Column, Column], Column], result: str) -> Column:
     parts = [_each_text(F.col(c), df.schema[c].dataType, F.lit(c), found, result) for c in cols]
-    return F.concat(*parts)
+    return _joined(parts, result)
 
 
 class Search:
@@ -86,7 +92,7 @@ class Search:
         self.rule = rule
         self.kind, self.mask = F.lit(rule.type).alias("type"), F.lit(rule.mask).alias("mask")
         self._needs, self._pattern = F.lit(rule.needs), F.lit(ascii_pattern(rule.pattern))
-        self._whole, self._none = F.lit(0), F.array().cast("array<string>")
+        self._whole, self._none = F.lit(0), F.array().cast(TEXTS)
 
     def find_all(self, text: Column) -> Column:
         """All matches; text without what every match needs is not searched."""
@@ -144,7 +150,7 @@ def matches(df: DataFrame, cols: Sequence[str], rules: Sequence[Rule] = CLINICAL
 
             return F.transform(search.find_all(text), row)
 
-        return F.concat(*[rows(search) for search in searches])
+        return _joined([rows(search) for search in searches], MATCH)
 
     return _over_columns(df, cols, found, MATCH)
 
@@ -192,7 +198,7 @@ def positions(df: DataFrame, cols: Sequence[str], rules: Sequence[Rule] = CLINIC
             some = F.filter(F.array(search.find_all(text)), lambda values: F.size(values) > 0)
             return F.flatten(F.transform(some, place))
 
-        return F.concat(*[rows(search) for search in searches])
+        return _joined([rows(search) for search in searches], POSITION)
 
     return _over_columns(df, cols, found, POSITION)
 
@@ -249,9 +255,9 @@ def detected_values(df: DataFrame, cols: Sequence[str], rules: Sequence[Rule] =
     searches = [Search(rule) for rule in rules]
 
     def found(_path: Column, text: Column) -> Column:
-        return F.concat(*[search.find_all(text) for search in searches])
+        return _joined([search.find_all(text) for search in searches], TEXTS)
 
-    return F.array_distinct(_over_columns(df, cols, found, "array<string>"))
+    return F.array_distinct(_over_columns(df, cols, found, TEXTS))
 
 
 def _holds_any(text: Column, values: Column) -> Column:
@@ -277,13 +283,13 @@ def tokenize(
 
 def hidden_texts(df: DataFrame, cols: Sequence[str], values: Column) -> Column:
     """The string leaves that :func:`tokenize` replaces for the given detected values."""
-    none = F.array().cast("array<string>")
+    none = F.array().cast(TEXTS)
 
     def found(_path: Column, text: Column) -> Column:
         return F.when(_holds_any(text, values), F.array(text)).otherwise(none)
 
     strings = [c for c in cols if not isinstance(df.schema[c].dataType, T.NumericType)]
-    return _over_columns(df, strings, found, "array<string>")
+    return _over_columns(df, strings, found, TEXTS)
 
 
 def vault_entries(texts: DataFrame, salt: str, existing: DataFrame | None = None) -> DataFrame:
