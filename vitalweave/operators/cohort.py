@@ -230,8 +230,14 @@ def drilldown(
     """Timeline rows with the patient's resolved features and linkage summary beside them.
 
     Features are rows of (entity_id, features). Both sides are one row per patient
-    and the timeline is at most ``n`` rows per patient before it is joined.
+    and the timeline is at most ``n`` rows per patient before it is joined. A list of
+    patients narrows all inputs before anything is aggregated.
     """
+    if patients is not None:
+        patients = patients.select("patient_id").distinct()
+        entities = patients.select(F.col("patient_id").alias("entity_id"))
+        online, offline = (df.join(entities, "entity_id", "left_semi") for df in (online, offline))
+        links = links.join(patients, "patient_id", "left_semi")
     events = timeline(facts, patients, n)
     known = resolve_features(online, latest_features(offline)).select(
         F.col("entity_id").alias("patient_id"), "features", "feature_source"

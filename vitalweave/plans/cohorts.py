@@ -164,9 +164,9 @@ def feature_rows(t: Tables) -> DataFrame:
     return rows.select("entity_id", "version", values.alias("features"), "created_at", "source_id")
 
 
-@plan(
-    "c11_drilldown",
-    f"""WITH events_of AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY timestamp, id) AS n FROM facts) x WHERE n <= 10),
+def drilldown_sql(where: str) -> str:
+    return f"""WITH events_of AS (SELECT * FROM (
+            SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY timestamp, id) AS n FROM facts {where}) x WHERE n <= 10),
         stored AS (SELECT entity_id, max_by(concept, row(created_at, version)) AS concept FROM offline_features GROUP BY entity_id),
         live AS (SELECT entity_id, max_by(concept, row(created_at, version)) AS concept FROM offline_features
                  WHERE created_at > TIMESTAMP '{AS_OF}' - INTERVAL '1' DAY AND created_at <= TIMESTAMP '{AS_OF}' GROUP BY entity_id),
@@ -175,17 +175,15 @@ def feature_rows(t: Tables) -> DataFrame:
                    FROM fact_links GROUP BY patient_id)
         SELECT e.id, e.patient_id, e.concept, coalesce(l.concept, s.concept) AS feature_concept,
                CASE WHEN l.entity_id IS NOT NULL THEN 'online' ELSE 'offline' END AS feature_source,
-               k.master_patient_id, k.link_method, CAST(k.link_count AS BIGINT) AS link_count
+               k.master_patient_id, k.link_method, CAST(coalesce(k.link_count, 0) AS BIGINT) AS link_count
         FROM events_of e LEFT JOIN stored s ON s.entity_id = e.patient_id LEFT JOIN live l ON l.entity_id = e.patient_id
-        LEFT JOIN linked k ON k.patient_id = e.patient_id""",
-    "facts",
-    "offline_features",
-    "fact_links",
-)
-def _(t: Tables):
+        LEFT JOIN linked k ON k.patient_id = e.patient_id"""
+
+
+def drilldown(t: Tables, patients: DataFrame | None) -> DataFrame:
     stored = feature_rows(t)
     live = online_features(stored, clock(AS_OF), timedelta(days=1))
-    rows = C.drilldown(t["facts"], live, stored, t["fact_links"], n=10)
+    rows = C.drilldown(t["facts"], live, stored, t["fact_links"], patients, n=10)
     return rows.select(
         "id",
         "patient_id",
@@ -194,10 +192,27 @@ def _(t: Tables):
         "feature_source",
         "master_patient_id",
         "link_method",
-        F.col("link_count").cast("bigint").alias("link_count"),
+        F.coalesce("link_count", F.lit(0)).cast("bigint").alias("link_count"),
     )
 
 
+DRILLDOWN_TABLES = ("facts", "offline_features", "fact_links")
+
+
+@plan("c11_drilldown", drilldown_sql(""), *DRILLDOWN_TABLES)
+def _(t: Tables):
+    return drilldown(t, None)
+
+
+@plan(
+    "c11_drilldown_listed",
+    drilldown_sql(f"WHERE patient_id IN (SELECT patient_id FROM facts WHERE {GLUCOSE_SQL})"),
+    *DRILLDOWN_TABLES,
+)
+def _(t: Tables):
+    return drilldown(t, C.cohort_filter(t["facts"], GLUCOSE).select("patient_id"))
+
+
 NUMERIC = r"regexp_matches(trim(value), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$')"
 
 
