@@ -16,7 +16,7 @@ from vitalweave.session import cut_lineage
 THRESHOLD = 0.85
 RECENT = 100
 LINKS_PER_PATIENT = 25
-TILE = 2_048
+TILE = 1_024
 
 
 def deterministic_key(df: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -116,11 +116,15 @@ def best_candidates(
     open_ = settled.filter(F.col("_ref").isNull()).drop("_ref")
     left, _ = _tiles(open_, tile, "left")
     right, right_sizes = _tiles(known, tile, "right")
-    # One copy of an incoming tile per registry tile; the pair of keys then spreads a hot block.
+    # One copy of an incoming tile per registry tile; pairs of tiles then spread a hot block.
     spread = left.join(right_sizes, "_block").select(
-        "_block", "_left", F.explode(F.sequence(F.lit(0), F.col("_right_tiles") - 1)).alias("_right_tile")
+        "_block", "_left_tile", "_left", F.explode(F.sequence(F.lit(0), F.col("_right_tiles") - 1)).alias("_right_tile")
     )
-    pairs = spread.join(right, ["_block", "_right_tile"]).select(
+    # Scoring is the work here, not the bytes: a fixed number of partitions keeps adaptive
+    # execution from packing many tile pairs into one task by their size.
+    tasks = 4 * int(incoming.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = spread.join(right, ["_block", "_right_tile"]).repartition(tasks, "_block", "_right_tile", "_left_tile")
+    pairs = placed.select(
         "_block", "_right_tile", "_left._text", F.col("_right._text").alias("_texts"), F.col("_right._ref").alias("_refs")
     )
     kinds = {f.name: f.dataType.simpleString() for f in known.schema.fields}
