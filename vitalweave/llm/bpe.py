@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections.abc import Callable, Sequence
 from itertools import chain
 from pathlib import Path
 
@@ -67,44 +68,78 @@ def _symbols(token: str) -> str:
     return token
 
 
-class Codec:
-    """Encoder and decoder of one vocabulary."""
+class Recent:
+    """A bounded memory of results: the latest entries, and those before them until as many new ones have come."""
+
+    def __init__(self, make: Callable, size: int = CACHED_WORDS):
+        self.make, self.size = make, size
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def missing(self, key):
+        """The value of a key that is not among the latest."""
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self.new) >= self.size:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+        return value
+
+
+class Decoder:
+    """Token texts in one byte string, with their offsets and sizes."""
+
+    def __init__(self, vocabulary: dict):
+        tokens = {**vocabulary["vocab"], **vocabulary["special"]}
+        texts = [b""] * (max(tokens.values()) + 1)
+        for token, i in tokens.items():
+            texts[i] = token.encode() + b" "
+        self.blob = np.frombuffer(b"".join(texts), np.uint8)
+        self.sizes = np.array([len(x) for x in texts], np.int32)
+        self.offsets = np.cumsum(self.sizes, dtype=np.int32) - self.sizes
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """Token texts, one space between them; an id outside the vocabulary has no text."""
+        ids = ids[(ids >= 0) & (ids < len(self.sizes))]
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        if not len(ends) or not ends[-1]:
+            return b""
+        places = np.arange(ends[-1])
+        places += np.repeat(self.offsets[ids] - (ends - sizes), sizes)
+        return self.blob[places].tobytes()[:-1]
+
+
+class Encoder:
+    """Encoder of one vocabulary."""
 
     def __init__(self, vocabulary: dict):
         vocab, special = vocabulary["vocab"], vocabulary["special"]
         self.split = regex.compile(vocabulary["pattern"]).findall
         self.special = special
         self.special_split = re.compile("(" + "|".join(map(re.escape, special)) + ")").split if special else None
-        size = max([*vocab.values(), *special.values()]) + 1
+        size = max(vocab.values()) + 1
         self.parts: list[tuple[int, int]] = [(i, i) for i in range(size)]
         self.merged: dict[tuple[int, int], int] = {}
         for left, right in vocabulary["merges"]:
             pair, whole = (vocab[left], vocab[right]), vocab[left + right]
             self.merged[pair] = whole
             self.parts[whole] = pair
-        self.compatible: dict[tuple[int, int], bool] = {}
-        self.length, self.shorter = [0] * size, [-1] * size
+        self.compatible: dict[int, bool] = {}
         symbols = {_symbols(token): i for token, i in vocab.items()}
         # A token that earlier merges would cut in another way never occurs in an encoding.
-        usable = {s: i for s, i in symbols.items() if self.parts[i][0] == i or self.fits(*self.parts[i], below=i)}
+        self.usable = {s: i for s, i in symbols.items() if self.parts[i][0] == i or self.fits(*self.parts[i], below=i)}
+        self.length, self.shorter = [0] * size, [-1] * size
         self.trie = ahocorasick.Automaton()
-        for s, i in usable.items():
+        for s, i in self.usable.items():
             self.trie.add_word(s, i)
             self.length[i] = len(s)
-        for s, i in usable.items():
-            self.shorter[i] = next((usable[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in usable), -1)
+            self.shorter[i] = next((self.usable[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in self.usable), -1)
         self.trie.make_automaton()
-        self.longest = max(map(len, usable))
-        self.usable = usable
-        alphabet = byte_alphabet()
-        self.inside = {b: alphabet[b] for b in range(256)}
-        self.words: dict[str, tuple[int, ...]] = {}
-        texts = [b""] * size
-        for token, i in chain(vocab.items(), special.items()):
-            texts[i] = token.encode() + b" "
-        self.blob = np.frombuffer(b"".join(texts), np.uint8)
-        self.sizes = np.array([len(x) for x in texts], np.int64)
-        self.offsets = np.cumsum(self.sizes) - self.sizes
+        self.inside = byte_alphabet()
+        self.words = Recent(self._encode_word)
+        self.chunks = Recent(self._encode_chunk)
 
     def fits(self, left: int, right: int, below: int | None = None) -> bool:
         """Whether no merge joins the two tokens' texts across their border; with ``below``, no merge before that one.
@@ -113,7 +148,7 @@ class Codec:
         symbols at the border. A pair at the border merges if its merge comes before the
         one that took one of its sides away.
         """
-        key = (left, right)
+        key = left << 20 | right
         if below is None and (known := self.compatible.get(key)) is not None:
             return known
         bound = 1 << 60 if below is None else below
@@ -136,52 +171,69 @@ class Codec:
             self.compatible[key] = good
         return good
 
-    def _longest(self, symbols: str, at: int) -> int:
-        """The longest token at a position: the trie gives the longest way, its prefixes the token."""
-        found = symbols[at : at + self.longest]
-        n = self.trie.longest_prefix(found)
-        while found[:n] not in self.usable:
-            n -= 1
-        return self.usable[found[:n]]
-
     def encode_symbols(self, symbols: str) -> list[int]:
+        """Tokens of one word over the symbol alphabet."""
+        known, fits, length, size = self.compatible.get, self.fits, self.length, len(symbols)
         tokens: list[int] = []
-        dead = bytearray(len(symbols) + 1)
-        at, token = 0, self._longest(symbols, 0)
-        while at < len(symbols):
-            end = at + self.length[token]
-            if not dead[end] and (not tokens or self.fits(tokens[-1], token)):
+        dead = bytearray(size + 1)
+        at, last, token = 0, -1, -1
+        while True:
+            # The longest token after the longest token, as far as each fits the one before.
+            for _, token in self.trie.iter_long(symbols, at):
+                end = at + length[token]
+                if dead[end] or last >= 0 and not (known(last << 20 | token) or fits(last, token)):
+                    break
                 tokens.append(token)
-                at = end
-                if at < len(symbols):
-                    token = self._longest(symbols, at)
-            elif self.shorter[token] >= 0:
+                at, last = end, token
+            if at == size:
+                return tokens
+            # Shorter tokens there, or else another token before.
+            while True:
                 token = self.shorter[token]
-            else:
-                dead[at] = 1
-                token = tokens.pop()
-                at -= self.length[token]
-        return tokens
+                while token < 0:
+                    dead[at] = 1
+                    token = tokens.pop()
+                    at -= length[token]
+                    last = tokens[-1] if tokens else -1
+                    token = self.shorter[token]
+                end = at + length[token]
+                if not dead[end] and (last < 0 or known(last << 20 | token) or fits(last, token)):
+                    break
+            tokens.append(token)
+            at, last = end, token
+
+    def _encode_word(self, word: str) -> tuple[int, ...]:
+        inside = self.inside
+        plain = word.isascii() and word.isprintable()
+        symbols = word if plain else "".join([inside[b] for b in word.encode("utf-8")])
+        return tuple(self.encode_symbols(symbols[:-1] + chr(ENDING + ord(symbols[-1]))))
 
     def _encode_chunk(self, chunk: str) -> tuple[int, ...]:
         """Tokens of a text without white space."""
-        text = unicodedata.normalize("NFC", chunk)
-        text = text.lower() if text.isascii() else "".join(map(str.lower, text))
-        ids: list[int] = []
-        for word in self.split(text):
-            symbols = "".join(map(self.inside.__getitem__, word.encode("utf-8")))
-            ids += self.encode_symbols(symbols[:-1] + chr(ENDING + ord(symbols[-1])))
-        found = tuple(ids)
-        if len(chunk) <= CACHED_CHARS:
-            if len(self.words) >= CACHED_WORDS:
-                self.words.clear()
-            self.words[chunk] = found
-        return found
+        if chunk.isascii():
+            text = chunk.lower()
+        else:
+            text = unicodedata.normalize("NFC", chunk)
+            # Each character by itself: the small letter of a sigma does not depend on its place.
+            text = "".join(map(str.lower, text)) if "\u03a3" in text else text.lower()
+        if len(text) > CACHED_CHARS:
+            return tuple(chain.from_iterable(map(self._encode_word, self.split(text))))
+        known, missing = self.words.new.get, self.words.missing
+        if text.isascii() and text.isalpha():
+            return known(text) or missing(text)
+        return tuple([i for w in self.split(text) for i in (known(w) or missing(w))])
 
     def _encode_plain(self, text: str) -> list[int]:
         chunks = filter(None, SPACE.split(text)) if INFORMATION_SEPARATORS.search(text) else text.split()
-        known = self.words
-        return [i for c in chunks for i in (known.get(c) or self._encode_chunk(c))]
+        known, missing = self.chunks.new.get, self.chunks.missing
+        ids: list[int] = []
+        for c in chunks:
+            found = known(c)
+            if found is None:
+                found = missing(c) if len(c) <= CACHED_CHARS else self._encode_chunk(c)
+                known = self.chunks.new.get
+            ids += found
+        return ids
 
     def encode(self, text: str) -> list[int]:
         if self.special_split is None or "<|" not in text:
@@ -191,18 +243,21 @@ class Codec:
             ids += [self.special[part]] if part in self.special else self._encode_plain(part)
         return ids
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """Token texts, one space between them; an id outside the vocabulary has no text."""
-        ids = ids[(ids >= 0) & (ids < len(self.sizes))]
-        sizes = self.sizes[ids]
-        ends = np.cumsum(sizes)
-        if not len(ends) or not ends[-1]:
-            return b""
-        places = np.repeat(self.offsets[ids] - (ends - sizes), sizes) + np.arange(ends[-1])
-        return self.blob[places].tobytes()[:-1]
 
+def _id_lists(encoder: Encoder, column: pa.Array) -> pa.ListArray:
+    """The ids of each text of a column."""
+    found = [encoder.encode(as_text(t)) for t in as_bytes(column)]
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter(chain.from_iterable(found), np.int32, offsets[-1])))
 
-def encode_texts(df: DataFrame, vocabulary: dict, text: str = "text", into: str = "ids", keep: list[str] | None = None) -> DataFrame:
+
+def _texts_of(decoder: Decoder, lists: pa.ListArray) -> pa.Array:
+    """The text of each list of ids; null of a null."""
+    texts = [decoder.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None for x in lists]
+    return pa.array(texts, pa.binary()).cast(pa.string())
+
+
+def encode_texts(df: DataFrame, vocabulary: dict, text: str = "text", into: str = "ids", keep: Sequence[str] | None = None) -> DataFrame:
     """Columns ``keep`` (default: all) and the token ids of each whole text, as an array named ``into``.
 
     Null and empty texts, and texts of white space, have no ids. Row-local: repeated rows
@@ -211,22 +266,31 @@ def encode_texts(df: DataFrame, vocabulary: dict, text: str = "text", into: str
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def work(columns: list[pa.Array]) -> list[pa.Array]:
-        codec = worker_value(shared, Codec)
-        found = [codec.encode(as_text(t)) for t in as_bytes(columns[0])]
-        offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
-        flat = np.fromiter(chain.from_iterable(found), np.int32, offsets[-1])
-        return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+        return [_id_lists(worker_value(shared, Encoder), columns[0])]
 
     return map_texts(df, df.columns if keep is None else keep, [F.col(f"`{text}`").cast("string")], f"`{into}` array<int>", work)
 
 
-def decode_ids(df: DataFrame, vocabulary: dict, ids: str = "ids", into: str = "decoded", keep: list[str] | None = None) -> DataFrame:
+def decode_ids(df: DataFrame, vocabulary: dict, ids: str = "ids", into: str = "decoded", keep: Sequence[str] | None = None) -> DataFrame:
     """Columns ``keep`` (default: all) and the decoded text as ``into``; null ids give null."""
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def work(columns: list[pa.Array]) -> list[pa.Array]:
-        codec = worker_value(shared, Codec)
-        texts = [codec.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None for x in columns[0]]
-        return [pa.array(texts, pa.binary()).cast(pa.string())]
+        return [_texts_of(worker_value(shared, Decoder), columns[0])]
 
     return map_texts(df, df.columns if keep is None else keep, [F.col(f"`{ids}`").cast("array<int>")], f"`{into}` string", work, sized=False)
+
+
+def round_trip(df: DataFrame, vocabulary: dict, text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
+    """Columns ``keep`` (default: all), the ids of each text and what they decode to, in one pass of the workers.
+
+    ``ids`` and ``decoded`` are those of :func:`encode_texts` and :func:`decode_ids`.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def work(columns: list[pa.Array]) -> list[pa.Array]:
+        encoder, decoder = worker_value(shared, lambda v: (Encoder(v), Decoder(v)))
+        ids = _id_lists(encoder, columns[0])
+        return [ids, _texts_of(decoder, ids)]
+
+    return map_texts(df, df.columns if keep is None else keep, [F.col(f"`{text}`").cast("string")], "ids array<int>, decoded string", work)

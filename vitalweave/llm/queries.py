@@ -43,9 +43,7 @@ def vocabulary() -> dict:
 
 @query("op1_bpe_round_trip")
 def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = vocabulary()
-    encoded = bpe.encode_texts(table(spark, sf_dir, "documents"), tokens, "text", "ids", ["doc_id"])
-    decoded = bpe.decode_ids(encoded, tokens, "ids", "decoded", ["doc_id", "ids"])
+    decoded = bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary(), "text", ["doc_id"])
     listed = F.array_join(F.col("ids").cast("array<string>"), " ")
     return decoded.select(
         "doc_id",
