@@ -58,31 +58,38 @@ class LineRules:
 
 def _count(text: Column, characters: str) -> Column:
     """How many characters of ``text`` are among ``characters``."""
-    return F.char_length(text) - F.char_length(F.translate(text, characters, ""))
+    return F.regexp_count(text, F.lit(f"[{characters}]"))
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE_RUN), lambda w: w != "")
+    trimmed = F.btrim(text, F.lit(SPACES))
+    return F.when(trimmed == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(trimmed, SPACE_RUN))
+
+
+MARKS, HALF_MARKS, SEPARATORS = "#*$%&<>~^=_", "!?", "|»›•·"
+
+
+def _has_notice(low: Column) -> Column:
+    found = F.lit(False)
+    for phrase in BOILERPLATE:
+        found = found | low.contains(phrase)
+    return found
 
 
 def line_fails(line: Column, rules: LineRules = LineRules()) -> Column:
     """Whether a line fails a rule; a line without a word never does."""
     words = F.greatest(F.size(_words(line)), F.lit(1))
-    low = F.lower(line)
-    notice = F.lit(False)
-    for phrase in BOILERPLATE:
-        notice = notice | low.contains(phrase)
-    marks = _count(line, "#*$%&<>~^=_") + F.lit(0.5) * _count(line, "!?")
-    separators = _count(line, "|»›•·")
+    marks = _count(line, MARKS) + F.lit(0.5) * _count(line, HALF_MARKS)
+    separators = _count(line, SEPARATORS)
     return (
         (marks > F.lit(rules.symbols_per_word) * words)
         | ((separators >= rules.separators) & (separators > F.lit(rules.separators_per_word) * words))
-        | (notice & (words <= rules.notice_words))
+        | (_has_notice(F.lower(line)) & (words <= rules.notice_words))
     )
 
 
 def _has_word(line: Column) -> Column:
-    return F.translate(line, SPACES, "") != ""
+    return line.rlike("[^\\x20\\x09-\\x0D]")
 
 
 def assess(df: DataFrame, text: str = "text", rules: LineRules = LineRules()) -> DataFrame:
@@ -97,36 +104,40 @@ def assess(df: DataFrame, text: str = "text", rules: LineRules = LineRules()) ->
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lost_words", "kept", "clean_text"]
     own = [c for c in df.columns if c not in added or c == text]
     plain = df.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(own)], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_text"), F.col(f"`{text}`").isNull().alias("_null"))
-    one = evaluate_once(plain, {"_words": _words(F.col("_text")), "_lines": F.split("_text", "\n")})
-    windows = F.when(
-        F.size("_words") >= 5,
-        F.transform(F.sequence(F.lit(1), F.size("_words") - 4), lambda i: F.array_join(F.slice("_words", i, 5), " ")),
-    ).otherwise(F.expr("cast(array() as array<string>)"))
-    two = evaluate_once(one, {"_windows": windows, "_fails": F.transform("_lines", lambda x: line_fails(x, rules)), "_spoken": F.filter("_lines", _has_word)})
-    repeats = F.size(F.array_distinct("_windows")) < F.size("_windows")
-    nothing = F.expr("cast(array() as array<struct<w:string,i:int>>)")
-    three = evaluate_once(two, {"_sorted": F.when(repeats, F.array_sort(F.transform("_windows", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))).otherwise(nothing)})
+    one = evaluate_once(plain, {"_words": _words(F.col("_text")), "_lines": F.split("_text", "\n"), "_low": F.lower("_text")})
+    starts = F.sequence(F.lit(0), F.size("_words") - 5)
+    enough = F.size("_words") >= 5
+    hashes = F.when(enough, F.transform(starts, lambda i: F.xxhash64(*[F.get("_words", i + k) for k in range(5)]))).otherwise(F.expr("cast(array() as array<long>)"))
+    # Only a text with one of these characters or phrases can have a line that fails.
+    suspect = F.col("_text").rlike(f"[{MARKS}{HALF_MARKS}{SEPARATORS}]") | _has_notice(F.col("_low"))
+    fails = F.when(suspect, F.transform("_lines", lambda x: line_fails(x, rules))).otherwise(F.expr("cast(array() as array<boolean>)"))
+    two = evaluate_once(one, {"_hashes": hashes, "_fails": fails, "_spoken": F.filter("_lines", _has_word)})
+    # Equal hashes only say where to look; the windows themselves are compared.
+    repeats = F.size(F.array_distinct("_hashes")) < F.size("_hashes")
+    windows = F.transform(starts, lambda i: F.struct(F.array_join(F.slice("_words", i + 1, 5), " ").alias("w"), i.alias("i")))
+    three = evaluate_once(two, {"_sorted": F.when(enough & repeats, F.array_sort(windows)).otherwise(F.expr("cast(array() as array<struct<w:string,i:int>>)"))})
     places = F.expr(
         """filter(transform(_sorted, (x, k) -> if(
                (k > 0 and _sorted[greatest(k - 1, 0)].w = x.w) or (k + 1 < size(_sorted) and _sorted[least(k + 1, size(_sorted) - 1)].w = x.w),
                x.i, -1)), i -> i >= 0)"""
     )
-    four = evaluate_once(three.drop("_windows"), {"_places": F.array_sort(places)})
+    four = evaluate_once(three.drop("_hashes", "_low"), {"_places": F.array_sort(places)})
     covered = F.expr("aggregate(transform(_places, (p, k) -> if(k + 1 < size(_places), least(5, _places[least(k + 1, size(_places) - 1)] - p), 5)), 0L, (n, x) -> n + x)")
-    lost = F.aggregate(
-        F.zip_with("_lines", "_fails", lambda x, bad: F.when(bad, F.size(_words(x))).otherwise(0)), F.lit(0).cast("long"), lambda n, x: n + x
-    )
+    nothing = F.lit(0).cast("long")
+    some = F.exists("_fails", lambda bad: bad)
+    failed_words = F.zip_with("_lines", "_fails", lambda x, bad: F.when(bad, F.size(_words(x))).otherwise(0))
+    lost = F.when(some, F.aggregate(failed_words, nothing, lambda n, x: n + x)).otherwise(nothing)
     five = evaluate_once(
         four,
         {
             "n_words": F.size("_words").cast("long"),
-            "word_chars": F.char_length(F.translate("_text", SPACES, "")).cast("long"),
+            "word_chars": (F.char_length("_text") - F.regexp_count("_text", F.lit("[\\x20\\x09-\\x0D]"))).cast("long"),
             "n_symbols": _count(F.col("_text"), "#*$%&|<>").cast("long"),
             "n_dup_lines": (F.size("_spoken") - F.size(F.array_distinct("_spoken"))).cast("long"),
             "n_repeat_words": covered,
             "n_lost_words": lost,
             "clean_text": F.when(F.col("_null"), F.lit(None).cast("string"))
-            .when(~F.exists("_fails", lambda bad: bad), F.col("_text"))
+            .when(~some, F.col("_text"))
             .otherwise(F.array_join(F.filter("_lines", lambda x, i: ~F.element_at("_fails", i + 1)), "\n")),
         },
     )
