@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vitalweave.functions.groups import running_total
 
 #: Lengths of a bucket of the running sums.
-BUCKET = 4096
+BUCKET = 256
 
 
 def length_histogram(lengths: DataFrame, length: str = "n_tokens") -> DataFrame:
@@ -34,8 +34,7 @@ def limit_table(histogram: DataFrame, bucket: int = BUCKET) -> DataFrame:
     order, slot = [F.col("n_tokens")], F.floor(F.col("n_tokens") / bucket)
     docs = running_total(one, ["_all"], order, F.col("n_docs"), slot, "docs_up_to")
     both = running_total(docs, ["_all"], order, F.col("_tokens"), slot, "tokens_up_to")
-    total = one.groupBy("_all").agg(F.sum("n_docs").alias("_docs"))
-    joined = both.join(F.broadcast(total), "_all")  # one row
+    joined = both.withColumn("_docs", one.agg(F.sum("n_docs")).scalar())
     over = F.col("_docs") - F.col("docs_up_to")
     return joined.select(
         "n_tokens",
