@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalweave.llm import bpe, decontaminate, quality, statements, token_counts
+from vitalweave.llm import bpe, decontaminate, ngram_join, quality, statements, token_counts
 
 
 @dataclass(frozen=True)
@@ -78,3 +78,8 @@ def token_count_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode_texts(table(spark, sf_dir, "documents"), vocabulary(), "text", "ids", ["doc_id"])
     histogram = token_counts.length_histogram(encoded.select(F.size("ids").alias("n_tokens")))
     return token_counts.limit_table(histogram)
+
+
+@query("op10_ngram_jaccard_join", statements.NGRAM_JOIN)
+def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
