@@ -250,7 +250,7 @@ def remove_hits(
     plain = docs.toDF(*[f"_c{i}" for i in range(len(columns))])
     found = find_hits(plain, items, plain.columns, f"_c{place}", item_id, item_text, window)
     found = found.filter(hit_words() <= F.lit(coverage) * F.col("n_words")).select(*plain.columns, "n_words", "spans")
-    width = len(columns)
+    width, names = len(columns), plain.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, place):
@@ -261,7 +261,7 @@ def remove_hits(
                 changed = pa.array(texts, pa.binary()).cast(pa.string())
             else:
                 changed = batch.column(place)
-            yield pa.RecordBatch.from_arrays([changed if i == place else batch.column(i) for i in range(width)], names=plain.columns)
+            yield pa.RecordBatch.from_arrays([changed if i == place else batch.column(i) for i in range(width)], names=names)
 
     return found.mapInArrow(run, plain.schema).toDF(*columns)
 

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalweave.llm import bpe, decontaminate, ngram_join, quality, statements, token_counts
+from vitalweave.llm import bpe, chat, decontaminate, html_extract, language, ngram_join, quality, repeats, secret_scan, statements, token_counts
 
 
 @dataclass(frozen=True)
@@ -83,3 +83,48 @@ def token_count_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_ngram_jaccard_join", statements.NGRAM_JOIN)
 def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+#: A conversation whose texts hold control strings.
+TRICKY = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+@query("op2_chat_formatting")
+def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame(TRICKY, "conv_id long, turn long, role string, text string")
+    return chat.digest_conversations(given.unionByName(more))
+
+
+@query("op9_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    rows = docs.select("doc_id", "text", "lang", held_out.alias("held_out"))
+    model = language.fit(rows.filter("NOT held_out AND doc_id IS NOT NULL"), order=F.col("doc_id"))
+    return language.predict(rows.select("doc_id", "held_out", "text"), model, ["doc_id", "held_out"])
+
+
+@query("op5_suffix_array_dedup", statements.REPEATS)
+def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_spans(table(spark, sf_dir, "documents"))
+
+
+def secret_forest(docs: DataFrame) -> secret_scan.Forest:
+    """The forest of the built-in labelled findings and those that the corpus labels by their form."""
+    return secret_scan.train([*secret_scan.labelled_findings(), *secret_scan.corpus_findings(docs)])
+
+
+@query("op3_secret_scans")
+def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.scan(docs, secret_forest(docs), ["doc_id", "text"])
+    opened = found.select("doc_id", "text", F.inline("findings"))
+    value = F.substring("text", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
+    return opened.select("doc_id", "start", "end", "score", F.sha2(value.cast("binary"), 256).alias("secret_sha256"))
+
+
+@query("op4_html_extraction")
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract_pages(pages, ["page_id", "url"]).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -74,3 +74,14 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
 FROM d LEFT JOIN n USING (r)
 JOIN (SELECT reach.a AS r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = reach.b GROUP BY ALL) c USING (r)
 """
+
+REPEATS = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_SPACE}'), lambda x: x <> '') AS words FROM documents),
+p AS (SELECT r, i, md5(array_to_string(words[i + 1 : i + 50], ' ')) AS h FROM (SELECT r, words, unnest(range(0, len(words) - 49)) AS i FROM d WHERE len(words) >= 50)),
+t AS (SELECT r, i FROM p WHERE h IN (SELECT h FROM p GROUP BY h HAVING count(*) > 1)),
+g AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS k FROM (
+  SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 50 THEN 0 ELSE 1 END AS fresh FROM t))
+SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(min(i) AS BIGINT) AS first, CAST(max(i) + 50 AS BIGINT) AS "end"
+FROM g JOIN d USING (r) GROUP BY r, k, d.doc_id, d.words
+"""
