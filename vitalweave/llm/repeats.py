@@ -54,14 +54,14 @@ def _with_equal_neighbour(rows: DataFrame, key: str, order: Sequence[str], out:
     """The rows whose ``key`` another row has too, by sorting over all partitions and comparing neighbours.
 
     A frequent key is spread over partitions by the rest of the order. The first and the last row of a
-    partition stay in any case: their neighbour may be in another one. Rows equal in all
-    of ``order`` are one row.
+    partition stay in any case, as their neighbour may be in another one; they have 0 in the
+    column ``sure`` unless a neighbour is equal. Rows equal in all of ``order`` are one row.
     """
     names = [key, *order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before: np.ndarray | None = None  # the last row so far, and whether it is known to stay
-        stays = True
+        before: np.ndarray | None = None  # the last row so far
+        first, sure = True, False  # it is the first of all; it has an equal neighbour
         for batch in batches:
             table = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
             if before is not None:
@@ -69,18 +69,22 @@ def _with_equal_neighbour(rows: DataFrame, key: str, order: Sequence[str], out:
             fresh = np.concatenate(([True], (table[1:] != table[:-1]).any(axis=1)))
             table = table[fresh]
             equal = table[1:, 0] == table[:-1, 0]
-            keep = np.concatenate(([stays], equal))
-            keep[:-1] |= equal
-            yield from emit(table[:-1][keep[:-1]])
-            before, stays = table[-1:], bool(keep[-1])
+            known = np.concatenate(([sure], equal))
+            known[:-1] |= equal
+            keep = known.copy()
+            keep[0] |= first
+            if len(table) > 1:
+                yield from emit(table[:-1][keep[:-1]], known[:-1][keep[:-1]])
+                first = False
+            before, sure = table[-1:], bool(known[-1])
         if before is not None:
-            yield from emit(before)
+            yield from emit(before, np.array([sure]))
 
-    def emit(table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def emit(table: np.ndarray, sure: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(table):
-            yield pa.RecordBatch.from_arrays([pa.array(table[:, names.index(c)]) for c in out], names=list(out))
+            yield pa.RecordBatch.from_arrays([*[pa.array(table[:, names.index(c)]) for c in out], pa.array(sure.astype(np.int64))], names=[*out, "sure"])
 
-    return rows.select(*names).repartitionByRange(*names).sortWithinPartitions(*names).mapInArrow(run, ", ".join(f"{c} long" for c in out))
+    return rows.select(*names).repartitionByRange(*names).sortWithinPartitions(*names).mapInArrow(run, ", ".join(f"{c} long" for c in (*out, "sure")))
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", passage: int = PASSAGE, run_size: int = RUN) -> DataFrame:
@@ -145,11 +149,12 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = plain.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")))
     found = map_texts(found, ["node"], [F.col("text"), F.col("node"), F.col("places")], "starts array<long>, hashes array<long>", passages)
     near = found.select("node", F.explode(F.arrays_zip("starts", "hashes")).alias("x")).select("node", F.col("x.starts").alias("start"), F.col("x.hashes").alias("hash"))
-    equal = _with_equal_neighbour(near, "hash", ["node", "start"], ["hash", "node", "start"])
-    # The edges of partitions stay without proof: only hashes that two rows have count.
-    equal = stored(equal)
-    twice = equal.groupBy("hash").agg(F.min(F.struct("node", "start")).alias("_low"), F.max(F.struct("node", "start")).alias("_high")).filter("_low < _high").select("hash")
-    starts = equal.join(twice, "hash", "left_semi").groupBy("node").agg(F.array_sort(F.collect_set("start")).alias("starts"))
+    equal = stored(_with_equal_neighbour(near, "hash", ["node", "start"], ["hash", "node", "start"]))
+    # At most two rows of a partition are not sure; they count if another row has their hash.
+    unsure = equal.filter("sure = 0")
+    theirs = equal.join(F.broadcast(unsure.select("hash").distinct()), "hash").groupBy("hash").agg(F.min(F.struct("node", "start")).alias("_low"), F.max(F.struct("node", "start")).alias("_high"))
+    twice = unsure.join(theirs.filter("_low < _high").select("hash"), "hash", "left_semi")
+    starts = equal.filter("sure = 1").unionByName(twice).groupBy("node").agg(F.array_sort(F.collect_set("start")).alias("starts"))
     copied = reps.filter("copies > 1").select("node", F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("n_words").alias("end"))).alias("spans"))
 
     def extend(columns: list[pa.Array]) -> list[pa.Array]:
