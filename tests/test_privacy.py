@@ -151,3 +151,17 @@ def test_yaml_configuration(spark, tmp_path):
     for read in (read_rules, read_catalog):
         with pytest.raises(ValueError):
             read(spark, str(tmp_path / "none.yaml"))
+
+
+def test_a_mask_that_joins_text_is_seen_by_later_rules(spark):
+    rules = [Rule("a", "A", r"#\d+#", ""), Rule("b", "B", r"MRN\d{3}", "MRN-***", needs="MRN")]
+    assert masked(spark, "MR#1#N123", rules) == "MRN-***"
+
+
+def test_masks_stand_for_themselves(spark):
+    assert masked(spark, "id 42", [Rule("n", "N", r"\d+", "$1\\")]) == "id $1\\"
+
+
+def masked(spark, text, rules):
+    df = spark.createDataFrame([(text,)], "text string")
+    return df.select(P.replace_all(F.col("text"), rules).alias("x")).first().x

@@ -29,6 +29,7 @@ FIELDS = {
 }
 OPERATORS = ("=", "!=", ">", "<", ">=", "<=", "in")
 DEFAULT_FIELDS = ("patient_id", "resource_type", "concept", "value", "timestamp")
+PUBLIC = "public"
 PATIENT_PAGE, RECORD_SAMPLE, SLICE_ROWS, TIMELINE_ROWS = 500, 200, 200, 500
 TEMPLATE_ROWS, MATERIALIZATION_ROWS = 25, 50
 MAX_COHORTS = 10_000
@@ -122,13 +123,15 @@ def dropped_clauses(facts: DataFrame, clauses: Sequence[Clause]) -> list[Clause]
 
 
 def tenant_view(df: DataFrame, tenant: str | None) -> DataFrame:
-    """Rows of one tenant; no tenant means no restriction."""
-    return df if not tenant else df.filter(F.col("tenant_id") == tenant)
+    """Rows of one tenant. None asks for all of them; a blank name is the public tenant."""
+    if tenant is None:
+        return df
+    return df.filter(F.col("tenant_id") == (tenant.strip() or PUBLIC))
 
 
 def tenant_of(canonical: Column, codes: Column) -> Column:
     """Tenant named in the canonical map, else in the codes, else ``public``."""
-    return F.coalesce(present(canonical["tenant_id"]), present(codes["tenant_id"]), F.lit("public"))
+    return F.coalesce(present(canonical["tenant_id"]), present(codes["tenant_id"]), F.lit(PUBLIC))
 
 
 def cohort_filter(
@@ -193,13 +196,16 @@ class CohortQuery:
     tenant: str | None = None
     limit: int = PATIENT_PAGE
     strict: bool = True
+    records: int = RECORD_SAMPLE
+    slices: int = SLICE_ROWS
     metric: str | None = None
 
 
 def cohort_query(facts: DataFrame, spec: CohortQuery) -> dict[str, DataFrame]:
     """Count, patients, sample records and rollup slices of one filtered cohort.
 
-    The slices are the newest rollups of the tenant, of the given metric and of the
+    ``limit``, ``records`` and ``slices`` are the sizes of the patient page, of the sample and of
+    the slices, each as given. The slices are the newest rollups of the tenant, of the given metric and of the
     patient that a clause fixes. Persist ``rows`` before running several of the parts.
     """
     rows = cohort_filter(facts, spec.clauses, spec.tenant, spec.strict)
@@ -207,9 +213,9 @@ def cohort_query(facts: DataFrame, spec: CohortQuery) -> dict[str, DataFrame]:
     return {
         "rows": rows,
         "count": cohort_count(rows),
-        "patients": cohort_patients(rows, min(spec.limit, PATIENT_PAGE)),
-        "records": cohort_records(rows, spec.fields, min(spec.limit, RECORD_SAMPLE)),
-        "slices": slice_rollups(rollup_rows(tenant_view(facts, spec.tenant)), spec.metric, fixed.get("patient_id")),
+        "patients": cohort_patients(rows, spec.limit),
+        "records": cohort_records(rows, spec.fields, spec.records),
+        "slices": slice_rollups(rollup_rows(tenant_view(facts, spec.tenant)), spec.metric, fixed.get("patient_id"), spec.slices),
     }
 
 
@@ -247,7 +253,7 @@ def drilldown(
         F.col("master_id").alias("master_patient_id"),
         "primary_score",
         F.col("method").alias("link_method"),
-        F.size("linked_patients").alias("link_count"),
+        "link_count",
         "linked_patients",
     )
     return events.join(known, "patient_id", "left").join(summary, "patient_id", "left")

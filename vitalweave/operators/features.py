@@ -49,7 +49,7 @@ def append_features(rows: DataFrame, existing: DataFrame | None = None) -> DataF
 def online_features(df: DataFrame, as_of: Column, ttl: timedelta = ONLINE_TTL) -> DataFrame:
     """Newest row of each entity that is still alive at ``as_of``."""
     if ttl <= timedelta(0):
-        ttl = ONLINE_TTL
+        raise ValueError("the time to live must be positive")
     alive = df.filter((F.col("created_at") > as_of - F.lit(ttl)) & (F.col("created_at") <= as_of))
     return latest_features(alive)
 

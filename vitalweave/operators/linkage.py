@@ -195,13 +195,14 @@ def links_for(links: DataFrame, patients: DataFrame | None = None, n: int = LINK
 
 
 def linkage_summary(links: DataFrame, n: int = LINKS_PER_PATIENT) -> DataFrame:
-    """Newest master, score and method of each patient, and its newest ``n`` links as an array."""
+    """Newest master, score and method of each patient, the count of all its links and the newest ``n`` as an array."""
     newest = links_for(links, None, n)
     order = F.struct("created_at", "id")
+    counts = links.groupBy("patient_id").agg(F.count(F.lit(1)).alias("link_count"))
     entry = F.struct("created_at", "id", "patient_id", "score", "method", "attributes")
     return newest.groupBy("patient_id").agg(
         F.max_by("master_id", order).alias("master_id"),
         F.max_by("score", order).alias("primary_score"),
         F.max_by("method", order).alias("method"),
         F.sort_array(F.collect_list(entry), asc=False).alias("linked_patients"),
-    )
+    ).join(counts, "patient_id")

@@ -65,8 +65,8 @@ def fit_logistic(
     (spilling to disk, rebuilt from the input when an executor is lost). Each epoch
     is one aggregate; the driver sees only the gradient, one number per weight.
     """
-    epochs = epochs if epochs > 0 else EPOCHS
-    rate = rate if rate > 0 else LEARNING_RATE
+    if epochs < 1 or rate <= 0:
+        raise ValueError("epochs and rate must be positive")
     samples = df.groupBy(*features, label).agg(F.count("*").cast("double").alias("_n"))
     samples = samples.persist(StorageLevel.MEMORY_AND_DISK)
     try:

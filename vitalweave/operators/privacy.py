@@ -27,7 +27,6 @@ _ASCII_FORMS = {
     "b": f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))",
     "s": r"[\t\n\f\r ]",
 }
-_NEVER = "(?!)"
 
 
 def ascii_pattern(pattern: str) -> str:
@@ -107,21 +106,26 @@ def find_all(text: Column, rule: Rule) -> Column:
 def replace_all(text: Column, rules: Sequence[Rule]) -> Column:
     """Text with every match replaced by the mask of its rule, rule after rule.
 
-    A rule is skipped when its needed text cannot be there: the text lacks it, and so
-    does the mask of every earlier rule that can have applied.
+    A rule is skipped for text that, as masked so far, lacks what each of its matches
+    needs. Masks stand for themselves, whatever characters they have. Each step is an
+    element of a one-element array, so that no later step repeats it.
     """
-    reachable: list[Column] = []
-    changed, any_possible = text, F.lit(False)
-    for i, rule in enumerate(rules):
-        possible = F.contains(text, F.lit(rule.needs)) if rule.needs else F.lit(True)
-        for earlier, earlier_possible in zip(rules[:i], reachable):
-            if rule.needs and rule.needs in earlier.mask and rule.needs != earlier.needs:
-                possible = possible | earlier_possible
-        reachable.append(possible)
-        any_possible = any_possible | possible
-        pattern = F.when(possible, F.lit(ascii_pattern(rule.pattern))).otherwise(F.lit(_NEVER))
-        changed = F.regexp_replace(changed, pattern, F.lit(rule.mask))
-    return F.when(any_possible, changed).otherwise(text)
+    changed = text
+    for rule in rules:
+        changed = F.transform(F.array(changed), _masking(rule))[0]
+    return changed
+
+
+def _masking(rule: Rule) -> Callable[[Column], Column]:
+    """One masking step. In a replacement, a backslash and a dollar sign stand for themselves behind a backslash."""
+    pattern, needed = F.lit(ascii_pattern(rule.pattern)), F.lit(rule.needs)
+    mask = F.lit(rule.mask.replace("\\", "\\\\").replace("$", "\\$"))
+
+    def step(text: Column) -> Column:
+        masked = F.regexp_replace(text, pattern, mask)
+        return F.when(F.contains(text, needed), masked).otherwise(text) if rule.needs else masked
+
+    return step
 
 
 def leaves(df: DataFrame, cols: Sequence[str]) -> Column:

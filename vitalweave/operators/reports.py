@@ -130,12 +130,15 @@ def latency_by_minute(logs: DataFrame, as_of: Column, span: timedelta = timedelt
     return recent.groupBy(minute.alias("minute")).agg(F.coalesce(F.avg("latency_ms"), F.lit(0.0)).alias("latency_ms"))
 
 
-def newest_logs(logs: DataFrame, n: int = LOG_ROWS) -> DataFrame:
+def newest_logs(logs: DataFrame, n: int | None = LOG_ROWS) -> DataFrame:
+    """Newest ``n`` logs, or all of them when ``n`` is None."""
+    if n is None:
+        return logs
     return logs.orderBy(F.desc("created_at"), F.desc("id")).limit(n)
 
 
-def prediction_summary(logs: DataFrame, n: int = LOG_ROWS) -> DataFrame:
-    """Count, covered seconds, exact interpolated quantiles and means of the newest ``n`` logs."""
+def prediction_summary(logs: DataFrame, n: int | None = None) -> DataFrame:
+    """Count, covered seconds, exact interpolated quantiles and means of all logs, or of the newest ``n``."""
     newest = newest_logs(logs, n)
     span = F.floor(seconds_between(F.min("created_at"), F.max("created_at")))
     return newest.agg(

@@ -19,12 +19,14 @@ DEFAULTS = {
     "visit_templates": {"required": True},
     "subjects": {"status": "screening"},
 }
-LIST_ROWS, MAX_LIST_ROWS = 50, 200
+LIST_ROWS = 50
 
 
 def _size(n: int) -> int:
-    """Sizes outside 1 to 200 fall back to 50."""
-    return n if 0 < n <= MAX_LIST_ROWS else LIST_ROWS
+    """A list size as it is given; one below 1 is an error."""
+    if n < 1:
+        raise ValueError("the size of a list must be at least 1")
+    return n
 
 
 def study_summary(
@@ -54,12 +56,13 @@ def study_summary(
 
 
 def study_forms(forms: DataFrame) -> DataFrame:
-    """Forms in the order they are listed: by slug, newest version first."""
-    return forms.orderBy("study_id", "slug", F.desc("version"))
+    """Forms of a study together, in the order they are listed: by slug, newest version first."""
+    return forms.repartition("study_id").sortWithinPartitions("study_id", "slug", F.desc("version"))
 
 
 def study_visits(visits: DataFrame) -> DataFrame:
-    return visits.orderBy("study_id", "visit_order", "visit_id")
+    """Visits of a study together, in their order."""
+    return visits.repartition("study_id").sortWithinPartitions("study_id", "visit_order", "visit_id")
 
 
 def recent_studies(df: DataFrame, n: int = LIST_ROWS) -> DataFrame:
@@ -88,7 +91,10 @@ def assign_form_versions(
 
 
 def apply_consents(subjects: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Subjects with a signature become enrolled, consented at the time given in the last one recorded."""
+    """Subjects with a signature become enrolled, consented at the time given in the last one recorded.
+
+    Others keep their status and the consent time they have.
+    """
     last = signatures.groupBy("subject_id").agg(
         F.max_by("signed_at", F.struct("recorded_at", "signature_id")).alias("_signed_at")
     )
@@ -97,7 +103,7 @@ def apply_consents(subjects: DataFrame, signatures: DataFrame) -> DataFrame:
     return joined.withColumns(
         {
             "status": F.when(signed, F.lit("enrolled")).otherwise(F.col("status")),
-            "consented_at": F.col("_signed_at"),
+            "consented_at": F.coalesce("_signed_at", "consented_at") if "consented_at" in subjects.columns else F.col("_signed_at"),
         }
     ).drop("_signed_at")
 

@@ -171,7 +171,7 @@ def drilldown_sql(where: str) -> str:
         live AS (SELECT entity_id, max_by(concept, row(created_at, version)) AS concept FROM offline_features
                  WHERE created_at > TIMESTAMP '{AS_OF}' - INTERVAL '1' DAY AND created_at <= TIMESTAMP '{AS_OF}' GROUP BY entity_id),
         linked AS (SELECT patient_id, max_by(master_id, row(created_at, id)) AS master_patient_id,
-                          max_by(method, row(created_at, id)) AS link_method, least(count(*), 25) AS link_count
+                          max_by(method, row(created_at, id)) AS link_method, count(*) AS link_count
                    FROM fact_links GROUP BY patient_id)
         SELECT e.id, e.patient_id, e.concept, coalesce(l.concept, s.concept) AS feature_concept,
                CASE WHEN l.entity_id IS NOT NULL THEN 'online' ELSE 'offline' END AS feature_source,

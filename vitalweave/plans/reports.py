@@ -127,7 +127,7 @@ def _(t: Tables):
 
 @plan(
     "m8_prediction_summary",
-    """WITH x AS (SELECT * FROM prediction_logs ORDER BY created_at DESC, id DESC LIMIT 200)
+    """WITH x AS (SELECT * FROM prediction_logs)
        SELECT count(*) AS total, CAST(floor(epoch(max(created_at) - min(created_at))) AS BIGINT) AS window_seconds,
               round(quantile_cont(latency_ms, 0.5), 6) AS p50_latency_ms, round(quantile_cont(latency_ms, 0.95), 6) AS p95_latency_ms,
               round(avg(latency_ms), 6) AS average_latency_ms, round(avg(confidence), 6) AS average_confidence FROM x""",
@@ -235,13 +235,16 @@ def _(t: Tables):
 @plan(
     "e4_apply_consents",
     """WITH last AS (SELECT subject_id, max_by(signed_at, row(recorded_at, signature_id)) AS signed_at FROM signatures GROUP BY subject_id)
-       SELECT s.subject_id, CASE WHEN l.subject_id IS NOT NULL THEN 'enrolled' ELSE s.status END AS status, l.signed_at AS consented_at
+       SELECT s.subject_id, CASE WHEN l.subject_id IS NOT NULL THEN 'enrolled' ELSE s.status END AS status,
+              coalesce(l.signed_at, CASE WHEN s.subject_id % 3 = 0 THEN TIMESTAMP '2020-01-01' END) AS consented_at
        FROM subjects s LEFT JOIN last l ON l.subject_id = s.subject_id""",
     "subjects",
     "signatures",
 )
 def _(t: Tables):
-    return E.apply_consents(t["subjects"], t["signatures"]).select("subject_id", "status", "consented_at")
+    earlier = F.when(F.col("subject_id") % 3 == 0, clock("2020-01-01"))
+    subjects = t["subjects"].withColumn("consented_at", earlier)
+    return E.apply_consents(subjects, t["signatures"]).select("subject_id", "status", "consented_at")
 
 
 def per_study_sql(columns: str, table: str, order: str, n: int) -> str:
@@ -259,11 +262,11 @@ def _(t: Tables):
 
 @plan(
     "e5_list_subjects",
-    per_study_sql("subject_id, study_id, subject_code, created_at", "subject_dates", "created_at DESC, subject_id DESC", 20),
+    per_study_sql("subject_id, study_id, subject_code, created_at", "subject_dates", "created_at DESC, subject_id DESC", 250),
     "subject_dates",
 )
 def _(t: Tables):
-    return E.list_subjects(t["subject_dates"], 20)
+    return E.list_subjects(t["subject_dates"], 250)
 
 
 AUDIT_SQL = """SELECT id, study_id, CASE WHEN actor = '' THEN 'system' ELSE actor END AS actor, action, created_at
