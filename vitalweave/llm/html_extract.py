@@ -38,6 +38,7 @@ SKIPPED = frozenset("nav footer aside form button select dialog menu head search
 SKIPPED_NAMES = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored banner cookie cookies consent notice sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments disqus share sharing social promo related newsletter subscribe popup modal skip toolbar pagination".split()
 )
+BOXES = frozenset("div section fieldset details hgroup".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>?|[^<]+|<", re.DOTALL)
 NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 #: A node is template when this share of the pages that have it agree on its text.
@@ -235,11 +236,11 @@ def extract(page: str, reference: Slot | None, constant: frozenset[int], varying
     if reference is not None and constant:
         aligned = {x.number: y for x, y in matching(reference, slots(tree))[1]}
         inside = {id(n) for r in own for n in _below(r)}
-        # Inside an article, what is constant goes only where something else there varies.
+        # Inside an article, boxes that are constant go, where something else there varies; its paragraphs, lists and tables stay.
         varies = any(id(n) in inside for k in varying if k in aligned for n in aligned[k].nodes)
         for number in constant:
             for node in aligned[number].nodes if number in aligned else ():
-                if not own or id(node) in inside and varies and not any(node is r for r in own):
+                if not own or node.tag in BOXES and id(node) in inside and varies and not any(node is r for r in own):
                     dropped.add(id(node))
     gone = frozenset(dropped)
     return "\n".join(line for root in own or [tree] for line in blocks(root, gone, bool(own)))
