@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from vitalweave.llm import bpe, chat, decontaminate, html_extract, language, ngram_join, quality, repeats, secret_scan, token_counts
+from vitalweave.llm import components as text_components
 from vitalweave.llm.components import components
 
 DOCS = "doc_id long, text string"
@@ -185,7 +186,11 @@ def test_jaccard_components_match_brute_force(spark, monkeypatch, few, hot, tile
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == {i: (len(s), root(i)) for i, s in enumerate(sets)}
 
 
-def test_components_of_a_path_and_a_star(spark):
+@pytest.mark.parametrize("most", [3, 500_000])
+def test_components_of_a_path_and_a_star(spark, monkeypatch, most):
+    monkeypatch.setattr(text_components, "TASK_LINKS", most)
     links = [(i, i + 1) for i in range(20)] + [(100, i) for i in range(101, 110)] + [(7, 7), (None, 3)]
     found = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert len({found[i] for i in range(21)}) == 1 and len({found[i] for i in range(100, 110)}) == 1 and found[0] != found[100]
+    assert len(found) == 31
+    assert components(spark.createDataFrame([(1, 1), (None, 2)], "a long, b long")).count() == 0
