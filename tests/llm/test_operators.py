@@ -76,6 +76,18 @@ def test_secrets_are_found_and_masked(spark):
     assert ((scores >= 0.5) == np.array([x[3] for x in held_out])).mean() > 0.95
 
 
+def test_secrets_are_candidates_in_every_form(spark):
+    for text, start, end, _ in secret_scan.labelled_findings(400, seed=11):
+        assert end - start < 12 or (start, end) in secret_scan.candidates(text)
+    forest = secret_scan.train(secret_scan.labelled_findings(800))
+    key, padded = "04dbebab91ab85687d33eeaaf9ac699e1188f962", "Zm9vYmFyYmF6cXV4MTIzNDU2Nzg5MGFiY2RlZmdoaWprbG1ub3A=="
+    forms = ["password={}", "AWS_SECRET_ACCESS_KEY={}", "https://a.b/c?token={}&x=1", "token:{}", "AccountKey={};E=1"]
+    values = [key, key, key, key, padded]
+    texts = [form.format(v) for form, v in zip(forms, values)]
+    masked = {r.doc_id: r.text for r in secret_scan.redact(spark.createDataFrame(list(enumerate(texts)), DOCS), forest).collect()}
+    assert [masked[i] for i in range(5)] == [form.format("[SECRET]") for form in forms]
+
+
 def test_html_keeps_the_article_only(spark):
     page = "<nav>m</nav><div class='ad'>x</div><article><h1>T&amp;{0}</h1><p><b>a <i>b</i><br>c<p>d\n e<div id=comments>no</div></article><footer>f</footer>"
     bare = "<div class=top>Site</div><div class=body><p>text {0}</p></div><div class=end>Imprint</div>"

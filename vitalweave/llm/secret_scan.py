@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from vitalweave.llm.common import as_bytes, map_texts, worker_value
 
-CANDIDATE = re.compile(rb"(?<![A-Za-z0-9+/_.@=-])[A-Za-z0-9+/_.@:-]{12,}={0,2}")
+CANDIDATE = re.compile(rb"(?<![A-Za-z0-9+/_.@:-])[A-Za-z0-9+/_.@:-]{12,}(?:={1,2}(?![A-Za-z0-9+/_.@:=-]))?")
+#: A colon between a name and its value; those of an address (://) and of a time are not.
+COLON = re.compile(rb"(?<!-\d\dT\d\d)(?<!-\d\dT\d\d:\d\d):(?!//)")
 AROUND = 48
 #: Words that name a secret, words that name other codes, and common parts of words. Fixed values.
 SECRET_WORDS = frozenset("token secret password passwd pwd apikey api_key key auth authorization bearer credential credentials private access_key secret_key client_secret signature".split())
@@ -30,6 +32,8 @@ DICTIONARY = tuple(
 )
 WORDS_IN = re.compile("|".join(sorted(set(DICTIONARY), key=len, reverse=True)))
 WORD = re.compile(rb"[A-Za-z_][A-Za-z0-9_]*")
+#: The words of a name like AccountKey.
+CASES = re.compile("[A-Z][a-z]+")
 KINDS = np.zeros(256, np.int8)
 KINDS[48:58], KINDS[65:91], KINDS[97:123] = 1, 2, 3
 FEATURES = (
@@ -38,17 +42,35 @@ FEATURES = (
 )
 
 
+def _key_length(run: bytes) -> int:
+    """Bytes of a run without marks at its end if it is a candidate, else 0."""
+    value = run.rstrip(b".:-")
+    if len(value) < 12:
+        return 0
+    kinds = KINDS[np.frombuffer(value, np.uint8)]
+    digits, letters = (kinds == 1).any(), (kinds >= 2).any()
+    mixed = (kinds == 2).sum() >= 3 and (kinds == 3).sum() >= 3 and len(value) >= 20
+    return len(value) if digits and letters or mixed else 0
+
+
 def candidates(text: bytes) -> list[tuple[int, int]]:
-    """Byte spans of candidates: at least 12 key characters with a digit and a letter, or 20 with both cases."""
+    """Byte spans of candidates: at least 12 key characters with a digit and a letter, or 20 with both cases.
+
+    A run with colons gives its parts that are candidates; it is one itself if none of them is.
+    """
     found = []
     for match in CANDIDATE.finditer(text):
-        start, end = match.span()
-        value = match[0].rstrip(b".:-")
-        kinds = KINDS[np.frombuffer(value, np.uint8)]
-        digits, letters = (kinds == 1).any(), (kinds >= 2).any()
-        mixed = (kinds == 2).sum() >= 3 and (kinds == 3).sum() >= 3 and len(value) >= 20
-        if len(value) >= 12 and (digits and letters or mixed):
-            found.append((start, start + len(value)))
+        start, run = match.start(), match[0]
+        parts = []
+        if b":" in run:
+            at = 0
+            for part in COLON.split(run):
+                if size := _key_length(part):
+                    parts.append((start + at, start + at + size))
+                at += len(part) + 1
+        if not parts and (size := _key_length(run)):
+            parts.append((start, start + size))
+        found += parts
     return found
 
 
@@ -62,8 +84,8 @@ def features(text: bytes, start: int, end: int) -> list[float]:
     changes = (kinds[1:] != kinds[:-1]).sum()
     low = value.lower().decode("ascii", "replace")
     before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
-    near = [w.lower().decode() for w in WORD.findall(before)[-3:]]
-    parts = {p for w in near for p in (w, *w.split("_"))}
+    near = [w.decode() for w in WORD.findall(before)[-3:]]
+    parts = {p.lower() for w in near for p in (w, *w.split("_"), *CASES.findall(w))}
     lead = before.rstrip(b" \t\"'`(<[{")
     letters = kinds >= 2
     vowels = sum(low.count(c) for c in "aeiou")
