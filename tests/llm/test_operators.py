@@ -96,6 +96,23 @@ def test_html_keeps_the_article_only(spark):
     assert found[2] == "T&2\na b c\nd e" and found[13] == "text 3" and found[20] == "" == found[21]
 
 
+def test_html_names_do_not_drop_the_article(spark):
+    article = "<article><h1>T</h1><p>a</article>"
+    pages = [
+        "<article class='post no-sidebar'><h1>T</h1><p>a</article>",
+        f"<div id=content class=with-sidebar>{article}</div><div class=sidebar>s</div>",
+        f"<div class=sidebar>{article}</div>",
+        "<article class=related><h1>T</h1><p>a</article>",
+        "<article><div class=article-header><h1>T</h1></div><div class=share-price>a</div><div class=share-buttons>x</div></article>",
+        "<article><div class=header><h1>T</h1></div><div class=menu-recipe>a</div><div class=site-footer>x</div></article>",
+        f"{article}<div class=related><article>other</article></div>",
+        "<div class=notice><h1>T</h1><p>a</div>",
+    ]
+    df = spark.createDataFrame([(i, f"http://h{i}.com/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in html_extract.extract_pages(df, ["page_id"]).collect()}
+    assert found == {i: "T\na" for i in range(len(pages))}
+
+
 def test_repeats_match_brute_force(spark):
     draw = random.Random(5)
     passage = [draw.choice(WORDS) for _ in range(70)]

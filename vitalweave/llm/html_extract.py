@@ -16,6 +16,7 @@ import html
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -36,8 +37,11 @@ CLOSED_BY = {
 SCOPES = frozenset(["table", "ul", "ol", "dl", "select", "body", "html", "article", "section", "div"])
 SKIPPED = frozenset("nav footer aside form button select dialog menu head search object audio video canvas".split()) | RAW
 SKIPPED_NAMES = frozenset(
-    "ad ads advert adverts advertisement sponsor sponsored banner cookie cookies consent notice sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments disqus share sharing social promo related newsletter subscribe popup modal skip toolbar pagination".split()
+    "ad ads advert adverts advertisement sponsor sponsored banner cookie cookies consent notice sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus share sharing social promo related newsletter subscribe popup modal skip toolbar pagination".split()
 )
+#: Names of what heads a page, outside an article, and words that change nothing in a name.
+HEADER_NAMES = frozenset(["header", "masthead"])
+PLAIN_WORDS = frozenset("site page main top bottom left right list box block bar area wrapper wrap container section buttons links widget inner outer global".split())
 BOXES = frozenset("div section fieldset details hgroup".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>?|[^<]+|<", re.DOTALL)
 NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
@@ -54,9 +58,26 @@ class Node:
     names: frozenset[str]
     children: list = field(default_factory=list)  # nodes and texts
 
+    @property
+    def named(self) -> bool:
+        return any(_named(n) == "skipped" for n in self.names)
+
     @property
     def skipped(self) -> bool:
-        return self.tag in SKIPPED or bool(self.names & SKIPPED_NAMES)
+        return self.tag in SKIPPED or self.named
+
+    @property
+    def header(self) -> bool:
+        return self.tag == "header" or any(_named(n) == "header" for n in self.names)
+
+
+@lru_cache(100_000)
+def _named(name: str) -> str:
+    """What a whole class, id or role says: each of its words must say it or nothing, so that no-sidebar and share-price say nothing."""
+    words = set(re.split("[_-]+", name)) - {""}
+    if not words <= SKIPPED_NAMES | HEADER_NAMES | PLAIN_WORDS:
+        return ""
+    return "skipped" if words & SKIPPED_NAMES else "header" if words & HEADER_NAMES else ""
 
 
 def parse(text: str) -> Node:
@@ -101,7 +122,7 @@ def parse(text: str) -> Node:
                     break
                 if stack[depth].tag in SCOPES:
                     break
-        names = frozenset(w for m in NAMES.finditer(match[3]) for v in m.groups() if v for w in re.split(r"[\s_-]+", v.lower()))
+        names = frozenset(w for m in NAMES.finditer(match[3]) for v in m.groups() if v for w in v.lower().split())
         node = Node(tag, names)
         stack[-1].children.append(node)
         if tag in VOID or match[0].endswith("/>"):
@@ -114,8 +135,11 @@ def parse(text: str) -> Node:
     return root
 
 
-def blocks(node: Node, dropped: frozenset[int] = frozenset(), inside: bool = False) -> list[str]:
-    """The texts of blocks in order, white space as single spaces, without skipped parts and dropped nodes."""
+def blocks(node: Node, dropped: frozenset[int] = frozenset(), inside: bool = False, names: bool = True) -> list[str]:
+    """The texts of blocks in order, white space as single spaces, without skipped parts and dropped nodes.
+
+    With ``names`` off, only tags say what is skipped.
+    """
     done: list[str] = []
     held: list[str] = []
 
@@ -134,7 +158,9 @@ def blocks(node: Node, dropped: frozenset[int] = frozenset(), inside: bool = Fal
             held.append(item)
         elif item.tag == "br":
             held.append(" ")
-        elif item is not node and (item.skipped or item.tag == "header" and not inside or id(item) in dropped):
+        elif item is not node and (
+            item.tag in SKIPPED or names and (item.named or item.header and not inside) or id(item) in dropped
+        ):
             if item.tag in BLOCKS:
                 close()
         else:
@@ -147,17 +173,21 @@ def blocks(node: Node, dropped: frozenset[int] = frozenset(), inside: bool = Fal
 
 
 def roots(page: Node) -> list[Node]:
-    """The outermost article elements that are not in a skipped part, else the main elements."""
-    for wanted in ("article", "main"):
-        found, todo = [], [page]
-        while todo:
-            node = todo.pop()
-            if node.tag == wanted or wanted == "main" and "main" in node.names and node.tag in BLOCKS:
-                found.append(node)
-            else:
-                todo.extend(c for c in reversed(node.children) if isinstance(c, Node) and not c.skipped)
-        if found:
-            return found
+    """The outermost article elements that are not in a skipped part, else the main elements.
+
+    If all are in parts skipped by name, or have such a name, they are taken.
+    """
+    for names in (True, False):
+        for wanted in ("article", "main"):
+            found, todo = [], [page]
+            while todo:
+                node = todo.pop()
+                if node.tag == wanted or wanted == "main" and "main" in node.names and node.tag in BLOCKS:
+                    found.append(node)
+                else:
+                    todo.extend(c for c in reversed(node.children) if isinstance(c, Node) and c.tag not in SKIPPED and not (names and c.named))
+            if found:
+                return found
     return []
 
 
@@ -243,7 +273,11 @@ def extract(page: str, reference: Slot | None, constant: frozenset[int], varying
                 if not own or node.tag in BOXES and id(node) in inside and varies and not any(node is r for r in own):
                     dropped.add(id(node))
     gone = frozenset(dropped)
-    return "\n".join(line for root in own or [tree] for line in blocks(root, gone, bool(own)))
+    for names in (True, False):
+        lines = [line for root in own or [tree] for line in blocks(root, gone, bool(own), names)]
+        if lines:
+            break
+    return "\n".join(lines)
 
 
 def _below(node: Node) -> Iterator[Node]:
