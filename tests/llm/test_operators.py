@@ -113,6 +113,17 @@ def test_html_names_do_not_drop_the_article(spark):
     assert found == {i: "T\na" for i in range(len(pages))}
 
 
+def test_html_templates_of_layouts_deep_and_late(spark):
+    late = "".join(f"<div class=k{chr(97 + i % 26)}{chr(97 + i // 26)}><p>{{0}} {i}</div>" for i in range(80)) + "<section>x {0}</section><div class=kaa><p>{0}</div><section>Fixed</section>"
+    deep = "<div>" * 60 + "<p>text {0}</p><table><td>Fixed</table>" + "</div>" * 60
+    layouts = ["<div class=top{1}>Site {1}</div><div class=mid{1}><p>text {0}</p></div>".replace("{1}", k) for k in "abc"]
+    rows = [(i, "http://late.com/", late.format(i)) for i in range(6)] + [(10 + i, "http://deep.com/", deep.format(i)) for i in range(6)]
+    rows += [(20 + i, "http://c.com/", layouts[i % 3].format(i)) for i in range(15)] + [(40 + i, "http://c.com/", ["", None, " "][i % 3]) for i in range(30)]
+    found = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id"]).collect()}
+    assert "Fixed" not in found[3] and found[3].endswith("79\nx 3\n3") and found[12] == "text 2"
+    assert all(found[20 + i] == f"text {i}" for i in range(15)) and not any(found[40 + i] for i in range(30))
+
+
 def test_repeats_match_brute_force(spark):
     draw = random.Random(5)
     passage = [draw.choice(WORDS) for _ in range(70)]

@@ -1,19 +1,20 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host come from one template. Each page's tree of blocks is aligned with that
-of a reference page of its host by simple tree matching: the largest set of node pairs
-that keeps parents, order and tags. Runs of equal siblings are one repeating node. Over
-all pages of the host, a node whose text is the same nearly everywhere is part of the
-template, one whose text varies is a slot. The article of a page is its article or main
-element, else the slots; what names itself a menu, advert, notice, form or comment list
-goes in either case.
+Pages of one host come from one or several templates. The trees of blocks of its pages
+are laid on each other: nodes with the same tags and names from the root on are in one
+place, as deep and as long as a page is. A text that nearly all pages of the host, or of
+one of its layouts, have in a place is part of the template; what varies is a slot. The
+article of a page is its article or main element, else the slots; what names itself a
+menu, advert, notice, form or comment list goes in either case.
 """
 
 from __future__ import annotations
 
 import hashlib
 import html
+import json
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -42,6 +43,7 @@ SKIPPED_NAMES = frozenset(
 #: Names of what heads a page, outside an article, and words that change nothing in a name.
 HEADER_NAMES = frozenset(["header", "masthead"])
 PLAIN_WORDS = frozenset("site page main top bottom left right list box block bar area wrapper wrap container section buttons links widget inner outer global".split())
+DIVIDING = frozenset("div section article main header table center fieldset".split())
 BOXES = frozenset("div section fieldset details hgroup".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>?|[^<]+|<", re.DOTALL)
 NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
@@ -50,6 +52,8 @@ CONSTANT = 0.9
 #: Pages of a host, at least, for what is constant to be its template.
 PAGES = 3
 BROADCAST_BYTES = 64 << 20
+#: The place of the page itself.
+ROOT = 0
 
 
 @dataclass
@@ -191,90 +195,100 @@ def roots(page: Node) -> list[Node]:
     return []
 
 
-class Slot:
-    """A block element of the aligned tree, or a run of equal sibling blocks as one repeating node."""
+@lru_cache(100_000)
+def _slot(parent: int, tag: str, names: frozenset[str]) -> int:
+    """The number of a place in a tree: the tags and names from the root to it, without the digits in names."""
+    key = " ".join([str(parent), tag, *sorted(re.sub(r"\d+", "0", n) for n in names)])
+    return _hash(key)
 
-    __slots__ = ("key", "nodes", "children", "number")
 
-    def __init__(self, key: tuple, nodes: list[Node]):
-        self.key, self.nodes, self.children, self.number = key, nodes, [], -1
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def slots(page: Node) -> Slot:
-    """The tree of block elements, numbered in page order."""
-    top = Slot(("html",), [page])
-    todo = [top]
-    while todo:
-        slot = todo.pop()
-        for node in slot.nodes:
-            for child in node.children:
-                if isinstance(child, Node) and child.tag in BLOCKS and child.tag != "head":
-                    key = (child.tag, *sorted(child.names))
-                    if slot.children and slot.children[-1].key == key:
-                        slot.children[-1].nodes.append(child)
-                    elif not any(c.key == key for c in slot.children) or len(slot.children) < 64:
-                        slot.children.append(Slot(key, [child]))
-        todo.extend(slot.children)
-    count = 0
-    todo = [top]
-    while todo:
-        slot = todo.pop()
-        slot.number, count = count, count + 1
-        todo.extend(reversed(slot.children))
-    return top
-
-
-def matching(left: Slot, right: Slot, depth: int = 40) -> tuple[int, list[tuple[Slot, Slot]]]:
-    """Simple tree matching: the most pairs of nodes that keep keys, parents and order, and the pairs."""
-    if left.key != right.key:
-        return 0, []
-    a, b = left.children, right.children
-    if not a or not b or not depth:
-        return 1, [(left, right)]
-    inner = [[matching(x, y, depth - 1) for y in b] for x in a]
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a)):
-        for j in range(len(b)):
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + inner[i][j][0])
-    pairs = [(left, right)]
-    i, j = len(a), len(b)
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            pairs += inner[i][j][1]
-    return 1 + best[len(a)][len(b)], pairs
+def slots(page: Node) -> list[tuple[Node, int, int]]:
+    """Each block element in page order, the place it is in, and a hash of its text without skipped parts.
 
+    Equal siblings are in one place.
+    """
+    found: list = []
+    lines: list[tuple[str, int]] = []
+    held: list[str] = []
 
-def _digest(slot: Slot) -> int:
-    text = "\n".join(line for node in slot.nodes for line in blocks(node, inside=True))
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+    def close() -> None:
+        line = " ".join("".join(held).split())
+        held.clear()
+        if line:
+            lines.append((line, levels[-1]))
+
+    levels = [0]  # parts skipped by name that are around
+    todo: list = [(page, ROOT, False)]
+    while todo:
+        item, parent, leaving = todo.pop()
+        if leaving:
+            close()
+            node, slot, first = found[parent]
+            level = levels.pop()
+            found[parent] = (node, slot, _hash("\n".join(line for line, at in lines[first:] if at == level)))
+        elif isinstance(item, str):
+            held.append(item)
+        elif item.tag == "br":
+            held.append(" ")
+        elif item.tag in SKIPPED or item.tag not in BLOCKS and item.named:
+            if item.tag in BLOCKS:
+                close()
+        elif item.tag not in BLOCKS:
+            todo.extend((c, parent, False) for c in reversed(item.children))
+        else:
+            close()
+            slot = ROOT if item is page else _slot(parent, item.tag, item.names)
+            levels.append(levels[-1] + item.named)
+            todo.append((item, len(found), True))
+            found.append((item, slot, len(lines)))
+            todo.extend((c, slot, False) for c in reversed(item.children))
+    return found
+
+
+def layout(page: Node) -> int:
+    """A hash of the boxes that divide a page: those of the first two levels below the outermost box that has several parts."""
+    level = [page]
+    while True:
+        parts = [c for n in level for c in n.children if isinstance(c, Node) and c.tag in BLOCKS and c.tag not in SKIPPED]
+        if len(parts) != 1 or parts[0].tag in ("article", "main"):
+            break
+        level = parts
+    keys = {(n.tag, *sorted(n.names)) for n in level}
+    for depth in (1, 2):
+        parts = [n for n in parts if n.tag in DIVIDING]
+        keys |= {(depth, n.tag, *sorted(re.sub(r"\d+", "0", w) for w in n.names)) for n in parts}
+        parts = [c for n in parts if n.tag not in ("article", "main") for c in n.children if isinstance(c, Node) and c.tag in BLOCKS]
+    return _hash(repr(sorted(map(str, keys))))
 
 
 def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)", 1)), F.lit(""))
 
 
-def extract(page: str, reference: Slot | None, constant: frozenset[int], varying: frozenset[int]) -> str:
-    """Main text of a page, given the constant and the varying nodes of its host's reference."""
+def extract(page: str, constant: dict[tuple[int | None, int], set[int]]) -> str:
+    """Main text of a page, given the constant texts (hashes) of places of its host, for all layouts (None) and for each."""
     tree = parse(page)
     own = roots(tree)
     dropped: set[int] = set()
-    if reference is not None and constant:
-        aligned = {x.number: y for x, y in matching(reference, slots(tree))[1]}
+    if constant:
+        kind = layout(tree)
         inside = {id(n) for r in own for n in _below(r)}
-        # Inside an article, boxes that are constant go, where something else there varies; its paragraphs, lists and tables stay.
-        varies = any(id(n) in inside for k in varying if k in aligned for n in aligned[k].nodes)
-        for number in constant:
-            for node in aligned[number].nodes if number in aligned else ():
-                if not own or node.tag in BOXES and id(node) in inside and varies and not any(node is r for r in own):
+        found = slots(tree)
+        count = Counter(slot for _, slot, _ in found)
+        for node, slot, digest in found:
+            known = constant.get((None, slot), set()) | constant.get((kind, slot), set())
+            # Outside articles, what stands in the place of one constant text is template too.
+            if digest in known or known and not own and count[slot] == 1:
+                if node is not tree and (not own or node.tag in BOXES and id(node) in inside and not any(node is r for r in own)):
                     dropped.add(id(node))
     gone = frozenset(dropped)
-    for names in (True, False):
-        lines = [line for root in own or [tree] for line in blocks(root, gone, bool(own), names)]
+    # An article in which all is constant stays.
+    for left, names in ((gone, True), (frozenset() if own else gone, True), (frozenset() if own else gone, False)):
+        lines = [line for root in own or [tree] for line in blocks(root, left, bool(own), names)]
         if lines:
             break
     return "\n".join(lines)
@@ -294,41 +308,58 @@ def _sent(table: DataFrame, size: Column) -> DataFrame:
 
 
 def induce_wrappers(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """(host, reference, constant, varying): a reference page of each host and which nodes of its tree hold its template.
+    """(host, wrapper): the constant texts of each host that has some, as JSON.
 
-    The reference is the page whose text has the smallest hash. Every page is aligned
-    with it; agreement is counted over all pages of the host, with partial counts before the shuffle.
+    A text is constant where most of the pages that have its place agree on it, among the
+    different pages of the host or of one layout of it. Null and empty pages do not count.
     """
-    rows = pages.select(host_of(F.col(f"`{url}`")).alias("host"), F.coalesce(F.col(f"`{page}`").cast("string"), F.lit("")).alias("page"))
-    picked = stored(rows.groupBy("host").agg(F.min_by("page", F.struct(F.xxhash64("page"), "page")).alias("reference"), F.count(F.lit(1)).alias("n_pages")))
-    several = picked.filter(F.col("n_pages") >= PAGES)
-    joined = rows.join(_sent(several, F.length("reference")), "host")
-    shared = pages.sparkSession.sparkContext.broadcast(PAGES)
+    text = F.col(f"`{page}`").cast("string")
+    rows = pages.filter(text.isNotNull() & (F.trim(text) != "")).select(host_of(F.col(f"`{url}`")).alias("host"), text.alias("page"))
 
     def work(columns: list[pa.Array]) -> list[pa.Array]:
-        known = worker_value(shared, lambda _: {})
-        out = []
-        for text, reference in zip(as_bytes(columns[0]), as_bytes(columns[1])):
-            base = _reference(known, reference)
-            pairs = matching(base, slots(parse(as_text(text))))[1]
-            out.append([{"node": x.number, "digest": _digest(y)} for x, y in pairs])
-        return [pa.array(out, pa.list_(pa.struct([("node", pa.int32()), ("digest", pa.int64())])))]
-
-    seen = map_texts(joined, ["host"], [F.col("page"), F.col("reference")], "seen array<struct<node:int,digest:long>>", work)
-    agreed = seen.select("host", F.inline("seen")).groupBy("host", "node", "digest").agg(F.count(F.lit(1)).alias("n"))
-    nodes = agreed.groupBy("host", "node").agg(F.max("n").alias("top"), F.sum("n").alias("n")).join(several.select("host", "n_pages"), "host")
-    share = F.col("top") / F.col("n")
-    constant = (share >= CONSTANT) & (F.col("n") >= PAGES) & (2 * F.col("n") >= F.col("n_pages"))
-    found = nodes.groupBy("host").agg(F.sort_array(F.collect_list(F.when(constant, F.col("node")))).alias("constant"), F.sort_array(F.collect_list(F.when(share <= 0.5, F.col("node")))).alias("varying"))
-    return picked.select("host", "reference").join(found, "host", "left")
-
-
-def _reference(known: dict, reference: bytes | None) -> Slot:
-    key = hashlib.blake2b(reference or b"", digest_size=16).digest()
+        kinds, out = [], []
+        for content in as_bytes(columns[0]):
+            tree = parse(as_text(content))
+            places = slots(tree)
+            kinds.append(layout(tree))
+            # None stands for the place itself.
+            each = dict.fromkeys(x for _, slot, digest in places for x in ((slot, None), (slot, digest)))
+            out.append([{"slot": slot, "digest": digest} for slot, digest in each])
+        return [pa.array(kinds, pa.int64()), pa.array(out, pa.list_(pa.struct([("slot", pa.int64()), ("digest", pa.int64())])))]
+
+    keyed = rows.withColumn("copy", F.xxhash64("page"))
+    seen = map_texts(keyed, ["host", "copy"], [F.col("page")], "layout long, seen array<struct<slot:long,digest:long>>", work)
+    different = seen.groupBy("host", "copy", "layout").agg(F.first("seen").alias("seen"))
+    agreed = stored(different.select("host", "layout", F.inline("seen")).groupBy("host", "layout", "slot", "digest").agg(F.count(F.lit(1)).alias("n")))
+    key = ["host", "layout", "slot"]
+    found = None
+    # A null layout stands for all of them.
+    whole = agreed.groupBy("host", "slot", "digest").agg(F.sum("n").alias("n")).select("host", F.lit(None).cast("long").alias("layout"), "slot", "digest", "n")
+    for level in (whole, agreed):
+        places = level.filter(F.col("digest").isNull())
+        enough = level.filter(F.col("digest").isNotNull() & (F.col("n") >= PAGES))
+        n_pages = places.filter(F.col("slot") == ROOT).select("host", "layout", F.col("n").alias("n_pages"))
+        of_place = places.select(*key, F.col("n").alias("n_place"))
+        same = [F.col(f"e.{c}").eqNullSafe(F.col(f"p.{c}")) for c in key]
+        judged = enough.alias("e").join(of_place.alias("p"), same).select("e.*", "n_place")
+        judged = judged.filter(F.col("n") >= CONSTANT * F.col("n_place")).alias("j")
+        judged = judged.join(n_pages.alias("q"), [F.col(f"j.{c}").eqNullSafe(F.col(f"q.{c}")) for c in key[:2]])
+        part = judged.filter(2 * F.col("n_place") >= F.col("n_pages")).select(*[F.col(f"j.{c}") for c in [*key, "digest"]])
+        found = part if found is None else found.unionByName(part)
+    return found.groupBy("host").agg(F.to_json(F.collect_list(F.array("layout", "slot", "digest"))).alias("wrapper"))
+
+
+def _wrapper(known: dict, packed: bytes | None) -> dict[tuple[int | None, int], set[int]]:
+    """The constant texts by layout and place."""
+    if packed is None:
+        return {}
+    key = hashlib.blake2b(packed, digest_size=16).digest()
     if key not in known:
         if len(known) >= 1000:
             known.clear()
-        known[key] = slots(parse(as_text(reference)))
+        made = known[key] = {}
+        for kind, slot, digest in json.loads(packed):
+            made.setdefault((kind, slot), set()).add(digest)
     return known[key]
 
 
@@ -340,16 +371,12 @@ def extract_pages(pages: DataFrame, keep: Sequence[str], url: str = "url", page:
     """
     wrappers = stored(induce_wrappers(pages, url, page))
     named = pages.withColumn("_host", host_of(F.col(f"`{url}`")))
-    sent = _sent(wrappers, F.length("reference"))
-    joined = named.join(sent.select(F.col("host").alias("_host"), *[F.col(c).alias(f"_{c}") for c in ("reference", "constant", "varying")]), "_host")
+    sent = _sent(wrappers, F.length("wrapper"))
+    joined = named.join(sent.select(F.col("host").alias("_host"), F.col("wrapper").alias("_wrapper")), "_host", "left")
     shared = pages.sparkSession.sparkContext.broadcast(CONSTANT)
 
     def work(columns: list[pa.Array]) -> list[pa.Array]:
         known = worker_value(shared, lambda _: {})
-        out = []
-        for text, reference, constant, varying in zip(as_bytes(columns[0]), as_bytes(columns[1]), columns[2].to_pylist(), columns[3].to_pylist()):
-            base = _reference(known, reference) if constant else None
-            out.append(extract(as_text(text), base, frozenset(constant or ()), frozenset(varying or ())))
-        return [pa.array(out, pa.string())]
+        return [pa.array([extract(as_text(t), _wrapper(known, w)) for t, w in zip(as_bytes(columns[0]), as_bytes(columns[1]))], pa.string())]
 
-    return map_texts(joined, keep, [F.col(f"`{page}`").cast("string"), F.col("_reference"), F.col("_constant"), F.col("_varying")], f"`{into}` string", work)
+    return map_texts(joined, keep, [F.col(f"`{page}`").cast("string"), F.col("_wrapper")], f"`{into}` string", work)
