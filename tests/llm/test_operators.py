@@ -113,6 +113,17 @@ def test_html_names_do_not_drop_the_article(spark):
     assert found == {i: "T\na" for i in range(len(pages))}
 
 
+def test_html_constant_parts_of_articles_go(spark):
+    share = "<article><h1>T{0}</h1><ul><li>Share<li>Mail</ul><p class=note>Members only</p><p>text {0}</p><p>Subscribe now</p></article>"
+    promo = "<article>Our app</article><div class=story><h1>T{0}</h1><p>text {0}</p></div>"
+    whole = "<article><h1>Same</h1><p>text</p></article><!-- {0} -->"
+    rows = [(10 * k + i, f"http://h{k}.com/", form.format(i)) for k, form in enumerate((share, promo, whole)) for i in range(6)]
+    rows += [(100 + i, "http://h0.com/", share.format(100 + i)) for i in range(6)]
+    rows += [(200, "http://h0.com/", "<article><h1>T</h1><ul><li>real<li>list</ul><p class=note>own note</p><p>text</article>")]
+    found = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id"]).collect()}
+    assert found[200] == "T\nreal\nlist\nown note\ntext" and all(found[i] == f"T{i}\ntext {i}" and found[10 + i] == f"T{i}\ntext {i}" and found[20 + i] == "Same\ntext" for i in range(6))
+
+
 def test_html_templates_of_layouts_deep_and_late(spark):
     late = "".join(f"<div class=k{chr(97 + i % 26)}{chr(97 + i // 26)}><p>{{0}} {i}</div>" for i in range(80)) + "<section>x {0}</section><div class=kaa><p>{0}</div><section>Fixed</section>"
     deep = "<div>" * 60 + "<p>text {0}</p><table><td>Fixed</table>" + "</div>" * 60

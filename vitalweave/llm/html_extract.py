@@ -15,7 +15,7 @@ import html
 import json
 import re
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -43,8 +43,9 @@ SKIPPED_NAMES = frozenset(
 #: Names of what heads a page, outside an article, and words that change nothing in a name.
 HEADER_NAMES = frozenset(["header", "masthead"])
 PLAIN_WORDS = frozenset("site page main top bottom left right list box block bar area wrapper wrap container section buttons links widget inner outer global".split())
-DIVIDING = frozenset("div section article main header table center fieldset".split())
 BOXES = frozenset("div section fieldset details hgroup".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
+DIVIDING = frozenset("div section article main header table center fieldset".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>?|[^<]+|<", re.DOTALL)
 NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 #: A node is template when this share of the pages that have it agree on its text.
@@ -272,36 +273,37 @@ def host_of(url: Column) -> Column:
 def extract(page: str, constant: dict[tuple[int | None, int], set[int]]) -> str:
     """Main text of a page, given the constant texts (hashes) of places of its host, for all layouts (None) and for each."""
     tree = parse(page)
-    own = roots(tree)
+    own = articles = roots(tree)
     dropped: set[int] = set()
     if constant:
         kind = layout(tree)
-        inside = {id(n) for r in own for n in _below(r)}
         found = slots(tree)
         count = Counter(slot for _, slot, _ in found)
         for node, slot, digest in found:
             known = constant.get((None, slot), set()) | constant.get((kind, slot), set())
             # Outside articles, what stands in the place of one constant text is template too.
-            if digest in known or known and not own and count[slot] == 1:
-                if node is not tree and (not own or node.tag in BOXES and id(node) in inside and not any(node is r for r in own)):
-                    dropped.add(id(node))
+            if node is not tree and (digest in known or known and not articles and count[slot] == 1):
+                dropped.add(id(node))
+        # An article that is the same on nearly all pages is template too.
+        own = [r for r in articles if id(r) not in dropped]
     gone = frozenset(dropped)
-    # An article in which all is constant stays.
-    for left, names in ((gone, True), (frozenset() if own else gone, True), (frozenset() if own else gone, False)):
-        lines = [line for root in own or [tree] for line in blocks(root, left, bool(own), names)]
+    tries = [(own or [tree], gone, True)]
+    if articles:
+        if own and gone:
+            # Where only headings vary, an article's paragraphs, lists and tables are its own, copies of each other.
+            heads = gone | {id(n) for n, _, _ in found if n.tag in HEADINGS}
+            if not any(blocks(r, heads, True) for r in own):
+                tries = [(own, frozenset(id(n) for n, _, _ in found if id(n) in gone and n.tag in BOXES), True)]
+        tries += [(articles, frozenset(), True), (articles, frozenset(), False)]
+    else:
+        tries += [([tree], gone, False)]
+    for main, left, names in tries:
+        lines = [line for root in main for line in blocks(root, left, bool(articles), names)]
         if lines:
             break
     return "\n".join(lines)
 
 
-def _below(node: Node) -> Iterator[Node]:
-    todo = [node]
-    while todo:
-        item = todo.pop()
-        yield item
-        todo.extend(c for c in item.children if isinstance(c, Node))
-
-
 def _sent(table: DataFrame, size: Column) -> DataFrame:
     """A table of hosts, to all executors if it is small and by shuffle if not."""
     return F.broadcast(table) if (table.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else table
