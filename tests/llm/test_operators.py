@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from vitalweave.llm import bpe, chat, decontaminate, html_extract, language, ngram_join, quality, repeats, secret_scan, token_counts
 from vitalweave.llm import components as text_components
 from vitalweave.llm.components import components
@@ -237,6 +238,20 @@ def test_jaccard_components_match_brute_force(spark, monkeypatch, few, hot, tile
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == {i: (len(s), root(i)) for i, s in enumerate(sets)}
 
 
+def test_near_copy_stage_keeps_one_row_of_each(spark):
+    draw = random.Random(8)
+    bases = [" ".join(draw.choice(WORDS) for _ in range(60)) for _ in range(4)]
+    near = [b + " " + draw.choice(WORDS) for b in bases]
+    rows = [(2, bases[0], "a"), (1, near[0], "a"), (1, near[0], "a"), (1, near[0], "b"), (2, bases[1], "a"), (2, bases[1], "a")]
+    rows += [(None, bases[2], "a"), (None, near[2], "a"), (None, bases[3], "a"), (5, near[3], "a"), (7, None, "a"), (7, None, "a"), (8, "", "a"), (None, " ", "a")]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, source string, n_chars long")
+    found = [(r.doc_id, r.text, r.source) for r in corpus_pipeline.near_copy_stage(spark, docs, "").collect()]
+    assert [r for r in found if r[1] in (bases[0], near[0])] in ([(1, near[0], "a")], [(1, near[0], "b")])
+    assert [r for r in found if r[1] == bases[1]] == [(2, bases[1], "a")]
+    assert len([r for r in found if r[1] in (bases[2], near[2])]) == 1 and [r for r in found if r[1] in (bases[3], near[3])] == [(5, near[3], "a")]
+    assert len(found) == 8
+
+
 @pytest.mark.parametrize("most", [3, 500_000])
 def test_components_of_a_path_and_a_star(spark, monkeypatch, most):
     monkeypatch.setattr(text_components, "TASK_LINKS", most)
