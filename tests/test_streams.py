@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from vitalweave.operators.linkage import known_masters
 from vitalweave.plans.registry import Tables
-from vitalweave.plans.streams import messages
+from vitalweave.plans.streams import messages, run_clinical
 from vitalweave.session import cut_lineage, shared_dir
 from vitalweave.sources.events import decode_events, read_events, write_events
 from vitalweave.sources.reference_data import CLINICAL_CONCEPTS, catalog_df
@@ -44,6 +44,20 @@ def test_stream_equals_batch_and_replay_changes_nothing(spark, tables, tmp_path)
     assert stored(spark, out) == stored(spark, once)
 
 
+def test_registered_flow_reuses_known_masters(spark):
+    class Known(Tables):
+        def __getitem__(self, name):
+            rows = super().__getitem__(name)
+            if name != "links":
+                return rows
+            known = rows.limit(1).withColumn("master_id", F.lit("m-known")).withColumn("deterministic_key", F.lit("patient_id:patient-000008"))
+            return rows.unionByName(known)
+
+    facts = flow.read_store(spark, run_clinical(Known(spark, SF_DIR)), "facts")
+    found = {(r.patient_id == "patient-000008", r.master_id == "m-known") for r in facts.select("patient_id", "master_id").distinct().collect()}
+    assert found == {(True, True), (False, False)}
+
+
 def test_events_sent_twice_are_stored_once(spark, tables, tmp_path):
     folder = str(tmp_path / "topic")
     for _ in range(2):

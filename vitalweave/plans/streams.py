@@ -87,10 +87,9 @@ def payload_stream(t: Tables) -> DataFrame:
 
 def run_clinical(t: Tables) -> str:
     out = fresh_dir(t, "flow")
-    empty = t["links"].limit(0)
     events = decode_events(messages(payload_stream(t)))
     catalog = catalog_df(t.spark, CLINICAL_CONCEPTS)
-    flow.run_flow(events, f"{out}/tables", f"{out}/checkpoint", catalog, "pepper", empty).awaitTermination()
+    flow.run_flow(events, f"{out}/tables", f"{out}/checkpoint", catalog, "pepper", t["links"]).awaitTermination()
     return f"{out}/tables"
 
 
