@@ -31,7 +31,9 @@ from vitalweave.llm.common import as_bytes, as_text, map_texts, worker_value
 END_OF_WORD = "</w>"
 #: Word endings are other symbols than the same bytes inside a word.
 ENDING = 0xF0000
-CACHED_WORDS = 200_000
+#: Bytes of the entries that a memory of words takes up in a worker, at most, about.
+CACHED_BYTES = 12 << 20
+CACHED_PAIRS = 100_000
 CACHED_CHARS = 64
 #: White space as the regular expressions of the tokenizer files see it; str.split() also splits at U+001C to U+001F.
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -69,21 +71,26 @@ def _symbols(token: str) -> str:
 
 
 class Recent:
-    """A bounded memory of results: the latest entries, and those before them until as many new ones have come."""
+    """Results for the latest keys, and those before them until as many new ones have come; ``size`` bytes together."""
 
-    def __init__(self, make: Callable, size: int = CACHED_WORDS):
-        self.make, self.size = make, size
+    #: Bytes of an entry besides its characters and ids: the slot in the dictionary, the key and the tuple.
+    ENTRY_BYTES = 230
+
+    def __init__(self, make: Callable, size: int = CACHED_BYTES):
+        self.make, self.half = make, size // 2
         self.new: dict = {}
         self.old: dict = {}
+        self.held = 0
 
     def missing(self, key):
         """The value of a key that is not among the latest."""
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self.new) >= self.size:
-            self.old, self.new = self.new, {}
+        if self.held >= self.half:
+            self.old, self.new, self.held = self.new, {}, 0
         self.new[key] = value
+        self.held += self.ENTRY_BYTES + len(key) + 8 * len(value)
         return value
 
 
@@ -166,7 +173,7 @@ class Encoder:
             else:
                 break
         if below is None:
-            if len(self.compatible) >= CACHED_WORDS:
+            if len(self.compatible) >= CACHED_PAIRS:
                 self.compatible.clear()
             self.compatible[key] = good
         return good
