@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalweave.llm import bpe, chat, decontaminate, html_extract, language, ngram_join, quality, repeats, secret_scan, statements, token_counts
+from vitalweave.llm import bpe, chat, decontaminate, exact_copies, html_extract, language, ngram_join, quality, repeats, secret_scan, statements, token_counts
 
 
 @dataclass(frozen=True)
@@ -128,3 +128,8 @@ def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_extract.extract_pages(pages, ["page_id", "url"]).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query("op12_exact_dedup", statements.EXACT_COPIES)
+def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_copies.mark_copies(table(spark, sf_dir, "documents"))

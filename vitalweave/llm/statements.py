@@ -85,3 +85,9 @@ g AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS k FROM (
 SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(min(i) AS BIGINT) AS first, CAST(max(i) + 50 AS BIGINT) AS "end"
 FROM g JOIN d USING (r) GROUP BY r, k, d.doc_id, d.words
 """
+
+EXACT_COPIES = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+  row_number() OVER (PARTITION BY text ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(text) AS text_sha256
+FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) WINDOW w AS (PARTITION BY text)
+"""
