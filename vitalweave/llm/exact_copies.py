@@ -34,10 +34,9 @@ def frequent_winners(rows: DataFrame, place: Column, tracked: int = TRACKED, fre
     aggregate with map-side combine. Digests of one row are left out. At most ``frequent`` rows.
     """
     keys = rows.select(F.xxhash64("_digest").alias("_key"), F.pmod(F.spark_partition_id(), F.lit(GROUPS)).alias("_group"))
-    # One key more, that no digest needs to have: Spark's sketch cannot be read when it is empty.
-    keys = keys.unionByName(rows.sparkSession.range(1).select(F.lit(0).cast("long").alias("_key"), F.lit(0).alias("_group")))
     parts = keys.groupBy("_group").agg(F.expr(f"approx_top_k_accumulate(_key, {tracked})").alias("_counters"))
-    named = parts.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(_counters, {tracked}), {frequent})").alias("_named"))
+    # Grouped by a constant: a task without rows would else hold a sketch without state, which cannot be merged.
+    named = parts.groupBy(F.lit(0).alias("_all")).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(_counters, {tracked}), {frequent})").alias("_named"))
     asked = named.select(F.explode("_named.item").alias("_key"))
     listed = rows.withColumn("_key", F.xxhash64("_digest")).join(F.broadcast(asked), "_key", "left_semi")
     exact = listed.groupBy("_digest").agg(F.max(place).alias("_best"), F.count(F.lit(1)).alias("_size")).filter("_size > 1")
