@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalweave.llm import bpe, chat, decontaminate, exact_copies, html_extract, language, ngram_join, quality, repeats, secret_scan, statements, token_counts
+from vitalweave.llm import bpe, chat, decontaminate, exact_copies, html_extract, language, lexical, ngram_join, quality, repeats, secret_scan, statements, token_counts
 
 
 @dataclass(frozen=True)
@@ -133,3 +133,8 @@ def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_exact_dedup", statements.EXACT_COPIES)
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_copies.mark_copies(table(spark, sf_dir, "documents"))
+
+
+@query("op13_ranked_lexical_search", statements.RANKED_SEARCH)
+def ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
