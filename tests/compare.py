@@ -25,8 +25,15 @@ def _kind(values: pd.Series) -> str:
     return ",".join(sorted(kinds))
 
 
+def _whole(values: pd.Series) -> pd.Series:
+    """A column of whole numbers with gaps as such; pandas makes floats of it on the way from Spark."""
+    if values.dtype == "float64" and values.isna().any() and (values.dropna() % 1 == 0).all():
+        return values.astype("Int64")
+    return values
+
+
 def _cell(value: object) -> str:
-    if value is None or value is pd.NaT or (isinstance(value, float) and math.isnan(value)):
+    if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and math.isnan(value)):
         return ""
     if isinstance(value, float):
         return repr(float(f"{value:.9g}"))
@@ -40,6 +47,8 @@ def differences(spark_rows: pd.DataFrame, sql_rows: pd.DataFrame) -> list[str]:
         return [f"columns {sorted(spark_rows.columns)} and {sorted(sql_rows.columns)}"]
     columns = sorted(spark_rows.columns)
     for name in columns:
+        if str(sql_rows[name].dtype) == "Int64":
+            spark_rows = spark_rows.assign(**{name: _whole(spark_rows[name])})
         left, right = str(spark_rows[name].dtype), str(sql_rows[name].dtype)
         if left != right and not (left.startswith("datetime") and right.startswith("datetime")):
             if {left, right} != {"object", "str"}:
