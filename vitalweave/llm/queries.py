@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalweave.llm import bpe, chat, decontaminate, exact_copies, html_extract, language, lexical, ngram_join, quality, repeats, secret_scan, statements, token_counts
+from vitalweave.llm import bpe, chat, decontaminate, exact_copies, html_extract, language, lexical, ngram_join, prefix_trie, quality, repeats, secret_scan, statements, token_counts
 
 
 @dataclass(frozen=True)
@@ -138,3 +138,8 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_ranked_lexical_search", statements.RANKED_SEARCH)
 def ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_conversation_prefix_trie", statements.PREFIX_TRIE)
+def conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations")).drop("enter", "exit")

@@ -105,3 +105,27 @@ s AS (SELECT b, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 *
 k AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank FROM s WHERE score > 0)
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k JOIN b USING (b) WHERE rank <= 50
 """
+
+_CRC_BITS = "list_reduce([xor(a, x) & 255, 0, 0, 0, 0, 0, 0, 0, 0], lambda v, k: xor(v >> 1, 3988292384 * (v & 1)))"
+_CRC32 = f"""xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length({{0}}) + 1), lambda i: CAST(ascii(substr({{0}}, CAST(i AS INT), 1)) AS BIGINT))),
+    lambda a, x: xor(a >> 8, {_CRC_BITS})))"""
+
+PREFIX_TRIE = f"""
+WITH t AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, g) AS p, g, b FROM (
+  SELECT conv_id AS c, turn, sha256(length(role) || ':' || role || text) AS g, strlen(text) AS b FROM (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL))),
+k AS (SELECT c, {_CRC32.format("CAST(c AS VARCHAR)")} % 9 AS h FROM (SELECT DISTINCT c FROM t)),
+r AS (SELECT k.c, p, g, b FROM k JOIN t ON t.c = k.c - k.c % 5 AND p <= h UNION ALL SELECT c, p, g, b FROM t JOIN k USING (c) WHERE p > h),
+m AS (SELECT c, row_number() OVER w AS d, sha256(string_agg(g, '') OVER w) AS x, b FROM r WINDOW w AS (PARTITION BY c ORDER BY p)
+  UNION ALL SELECT c, 0, '', 0 FROM k),
+e AS (SELECT c, max(d) AS len FROM m GROUP BY c),
+n AS (SELECT d, x, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(b) AS worth,
+  sha256(coalesce(string_agg(CASE WHEN d = len THEN CAST(c AS VARCHAR) END, ',' ORDER BY c), '')) AS ends_sha256 FROM m JOIN e USING (c) GROUP BY d, x),
+p AS (SELECT m.c, m.d, n.conv_id FROM m JOIN n USING (d, x)),
+u AS (SELECT n.*, p.conv_id AS parent_conv_id FROM n LEFT JOIN p ON p.c = n.conv_id AND p.d = n.d - 1),
+f AS (SELECT parent_conv_id AS conv_id, d - 1 AS d, count(*) AS n_children FROM u WHERE d > 0 GROUP BY ALL),
+v AS (SELECT u.*, coalesce(n_children, 0) AS n_children FROM u LEFT JOIN f ON f.conv_id = u.conv_id AND f.d = u.d),
+s AS (SELECT p.conv_id, p.d, count(*) FILTER (v.n_children = 0) AS n_leaves, sum(v.worth) AS saved FROM v JOIN p ON p.c = v.conv_id AND p.d <= v.d GROUP BY ALL)
+SELECT v.conv_id, v.d AS depth, parent_conv_id, n_convs, n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, ends_sha256
+FROM v JOIN s ON s.conv_id = v.conv_id AND s.d = v.d
+"""
