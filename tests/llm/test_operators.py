@@ -260,3 +260,19 @@ def test_components_of_a_path_and_a_star(spark, monkeypatch, most):
     assert len({found[i] for i in range(21)}) == 1 and len({found[i] for i in range(100, 110)}) == 1 and found[0] != found[100]
     assert len(found) == 31
     assert components(spark.createDataFrame([(1, 1), (None, 2)], "a long, b long")).count() == 0
+
+
+def test_hits_are_removed(spark):
+    item = " ".join(f"i{k}" for k in range(12))
+    texts = [f"a b c d e f g, h. {item} k; l m n o p q r s", item, None, "", "plain text", f"{item} x y"] * 2
+    rows = [(i, t, "_d0", "c") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, cleaned string, spans string")
+    items = spark.createDataFrame([(1, item), (2, None), (3, "never seen words")], "item_id long, text string")
+    left = decontaminate.remove_hits(df, items)
+    assert left.columns == df.columns
+    expected = ["a b c d e f g, h k; l m n o p q r s".replace("h k", "h. k"), None, "", "plain text"] * 2
+    assert [r.text for r in left.orderBy("doc_id").collect()] == [expected[0], *expected[1:4], *expected[4:]]
+    assert decontaminate.remove_hits(df.limit(0), items).count() == 0
+    assert decontaminate.remove_hits(df, items.limit(0)).count() == len(rows)
+    whole = "x " * 30 + item + " end" * 30
+    assert decontaminate.without_words(whole.encode(), 72, [{"first": 30, "end": 42}]) == ("x " * 30 + "end" + " end" * 29).encode()

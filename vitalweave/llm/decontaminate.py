@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from vitalweave.llm.common import as_bytes, map_texts, pieces, worker_value
+from vitalweave.llm.common import as_bytes, map_texts, worker_value
 
 WINDOW = 10
 #: Items of a block have this many bytes together, at most, unless one item alone has more.
@@ -193,16 +193,24 @@ def find_hits(
     of an item with a null id are hit but add no id. Repeated rows stay. Row-local: each
     block of items is one more pass over the rows, without a shuffle.
     """
+    return _hits(docs, items, keep, text, item_id, item_text, window, block_bytes, False)
+
+
+def _hits(
+    docs: DataFrame, items: DataFrame, keep: Sequence[str], text: str, item_id: str, item_text: str, window: int, block_bytes: int, cleaned: bool
+) -> DataFrame:
+    """:func:`find_hits`; with ``cleaned``, also the text without the hit spans as ``cleaned``, made in the last pass."""
     context = docs.sparkSession.sparkContext
     names = [f.name for f in StructType.fromDDL(FOUND)]
     keep = [c for c in keep if c not in names]
 
-    def through(rows: DataFrame, shared, text: Column, before: Sequence[Column]) -> DataFrame:
+    def through(rows: DataFrame, shared, text: Column, before: Sequence[Column], clean: bool) -> DataFrame:
         def work(columns: list[pa.Array]) -> list[pa.Array]:
             automaton = worker_value(shared, lambda x: SuffixAutomaton(*x))
             earlier = [c.to_pylist() for c in columns[1:]]
             counts, spans, found, longest = [], [], [], []
-            for row, content in enumerate(as_bytes(columns[0])):
+            contents = as_bytes(columns[0])
+            for row, content in enumerate(contents):
                 words = words_of(content)
                 hit, who, most = automaton.matches(words)
                 who = who - {None}
@@ -214,16 +222,26 @@ def find_hits(
                 spans.append([{"first": a, "end": b} for a, b in hit])
                 found.append(sorted(who))
                 longest.append(most)
-            return [pa.array(counts, pa.int64()), pa.array(spans, SPANS), pa.array(found, pa.list_(pa.string())), pa.array(longest, pa.int64())]
+            made = [pa.array(counts, pa.int64()), pa.array(spans, SPANS), pa.array(found, pa.list_(pa.string())), pa.array(longest, pa.int64())]
+            if not clean:
+                return made
+            if not any(spans):
+                return [*made, columns[0]]
+            texts = [without_words(t, n, s) if s else t for t, n, s in zip(contents, counts, spans)]
+            return [*made, pa.array(texts, pa.binary()).cast(pa.string())]
 
-        return map_texts(rows, rows.columns, [text, *before], FOUND, work)
+        return map_texts(rows, rows.columns, [text, *before], FOUND + ", cleaned string" * clean, work)
 
     rows = docs.select(*[F.col(f"`{c}`").alias(f"_d{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").cast("string").alias("_text"))
     before: list[Column] = []
-    for block in item_blocks(items, item_id, item_text, block_bytes):
-        rows = through(rows, context.broadcast((block, window)), F.col("_text"), before)
+    blocks = item_blocks(items, item_id, item_text, block_bytes)
+    block = next(blocks)
+    while block is not None:
+        later = next(blocks, None)
+        rows = through(rows, context.broadcast((block, window)), F.col("_text"), before, cleaned and later is None)
         before = [F.col(n) for n in names[1:]]
-    return rows.select(*[F.col(f"_d{i}").alias(c) for i, c in enumerate(keep)], *names)
+        block = later
+    return rows.select(*[F.col(f"_d{i}").alias(c) for i, c in enumerate(keep)], *names, *["cleaned"] * cleaned)
 
 
 def hit_words() -> Column:
@@ -248,22 +266,10 @@ def remove_hits(
     columns = docs.columns
     place = columns.index(text)
     plain = docs.toDF(*[f"_c{i}" for i in range(len(columns))])
-    found = find_hits(plain, items, plain.columns, f"_c{place}", item_id, item_text, window)
-    found = found.filter(hit_words() <= F.lit(coverage) * F.col("n_words")).select(*plain.columns, "n_words", "spans")
-    width, names = len(columns), plain.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, place):
-            spans = batch.column(width + 1).to_pylist()
-            if any(spans):
-                counts = batch.column(width).to_pylist()
-                texts = [without_words(t, n, s) if s else t for t, n, s in zip(as_bytes(batch.column(place)), counts, spans)]
-                changed = pa.array(texts, pa.binary()).cast(pa.string())
-            else:
-                changed = batch.column(place)
-            yield pa.RecordBatch.from_arrays([changed if i == place else batch.column(i) for i in range(width)], names=names)
-
-    return found.mapInArrow(run, plain.schema).toDF(*columns)
+    names = plain.columns
+    found = _hits(plain, items, [n for n in names if n != names[place]], names[place], item_id, item_text, window, BLOCK_BYTES, True)
+    found = found.filter(hit_words() <= F.lit(coverage) * F.col("n_words"))
+    return found.select(*[F.col("cleaned" if i == place else n).alias(c) for i, (n, c) in enumerate(zip(names, columns))])
 
 
 def without_words(content: bytes, n_words: int, spans: Sequence[dict]) -> bytes:
