@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from vitalweave.llm import bpe, chat, decontaminate, html_extract, language, ngram_join, quality, repeats, secret_scan, token_counts
+from vitalweave.llm import bpe, chat, decontaminate, frequent, html_extract, language, ngram_join, quality, repeats, secret_scan, token_counts
 from vitalweave.llm import components as text_components
 from vitalweave.llm.components import components
 
@@ -276,3 +276,22 @@ def test_hits_are_removed(spark):
     assert decontaminate.remove_hits(df, items.limit(0)).count() == len(rows)
     whole = "x " * 30 + item + " end" * 30
     assert decontaminate.without_words(whole.encode(), 72, [{"first": 30, "end": 42}]) == ("x " * 30 + "end" + " end" * 29).encode()
+
+
+def test_near_copy_stage_keeps_columns_of_any_name(spark):
+    text = " ".join(WORDS)
+    docs = spark.createDataFrame([(1, text, "r", 5), (2, text, "s", 6), (3, "other words", "t", 7)], "doc_id long, text string, _row string, _n int")
+    found = ngram_join.one_of_each(docs)
+    assert found.columns == docs.columns and sorted(tuple(r) for r in found.collect()) == [(1, text, "r", 5), (3, "other words", "t", 7)]
+    assert ngram_join.one_of_each(docs.limit(0)).count() == 0
+    assert ngram_join.jaccard_components(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_spread_join_is_the_join(spark, how):
+    left = spark.createDataFrame([(1, i) for i in range(300)] + [(i % 40, i) for i in range(80)] + [(None, 1), (99, 2)], "k long, v long")
+    right = spark.createDataFrame([(i, f"x{i}") for i in range(50)], "k long, w string")
+    wanted = left.join(right, "k", how)
+    for tracked, few in ((50, 2), (50_000, 10_000)):
+        found = frequent.spread_join(left, right, "k", how, tracked, few)
+        assert sorted(map(str, found.select("k", "v", "w").collect())) == sorted(map(str, wanted.collect()))

@@ -78,7 +78,22 @@ def map_texts(
     return rows.mapInArrow(run, schema).toDF(*keep, *fields.names)
 
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def stored(df: DataFrame) -> DataFrame:
-    """The rows, written once to the folder in ``spark.checkpoint.dir``; a lost executor does not lose them."""
-    return cut_lineage(df)
+    """The rows, written once to the folder in ``spark.checkpoint.dir``; a lost executor does not lose them.
+
+    What was shuffled to make them is removed as soon as they are written.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(FREE_SHUFFLES, None)
+    conf.set(FREE_SHUFFLES, "true")
+    try:
+        # The setting is read when a table is put together, so it is put together again.
+        return cut_lineage(df.select("*"))
+    finally:
+        if before is None:
+            conf.unset(FREE_SHUFFLES)
+        else:
+            conf.set(FREE_SHUFFLES, before)

@@ -1,8 +1,7 @@
 """Exact deduplication by a heavy-hitter split, in DataFrame functions only.
 
-Rows are reduced to the SHA-256 digest of their text. Misra-Gries counters (Spark's
-frequent-items sketch, merged as a tree) name the digests that may be frequent. An exact
-aggregate of those digests alone verifies them and finds the row that stays of each; these
+Rows are reduced to the SHA-256 digest of their text. Misra-Gries counters name the digests
+that may be frequent. An exact aggregate of those digests alone verifies them and finds the row that stays of each; these
 winners, a bounded number, are broadcast, so that rows with frequent texts are settled where
 they are read. Only the digests that are left are shuffled, and none of them has many rows.
 """
@@ -13,13 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalweave.llm.common import stored
-
-#: Counters of a sketch: a digest is named for certain if it has more than about 3.5 / TRACKED of all rows and is among the FREQUENT most common.
-TRACKED = 50_000
-#: Winners that are broadcast, at most; some 100 bytes each.
-FREQUENT = 10_000
-#: Sketches of tasks are merged in so many groups first.
-GROUPS = 64
+from vitalweave.llm.frequent import FREQUENT, TRACKED, frequent_keys
 
 
 def text_digest(text: str) -> Column:
@@ -33,11 +26,7 @@ def frequent_winners(rows: DataFrame, place: Column, tracked: int = TRACKED, fre
     The counters only choose which digests are looked at; sizes and places come from an exact
     aggregate with map-side combine. Digests of one row are left out. At most ``frequent`` rows.
     """
-    keys = rows.select(F.xxhash64("_digest").alias("_key"), F.pmod(F.spark_partition_id(), F.lit(GROUPS)).alias("_group"))
-    parts = keys.groupBy("_group").agg(F.expr(f"approx_top_k_accumulate(_key, {tracked})").alias("_counters"))
-    # Grouped by a constant: a task without rows would else hold a sketch without state, which cannot be merged.
-    named = parts.groupBy(F.lit(0).alias("_all")).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(_counters, {tracked}), {frequent})").alias("_named"))
-    asked = named.select(F.explode("_named.item").alias("_key"))
+    asked = frequent_keys(rows, "_digest", tracked, frequent)
     listed = rows.withColumn("_key", F.xxhash64("_digest")).join(F.broadcast(asked), "_key", "left_semi")
     exact = listed.groupBy("_digest").agg(F.max(place).alias("_best"), F.count(F.lit(1)).alias("_size")).filter("_size > 1")
     return exact.orderBy(F.desc("_size"), "_digest").limit(frequent)
