@@ -99,8 +99,12 @@ def predicate(facts: DataFrame, clause: Clause) -> Column:
         literals = [_literal(clause, v, kind) for v in values]
         if not literals:
             raise BadClause(f"{clause}: empty list")
-        return column.isin(literals)
+        return column.isin(literals) & _day_bound(facts, clause, literals)
     literal = _literal(clause, clause.value, kind)
+    return _compared(column, clause.op, literal) & _day_bound(facts, clause, [literal])
+
+
+def _compared(column: Column, op: str, literal: Column) -> Column:
     return {
         "=": column == literal,
         "!=": column != literal,
@@ -108,7 +112,19 @@ def predicate(facts: DataFrame, clause: Clause) -> Column:
         "<": column < literal,
         ">=": column >= literal,
         "<=": column <= literal,
-    }[clause.op]
+    }[op]
+
+
+def _day_bound(facts: DataFrame, clause: Clause, literals: Sequence[Column]) -> Column:
+    """What a time clause means for the day that facts are stored by, so that the scan leaves out all other days."""
+    kinds = {f.name: f.dataType for f in facts.schema.fields}
+    stored = isinstance(kinds.get("event_date"), T.DateType) and isinstance(kinds.get(clause.field), T.TimestampNTZType)
+    if not stored or clause.op == "!=":
+        return F.lit(True)
+    day, days = F.col("event_date"), [F.to_date(x) for x in literals]
+    if clause.op in ("=", "in"):
+        return day.isin(days)
+    return day >= days[0] if clause.op in (">", ">=") else day <= days[0]
 
 
 def dropped_clauses(facts: DataFrame, clauses: Sequence[Clause]) -> list[Clause]:
@@ -219,8 +235,9 @@ def cohort_query(facts: DataFrame, spec: CohortQuery) -> dict[str, DataFrame]:
     }
 
 
-def timeline(facts: DataFrame, patients: DataFrame | None = None, n: int = TIMELINE_ROWS) -> DataFrame:
-    """Oldest ``n`` facts of each patient, of the listed patients when given."""
+def timeline(facts: DataFrame, patients: DataFrame | None = None, n: int = TIMELINE_ROWS, tenant: str | None = None) -> DataFrame:
+    """Oldest ``n`` facts of each patient, of the listed patients when given, in the view of a tenant."""
+    facts = tenant_view(facts, tenant)
     wanted = facts if patients is None else facts.join(patients.select("patient_id").distinct(), "patient_id", "left_semi")
     return top_n_per_key(wanted, ["patient_id"], [F.asc("timestamp"), F.asc("id")], n)
 
@@ -232,13 +249,18 @@ def drilldown(
     links: DataFrame,
     patients: DataFrame | None = None,
     n: int = TIMELINE_ROWS,
+    tenant: str | None = None,
 ) -> DataFrame:
     """Timeline rows with the patient's resolved features and linkage summary beside them.
 
     Features are rows of (entity_id, features). Both sides are one row per patient
     and the timeline is at most ``n`` rows per patient before it is joined. A list of
-    patients narrows all inputs before anything is aggregated.
+    patients narrows all inputs before anything is aggregated. With a tenant, only its facts
+    are seen, and of the other inputs only what has no tenant or is its own.
     """
+    if tenant is not None:
+        facts = tenant_view(facts, tenant)
+        online, offline, links = (tenant_view(df, tenant) if "tenant_id" in df.columns else df for df in (online, offline, links))
     if patients is not None:
         patients = patients.select("patient_id").distinct()
         entities = patients.select(F.col("patient_id").alias("entity_id"))

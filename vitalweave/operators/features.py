@@ -8,15 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitalweave.functions.groups import latest_per_key
-from vitalweave.functions.scalars import utc_text
+from vitalweave.functions.scalars import present, utc_text
 
 # Life of an online row and size of a feature view.
 ONLINE_TTL = timedelta(minutes=5)
 VIEW_ROWS = 200
 
 
-def event_features(facts: DataFrame) -> DataFrame:
-    """Features of each linked record as a map of text; the version is the event time in microseconds."""
+def event_features(facts: DataFrame, entity: str = "master_id") -> DataFrame:
+    """Features of each linked record as a map of text; the version is the event time in microseconds.
+
+    ``entity`` is the column that names the entity; where it is blank, the master does.
+    """
     pairs = {
         "master_patient_id": F.col("master_id"),
         "resource_type": F.lower("resource_type"),
@@ -27,7 +30,7 @@ def event_features(facts: DataFrame) -> DataFrame:
     }
     flat = [part for name, value in pairs.items() for part in (F.lit(name), value)]
     return facts.select(
-        F.col("master_id").alias("entity_id"),
+        (F.col(entity) if entity == "master_id" else F.coalesce(present(entity), "master_id")).alias("entity_id"),
         F.unix_micros(F.col("timestamp").cast("timestamp")).alias("version"),
         F.map_filter(F.create_map(*flat), lambda _, v: v.isNotNull()).alias("features"),
         F.col("timestamp").alias("created_at"),
