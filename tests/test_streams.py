@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitalweave.operators.linkage import known_masters
+from vitalweave.operators.match_index import MatchIndex
 from vitalweave.plans.registry import Tables
 from vitalweave.plans.streams import messages, run_clinical
 from vitalweave.session import cut_lineage, shared_dir
@@ -113,3 +114,48 @@ def test_lineage_is_cut_in_the_shared_folder(spark):
     cut = cut_lineage(spark.range(10).withColumn("x", F.rand()))
     assert cut.count() == 10 and spark.conf.get("spark.checkpoint.dir") == folder
     assert "Scan ExistingRDD" in cut._jdf.queryExecution().toString()
+
+
+def test_similar_records_meet_known_and_earlier_masters(spark, tmp_path):
+    registry = spark.createDataFrame([("t1", "pat-0001234-ab", "m-1"), ("t2", "pat-0001234-ab", "m-2"), ("t1", "pat-0009999-zz", "m-3")], "tenant string, name string, master string")
+    index = str(tmp_path / "index")
+    MatchIndex.build(registry, index, "tenant", "name", "master")
+
+    def batch(rows):
+        texts = [f'{{"resourceType":"Observation","tenant_id":"{tenant}","patient_id":"{name}"' + (f',"mrn":"{mrn}"' if mrn else "") + "}" for _, tenant, name, mrn in rows]
+        df = spark.createDataFrame([(r[0], text) for r, text in zip(rows, texts)], "id long, payload_text string").withColumn("received_at", F.lit("2024-01-05 00:00:00").cast("timestamp_ntz"))
+        return flow.prepare(decode_events(messages(df)), catalog_df(spark), "salt")
+
+    known = known_masters(spark.sql("SELECT 1L id, 'm-key' master_id, 'mrn:r1' deterministic_key, TIMESTAMP_NTZ'2024-01-01' created_at"))
+    out, similar = str(tmp_path / "out"), flow.Similar(index)
+    first = batch([(1, "t1", "pat-0001243-ab", None), (2, "t2", "pat-0001243-ab", None), (3, "t3", "pat-0001243-ab", None), (4, "t1", "qqqq", None), (5, "t1", " qqqq ", None), (6, "t1", "", None), (7, "t1", "pat-0001243-ab", "R1"), (46, "t1", "pat-0001234-ab", None)])
+    second = batch([(10, "t1", "qqqq", None), (11, "t1", "qqqqr", None), (12, "t2", "qqqq", None)])
+    for rows, number in ((first, 0), (second, 1), (second, 1), (first, 0)):
+        flow.store_batch(rows, number, out, "salt", known, ("mrn",), similar, "patient_id", True)
+    found = {int(r.id): r.master_id for r in flow.read_store(spark, out, "facts").collect()}
+    assert (found[1], found[2], found[7]) == ("m-1", "m-2", "m-key")
+    assert found[3] not in ("m-1", "m-2") and found[4] == found[5] == found[10] == found[11]
+    assert len({found[3], found[4], found[6], found[12]}) == 4
+    links = {r.patient_id: (r.method, r.score) for r in flow.read_store(spark, out, "links").filter("patient_id LIKE 'qqqq_'").collect()}
+    assert links["qqqqr"][0] == "probabilistic" and 0.85 <= links["qqqqr"][1] < 1
+    # Message 46 came from an unknown source.
+    letters = flow.open_letters(spark, out).collect()
+    assert [(r.id, r.stage) for r in letters] == [("46", "validate")] and '"id":"46"' in letters[0].raw
+    status = {r.id: r.status for r in flow.read_store(spark, out, "requests").collect()}
+    assert status["46"] == "failed" and status["1"] == "published"
+    assert len(flow.read_store(spark, out, "phi").collect()) == len(found)
+
+
+def test_letters_are_mended_and_replayed_once(spark, tmp_path):
+    catalog, links = catalog_df(spark), spark.createDataFrame([], "id long, master_id string, deterministic_key string, created_at timestamp_ntz")
+    rows = spark.createDataFrame([(i, '{"resourceType":"Condition","patient_id":"p"}') for i in (1, 2, 23)], "id long, payload_text string").withColumn("received_at", F.lit("2024-01-05 00:00:00").cast("timestamp_ntz"))
+    sent = messages(rows)
+    cut = sent.withColumn("value", F.when(F.col("key") == "2", F.expr("substr(value, 1, length(value) - 1)")).otherwise(F.col("value")))
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    flow.store_batch(flow.prepare(decode_events(cut), catalog, "salt"), 0, out, "salt", known_masters(links))
+    assert {r.stage for r in flow.open_letters(spark, out).collect()} == {"decode", "validate"}
+    for _ in range(2):
+        flow.mend_letters(spark, out, lambda letters: F.when(F.col("stage") == "decode", F.concat("raw", F.lit("}"))))
+        flow.replay_letters(spark, out, checkpoint, catalog, "salt", links).awaitTermination()
+        assert sorted(r.id for r in flow.read_store(spark, out, "facts").collect()) == ["1", "2"]
+        assert [r.stage for r in flow.open_letters(spark, out).collect()] == ["validate"]

@@ -15,8 +15,9 @@ PAYLOAD = (
     "resourceType string, patient_id string, subject struct<reference:string>, effectiveDateTime string, "
     "code struct<text:string,display:string>, concept string, value string, unit string, "
     "valueQuantity struct<value:string,unit:string>, description string, recordedDate string, "
-    "clinicalStatus struct<text:string>, performedDateTime string"
+    "clinicalStatus struct<text:string>, performedDateTime string, tenant_id string, mrn string"
 )
+PUBLIC = "public"
 # Resource types that have a canonical form.
 SUPPORTED = ("observation", "condition", "procedure")
 # Code systems in catalog column order.
@@ -178,5 +179,10 @@ def normalize(
         **{name: merged(name) for name in names},
         "timestamp": F.when(accepted, event_time("payload", F.col(received_at))),
     }
+    held = df.schema["payload"].dataType.names
+    if "tenant_id" in held:
+        columns["tenant_id"] = F.when(accepted, F.coalesce(present("payload.tenant_id"), F.lit(PUBLIC)))
+    if "mrn" in held:
+        columns["mrn"] = F.when(accepted, present("payload.mrn"))
     records = evaluate_once(routed.select("id", "payload", "resource_key", received_at, "reason", *keep), columns)
     return attach_codes(records.select("id", *columns, "reason", *keep), catalog)

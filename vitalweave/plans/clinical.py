@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import timedelta
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from vitalweave.operators import ingest as V
 from vitalweave.operators import linkage as L
 from vitalweave.operators import normalize as N
+from vitalweave.operators.match_index import MatchIndex, link_indexed
 from vitalweave.plans.registry import Tables, clock, plan
+from vitalweave.session import shared_dir
 from vitalweave.sources.events import split_quarantine
 from vitalweave.sources.reference_data import CLINICAL_CONCEPTS, catalog_df
 
@@ -328,3 +331,37 @@ def _(t: Tables):
     rows = L.linkage_summary(t["links"])
     ids = F.transform("linked_patients", lambda p: p["id"].cast("string"))
     return rows.select("patient_id", "master_id", "primary_score", "method", F.array_join(ids, ",").alias("linked"))
+
+
+def indexed(t: Tables, registry: DataFrame, incoming: DataFrame, block: str, ref: str) -> DataFrame:
+    index = MatchIndex.build(registry, f"{shared_dir(t.spark)}/index-{uuid.uuid4().hex}", block, "patient_id", ref)
+    return link_indexed(incoming, index, block, ref=ref)
+
+
+@plan(
+    "l3_link_indexed",
+    """WITH scored AS (SELECT i.inc_id, CAST(r.reg_id AS VARCHAR) AS ref, round(jaro_winkler_similarity(r.patient_id, trim(i.patient_id)), 10) AS score
+                       FROM incoming i JOIN registry r ON r.block = i.block),
+       """
+    + BEST_SQL.format("reg_id"),
+    "incoming",
+    "registry",
+)
+def _(t: Tables):
+    return indexed(t, t["registry"], t["incoming"], "block", "reg_id").select("inc_id", "reg_id", "score", "method")
+
+
+@plan(
+    "l3_link_all_links",
+    """WITH known AS (SELECT DISTINCT split_part(patient_id, '-', 3) AS block, patient_id, master_id FROM links),
+       scored AS (SELECT i.inc_id, c.master_id AS ref, round(jaro_winkler_similarity(c.patient_id, trim(i.patient_id)), 10) AS score
+                  FROM incoming i JOIN known c ON c.block = split_part(lower(trim(i.patient_id)), '-', 3)),
+       """
+    + BEST_SQL.format("master_id"),
+    "incoming",
+    "links",
+)
+def _(t: Tables):
+    block = F.split_part(F.lower(F.trim("patient_id")), F.lit("-"), F.lit(3))
+    links, incoming = (t[name].withColumn("block", block) for name in ("links", "incoming"))
+    return indexed(t, links, incoming, "block", "master_id").select("inc_id", "master_id", "score", "method")

@@ -8,14 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalweave.functions.groups import latest_per_key
+from vitalweave.operators.cohort import Clause, cohort_filter, cohort_patients, drilldown
+from vitalweave.operators.match_index import MatchIndex
 from vitalweave.plans.clinical import CONDITION_SQL, KIND_SQL, OBSERVATION_SQL, PATIENT_SQL, TIME_SQL, VALUE_SQL
-from vitalweave.plans.registry import Tables, plan
+from vitalweave.plans.registry import Tables, clock, plan
 from vitalweave.session import shared_dir
 from vitalweave.sources import fixtures
 from vitalweave.sources.events import decode_events, encode_events, split_quarantine, write_events
+from vitalweave.sources.fact_table import FactTable
 from vitalweave.sources.reference_data import CLINICAL_CONCEPTS, catalog_df
 from vitalweave.sources.tables import append_facts, read_facts
 from vitalweave.streaming import flow
+from vitalweave.streaming.feature_store import KeyedFeatures
 
 
 def fresh_dir(t: Tables, name: str) -> str:
@@ -157,3 +161,170 @@ def _(t: Tables):
     stored = t.spark.read.parquet(f"{out}/rows")
     newest = latest_per_key(stored, ["minute", "status"], ["batch_id"])
     return newest.select(F.date_format("minute", "yyyy-MM-dd HH:mm").alias("minute"), "status", "events")
+
+
+def clinic_stream(t: Tables) -> DataFrame:
+    """Messages of the clinic visits over the event stream."""
+    visits = t.spark.sql(fixtures.STATEMENTS["clinic_visits"], events=event_stream(t), registry=t["registry"])
+    return messages(t.spark.sql(fixtures.STATEMENTS["clinic_payloads"], clinic_visits=visits))
+
+
+def clinic_options(t: Tables, out: str) -> dict:
+    """Links by record number, else by similarity with the known patients of the tenant."""
+    links = t["clinic_links"].withColumn("created_at", clock("2024-01-01 00:00:00"))
+    MatchIndex.build(links, f"{out}/index", "tenant_id", "patient_id", "master_id")
+    similar = flow.Similar(f"{out}/index")
+    return {"links": links, "link_fields": ("mrn",), "similar": similar, "entity": "patient_id", "keyed_features": True}
+
+
+def run_clinic(t: Tables) -> str:
+    out = fresh_dir(t, "clinic")
+    events, catalog = decode_events(clinic_stream(t)), catalog_df(t.spark, CLINICAL_CONCEPTS)
+    flow.run_flow(events, f"{out}/tables", f"{out}/checkpoint", catalog, "pepper", **clinic_options(t, out)).awaitTermination()
+    return f"{out}/tables"
+
+
+#: Visits that pass the flow, with the best of all known texts of the tenant for those without a record number.
+CLINIC_SQL = """seen AS (SELECT *, CASE WHEN mrn IS NULL THEN nullif(trim(patient), '') END AS asked FROM clinic_visits WHERE id % 23 <> 0 AND id % 19 <> 0),
+    scored AS (SELECT a.tenant_id, a.asked, l.master_id, round(jaro_winkler_similarity(l.patient_id, a.asked), 10) AS score
+               FROM (SELECT DISTINCT tenant_id, asked FROM seen WHERE asked IS NOT NULL) a JOIN clinic_links l ON l.tenant_id = a.tenant_id),
+    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, asked ORDER BY score DESC, master_id) AS n FROM scored WHERE score >= 0.85) x WHERE n = 1),
+    linked AS (SELECT s.*, CAST(coalesce(b.score, 1.0) AS DOUBLE) AS score,
+                 CASE WHEN mrn IS NOT NULL THEN 'deterministic' WHEN b.asked IS NOT NULL THEN 'probabilistic' ELSE 'new' END AS method,
+                 CASE WHEN mrn IS NOT NULL THEN concat('m-', reg_id) WHEN b.asked IS NOT NULL THEN b.master_id
+                      ELSE concat('master-', substr(sha256(coalesce(s.tenant_id || '|' || s.asked, CAST(s.id AS VARCHAR))), 1, 16)) END AS master_id
+               FROM seen s LEFT JOIN best b ON b.tenant_id = s.tenant_id AND b.asked = s.asked)"""
+
+
+@plan(
+    "g1_similar_masters",
+    f"WITH {CLINIC_SQL} SELECT CAST(id AS VARCHAR) AS id, tenant_id, master_id, score, method, trim(patient) AS patient_id FROM linked",
+    "clinic_visits",
+    "clinic_links",
+)
+def _(t: Tables):
+    out = run_clinic(t)
+    facts, links = (flow.read_store(t.spark, out, name) for name in ("facts", "links"))
+    # The id of a link is made of the master and the record.
+    link_id = F.sha2(F.concat_ws("|", "master_id", "id"), 256)
+    how = links.select(F.col("id").alias("_link"), "score", "method")
+    joined = facts.withColumn("_link", link_id).join(how, "_link")
+    return joined.select(F.col("id").cast("string").alias("id"), "tenant_id", "master_id", "score", "method", "patient_id")
+
+
+@plan(
+    "g1_tenant_drilldown",
+    f"""WITH {CLINIC_SQL}, mine AS (SELECT *, trim(patient) AS p FROM linked WHERE tenant_id = 'tenant-1'),
+        chosen AS (SELECT DISTINCT p FROM mine WHERE concept = 'blood-glucose' AND value >= 100 AND p <> ''),
+        counts AS (SELECT trim(patient) AS p, count(*) AS link_count FROM linked GROUP BY ALL),
+        first AS (SELECT trim(patient) AS p, day, min_by(concept, CAST(id AS VARCHAR)) AS concept FROM linked GROUP BY ALL),
+        latest AS (SELECT p, max_by(concept, day) AS latest_concept FROM first GROUP BY p)
+        SELECT CAST(m.id AS VARCHAR) AS id, m.p AS patient_id, latest_concept, link_count
+        FROM mine m JOIN chosen USING (p) JOIN counts USING (p) JOIN latest USING (p)""",
+    "clinic_visits",
+    "clinic_links",
+)
+def _(t: Tables):
+    out = run_clinic(t)
+    facts = FactTable(t.spark, f"{out}/facts")
+    facts.compact(facts.batches())
+    rows, links = facts.read(), flow.read_store(t.spark, out, "links")
+    features = KeyedFeatures(t.spark, f"{out}/features").read()
+    high = [Clause("concept", "=", "blood-glucose"), Clause("value", ">=", 100), Clause("timestamp", ">=", "2024-02-01")]
+    patients = cohort_patients(cohort_filter(rows, high, tenant="tenant-1"), 1_000_000).filter("patient_id <> ''")
+    found = drilldown(rows, features.limit(0), features, links, patients, 1_000_000, tenant="tenant-1")
+    return found.select(F.col("id").cast("string").alias("id"), "patient_id", F.col("features")["concept"].alias("latest_concept"), "link_count")
+
+
+def damaged(sent: DataFrame) -> DataFrame:
+    """Every ninth message has lost its end."""
+    lost = F.expr("substr(value, 1, length(value) - 1)")
+    return sent.select(F.when(F.col("key").cast("bigint") % 9 == 0, lost).otherwise(F.col("value")).alias("value"))
+
+
+def mended(letters: DataFrame):
+    """Whole messages again, and a known source in place of an unknown one; all other letters stay open."""
+    renamed = F.when(F.col("reason").contains("'pharmacy'"), F.replace("raw", F.lit("pharmacy"), F.lit("hospital")))
+    return F.when(F.col("stage") == "decode", F.concat("raw", F.lit("}"))).when(F.col("stage") == "validate", renamed)
+
+
+@plan(
+    "g1_replayed_letters",
+    """WITH v AS (SELECT id, id % 9 = 0 AS cut, id % 23 = 0 AS unknown, id % 19 = 0 AS odd FROM clinic_visits)
+       SELECT 'facts' AS name, count(*) AS n FROM v WHERE NOT odd AND NOT (cut AND unknown)
+       UNION ALL SELECT 'decode', count(*) FROM v WHERE cut
+       UNION ALL SELECT 'validate', count(*) FROM v WHERE unknown
+       UNION ALL SELECT 'normalize', count(*) FROM v WHERE odd AND NOT (cut AND unknown)
+       UNION ALL SELECT 'mended', count(*) FROM v WHERE cut OR unknown
+       UNION ALL SELECT 'open', count(*) FROM v WHERE (odd AND NOT (cut AND unknown)) OR (cut AND unknown)""",
+    "clinic_visits",
+)
+def _(t: Tables):
+    folder = fresh_dir(t, "letters")
+    out, catalog = f"{folder}/tables", catalog_df(t.spark, CLINICAL_CONCEPTS)
+    options = clinic_options(t, folder)
+    flow.run_flow(decode_events(damaged(clinic_stream(t))), out, f"{folder}/checkpoint", catalog, "pepper", **options).awaitTermination()
+    flow.mend_letters(t.spark, out, mended)
+    for _ in range(2):  # the second replay finds nothing new
+        flow.replay_letters(t.spark, out, f"{folder}/replayed", catalog, "pepper", **options).awaitTermination()
+    letters = flow.read_store(t.spark, out, "dead_letters").groupBy(F.col("stage").alias("name")).agg(F.count("*").alias("n"))
+    for name, rows in {
+        "facts": flow.read_store(t.spark, out, "facts"),
+        "mended": t.spark.read.parquet(f"{out}/mended"),
+        "open": flow.open_letters(t.spark, out),
+    }.items():
+        letters = letters.unionByName(rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n"))
+    return letters
+
+
+@plan(
+    "g2_request_status",
+    """SELECT CAST(id AS VARCHAR) AS id, CASE WHEN id % 23 = 0 THEN 'pharmacy' ELSE 'hospital' END AS source, 'fhir' AS format,
+         CASE WHEN id % 23 = 0 OR id % 19 = 0 THEN 'failed' ELSE 'published' END AS status,
+         CASE WHEN id % 23 = 0 THEN 'source ''pharmacy'' not allowed: invalid source' WHEN id % 19 = 0 THEN 'resourceType ObservationX not allowed' END AS error,
+         CAST(CASE WHEN id % 23 <> 0 THEN 0 ELSE -1 END AS INTEGER) AS match_count
+       FROM clinic_visits""",
+    "clinic_visits",
+)
+def _(t: Tables):
+    out = run_clinic(t)
+    found = flow.read_store(t.spark, out, "phi").select("id", "match_count")
+    rows = flow.read_store(t.spark, out, "requests").join(found, "id", "left")
+    return rows.select(F.col("id").cast("string").alias("id"), "source", "format", "status", "error", F.coalesce("match_count", F.lit(-1)).alias("match_count"))
+
+
+#: Two stored batches with versions in common, and both again.
+WRITES_SQL = """days AS (SELECT patient_id AS entity_id, CAST(extract(DAY FROM timestamp) AS BIGINT) AS version, concept, timestamp, id, id % 3 <> 2 AS late FROM facts),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY entity_id, version ORDER BY late, timestamp, id) AS n FROM days)"""
+
+
+@plan("f2_first_write_wins", f"WITH {WRITES_SQL} SELECT entity_id, version, concept, id AS source_id FROM ranked WHERE n = 1", "facts")
+def _(t: Tables):
+    store = KeyedFeatures(t.spark, f"{fresh_dir(t, 'features')}/store")
+    rows = t["facts"].select(
+        F.col("patient_id").alias("entity_id"),
+        F.dayofmonth("timestamp").cast("bigint").alias("version"),
+        F.create_map(F.lit("concept"), F.col("concept")).alias("features"),
+        F.col("timestamp").alias("created_at"),
+        F.col("id").alias("source_id"),
+    )
+    first, second = rows.filter("source_id % 3 = 2"), rows
+    for part, batch in ((first, 0), (second, 1), (second, 1), (first, 0)):
+        store.append(part, batch)
+    return store.read().select("entity_id", "version", F.col("features")["concept"].alias("concept"), "source_id")
+
+
+@plan(
+    "s4_compacted_facts",
+    """SELECT id, patient_id, concept, value, timestamp FROM facts
+       WHERE resource_type = 'Observation' AND timestamp >= TIMESTAMP '2024-01-10 00:00:00' AND timestamp < TIMESTAMP '2024-01-20 12:00:00'""",
+    "facts",
+)
+def _(t: Tables):
+    table = FactTable(t.spark, fresh_dir(t, "facts"))
+    for batch in range(4):
+        table.append(t["facts"].filter(F.col("id") % 4 == batch), batch)
+    table.compact([0, 1])
+    table.compact([0, 1, 2])
+    window = [Clause("resource_type", "=", "Observation"), Clause("timestamp", ">=", "2024-01-10"), Clause("timestamp", "<", "2024-01-20 12:00")]
+    return cohort_filter(table.read(), window).select("id", "patient_id", "concept", "value", "timestamp")

@@ -13,11 +13,13 @@ ENVELOPE = "id string, type string, source string, data string, timestamp string
 
 
 def decode_events(df: DataFrame, value: str = "value") -> DataFrame:
-    """Envelope columns plus ``reason``, which is set for a message that does not decode.
+    """Envelope columns, the ``raw`` message and ``reason``, which is set for a message that does not decode.
 
+    ``position`` is where a message from a topic stood, ``partition:offset``.
     """
-    text = df.select(F.col(value).cast("string").alias("raw"))
-    opened = evaluate_once(text, {"_event": F.from_json("raw", ENVELOPE)}).select("_event.*", "raw")
+    place = [F.concat_ws(":", F.col("partition").cast("string"), F.col("offset").cast("string")).alias("position")] if {"partition", "offset"} <= set(df.columns) else []
+    text = df.select(F.col(value).cast("string").alias("raw"), *place)
+    opened = evaluate_once(text, {"_event": F.from_json("raw", ENVELOPE)}).select("_event.*", "raw", *(["position"] if place else []))
     malformed = F.col("id").isNull() | F.col("data").isNull()
     return opened.withColumn("reason", F.when(malformed, F.lit("malformed event")))
 

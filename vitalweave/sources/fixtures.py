@@ -149,6 +149,29 @@ SELECT o.o_orderkey AS id,
        o.o_orderpriority AS attributes,
        o.o_orderdate AS created_at
 FROM {orders} o JOIN {registry} r ON r.reg_id = o.o_custkey""",
+    # Known patients of a tenant, each with a record number.
+    "clinic_links": """
+SELECT reg_id AS id, concat('m-', CAST(reg_id AS VARCHAR(20))) AS master_id, patient_id,
+       concat('tenant-', CAST(block % 4 AS VARCHAR(20))) AS tenant_id,
+       concat('mrn:r', lpad(CAST(reg_id AS VARCHAR(20)), 6, '0')) AS deterministic_key
+FROM {registry}""",
+    # Visits of these patients: a third with the record number, a third with a slip in the name, some walk-ins and blanks.
+    "clinic_visits": f"""
+SELECT e.event_id AS id, r.reg_id, concat('tenant-', CAST(r.block % 4 AS VARCHAR(20))) AS tenant_id,
+       CASE WHEN e.event_id % 3 = 0 THEN concat('R', lpad(CAST(r.reg_id AS VARCHAR(20)), 6, '0')) END AS mrn,
+       CASE WHEN e.event_id % 31 = 7 THEN concat('walk-in ', CAST(e.event_id % 5 AS VARCHAR(20)))
+            WHEN e.event_id % 37 = 2 THEN ''
+            WHEN e.event_id % 3 = 1 THEN concat(substr(r.patient_id, 1, 9), substr(r.patient_id, 11, 1), substr(r.patient_id, 10, 1), substr(r.patient_id, 12))
+            ELSE r.patient_id END AS patient,
+       CASE WHEN e.event_id % 19 = 0 THEN 'ObservationX' ELSE 'Observation' END AS kind,
+       {CONCEPT} AS concept, e.value AS value, 1 + e.event_id % 28 AS day, e.ts AS received_at
+FROM {{events}} e JOIN {{registry}} r ON r.reg_id = 1 + e.user_id % 150""",
+    "clinic_payloads": """
+SELECT id, concat('{{"resourceType":"', kind, '","tenant_id":"', tenant_id, '",',
+         CASE WHEN mrn IS NULL THEN '' ELSE concat('"mrn":"', mrn, '",') END,
+         '"patient_id":"', patient, '","code":{{"text":"', concept, '"}},"valueQuantity":{{"value":', CAST(value AS VARCHAR(20)),
+         ',"unit":"u"}},"effectiveDateTime":"2024-02-', lpad(CAST(day AS VARCHAR(20)), 2, '0'), 'T10:30:00Z"}}') AS payload_text, received_at
+FROM {clinic_visits}""",
     "prediction_logs": f"""
 SELECT event_id AS id, {EVENT_PATIENT} AS patient_id,
        event_type AS model_name, value AS latency_ms, value / 500.0 AS confidence, ts AS created_at
