@@ -62,7 +62,8 @@ def _time_literal(text: str, clause: Clause) -> datetime:
     raise BadClause(f"{clause}: not a time")
 
 
-def _literal(clause: Clause, value: object, kind: T.DataType) -> Column:
+def literal_value(clause: Clause, value: object) -> str | float | datetime:
+    """A literal as the field keeps it: text in its stored form, a number, or a UTC clock time."""
     if isinstance(value, datetime):
         text = value.isoformat(sep=" ", timespec="minutes")
     else:
@@ -72,36 +73,49 @@ def _literal(clause: Clause, value: object, kind: T.DataType) -> Column:
     shape = FIELDS[clause.field]
     if shape == "numeric":
         try:
-            return F.lit(float(text))
+            return float(text)
         except ValueError as error:
             raise BadClause(f"{clause}: not a number") from error
     if shape == "time":
-        at = value if isinstance(value, datetime) and value.tzinfo is None else _time_literal(text, clause)
-        clock = at.isoformat(sep=" ")
+        return value if isinstance(value, datetime) and value.tzinfo is None else _time_literal(text, clause)
+    return STORED_FORM.get(clause.field, str)(text)
+
+
+def literal_values(clause: Clause) -> list[str | float | datetime]:
+    """All literals of a clause; raises :class:`BadClause` when it cannot hold its meaning."""
+    if clause.field not in FIELDS:
+        raise BadClause(f"{clause}: unknown field")
+    if clause.op not in OPERATORS:
+        raise BadClause(f"{clause}: unknown operator")
+    if clause.op != "in":
+        return [literal_value(clause, clause.value)]
+    values = clause.value
+    if isinstance(values, str):
+        values = values.strip().strip("()[]").split(",")
+    literals = [literal_value(clause, v) for v in values]
+    if not literals:
+        raise BadClause(f"{clause}: empty list")
+    return literals
+
+
+def _as_column(literal: str | float | datetime, kind: T.DataType) -> Column:
+    if isinstance(literal, datetime):
+        clock = literal.isoformat(sep=" ")
         if isinstance(kind, T.TimestampType):
             return F.lit(clock + "Z").cast("timestamp")
         return F.lit(clock).cast("timestamp_ntz")
-    return F.lit(STORED_FORM.get(clause.field, str)(text))
+    return F.lit(literal)
 
 
 def predicate(facts: DataFrame, clause: Clause) -> Column:
     """The clause as a Column; raises :class:`BadClause` when it cannot hold its meaning."""
-    if clause.field not in FIELDS or clause.field not in facts.columns:
+    if clause.field not in facts.columns:
         raise BadClause(f"{clause}: unknown field")
-    if clause.op not in OPERATORS:
-        raise BadClause(f"{clause}: unknown operator")
-    kind = facts.schema[clause.field].dataType
+    kind = facts.schema[clause.field].dataType if clause.field in FIELDS else None
+    literals = [_as_column(x, kind) for x in literal_values(clause)]
     column = number(facts, clause.field) if FIELDS[clause.field] == "numeric" else F.col(clause.field)
-    if clause.op == "in":
-        values = clause.value
-        if isinstance(values, str):
-            values = values.strip().strip("()[]").split(",")
-        literals = [_literal(clause, v, kind) for v in values]
-        if not literals:
-            raise BadClause(f"{clause}: empty list")
-        return column.isin(literals) & _day_bound(facts, clause, literals)
-    literal = _literal(clause, clause.value, kind)
-    return _compared(column, clause.op, literal) & _day_bound(facts, clause, [literal])
+    compared = column.isin(literals) if clause.op == "in" else _compared(column, clause.op, literals[0])
+    return compared & _day_bound(facts, clause, literals)
 
 
 def _compared(column: Column, op: str, literal: Column) -> Column:

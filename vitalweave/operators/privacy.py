@@ -7,8 +7,9 @@ shuffle, no Python, and a record of any shape is scanned where it lies.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +18,8 @@ from vitalweave.functions.once import evaluate_once
 from vitalweave.functions.scalars import clean, token
 from vitalweave.sources.reference_data import CLINICAL_RULES, Rule
 
+#: Leaves that a worker searches before it hands on what it found.
+LEAVES = 256
 TEXTS = "array<string>"
 LEAF = "array<struct<path:string,text:string>>"
 MATCH = "array<struct<path:string,type:string,mask:string,value:string>>"
@@ -211,6 +214,41 @@ def phi_positions(df: DataFrame, id: str, cols: Sequence[str], rules: Sequence[R
     return df.select(id, F.inline(positions(df, cols, rules)))
 
 
+def _byte_pattern(pattern: str) -> bytes:
+    """Pattern over UTF-8 bytes, where word boundary and digits are ASCII; white space is spelled out."""
+    return re.sub(r"\\(.)", lambda found: _ASCII_FORMS["s"] if found[1] == "s" else found[0], pattern).encode()
+
+
+def phi_offsets(df: DataFrame, id: str, cols: Sequence[str], rules: Sequence[Rule] = CLINICAL_RULES) -> DataFrame:
+    """The rows of :func:`phi_positions`, in one pass over the bytes of each leaf for each rule.
+
+    Leaves go to the workers in Arrow batches; the work is linear in the text and its matches.
+    """
+    searches = [(r.type, r.needs.encode(), re.compile(_byte_pattern(r.pattern)).finditer) for r in rules]
+    kind = df.schema[id].dataType
+    schema = T.StructType([T.StructField("_id", kind), *T._parse_datatype_string("path string, type string, start bigint, end bigint, value string").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, LEAVES):
+                part = batch.slice(start, LEAVES)
+                at, found = [], [[] for _ in range(5)]
+                for row, (path, text) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
+                    content = text.encode()
+                    for kind, needs, search in searches:
+                        for m in search(content) if needs in content else ():
+                            at.append(row)
+                            for column, value in zip(found, (path, kind, m.start(), m.end(), m[0].decode())):
+                                column.append(value)
+                if at:
+                    texts = [pa.array(found[i], pa.string()) for i in (0, 1)]
+                    places = [pa.array(found[i], pa.int64()) for i in (2, 3)]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), *texts, *places, pa.array(found[4], pa.string())], names=schema.names)
+
+    opened = df.select(F.col(id).alias("_id"), F.inline(leaves(df, cols)))
+    return opened.mapInArrow(run, schema).withColumnRenamed("_id", id)
+
+
 def phi_confidence(count: Column) -> Column:
     """0, 0.7, 0.85, then 0.95 by number of matches."""
     return F.when(count <= 0, 0.0).when(count == 1, 0.7).when(count == 2, 0.85).otherwise(0.95)

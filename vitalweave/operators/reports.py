@@ -7,6 +7,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vitalweave.functions.ranges import exact_quantiles
 from vitalweave.functions.scalars import blank_to, clean, present, seconds_between, utc_text
 
 HOUR, MINUTE, WEEK = timedelta(hours=1), timedelta(minutes=1), timedelta(days=7)
@@ -138,14 +139,21 @@ def newest_logs(logs: DataFrame, n: int | None = LOG_ROWS) -> DataFrame:
 
 
 def prediction_summary(logs: DataFrame, n: int | None = None) -> DataFrame:
-    """Count, covered seconds, exact interpolated quantiles and means of all logs, or of the newest ``n``."""
+    """Count, covered seconds, exact interpolated quantiles and means of all logs, or of the newest ``n``.
+
+    Quantiles of all logs are selected by histograms, so that no task gathers all values.
+    """
     newest = newest_logs(logs, n)
     span = F.floor(seconds_between(F.min("created_at"), F.max("created_at")))
+    if n is None:
+        middle, high = (F.lit(x).cast("double") for x in exact_quantiles(logs, "latency_ms", [0.5, 0.95]))
+    else:
+        middle, high = F.percentile("latency_ms", 0.5), F.percentile("latency_ms", 0.95)
     return newest.agg(
         F.count("*").alias("total"),
         F.coalesce(span, F.lit(0)).cast("bigint").alias("window_seconds"),
-        F.coalesce(F.percentile("latency_ms", 0.5), F.lit(0.0)).alias("p50_latency_ms"),
-        F.coalesce(F.percentile("latency_ms", 0.95), F.lit(0.0)).alias("p95_latency_ms"),
+        F.coalesce(middle, F.lit(0.0)).alias("p50_latency_ms"),
+        F.coalesce(high, F.lit(0.0)).alias("p95_latency_ms"),
         F.coalesce(F.avg("latency_ms"), F.lit(0.0)).alias("average_latency_ms"),
         F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("average_confidence"),
     )

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vitalweave.functions.ranges import PagedTable, page_after
 from vitalweave.operators import cohort as C
 from vitalweave.operators.cohort import Clause, CohortQuery
+from vitalweave.operators.cohort_index import evaluate_cohort_table
 from vitalweave.operators.features import online_features
 from vitalweave.plans.registry import Tables, clock, plan, rounded
-from vitalweave.sources.tables import export_rows
+from vitalweave.session import shared_dir
+from vitalweave.sources.tables import export_cohort, export_rows
 
 GLUCOSE = (Clause("resource_type", "=", "observation"), Clause("concept", "=", "'Blood-Glucose'"), Clause("value", ">=", "100"))
 GLUCOSE_SQL = "resource_type = 'Observation' AND concept = 'blood-glucose' AND value >= 100"
@@ -270,6 +274,23 @@ def _(t: Tables):
     return C.evaluate_cohorts(t["facts"], SAVED)
 
 
+@plan(
+    "c13_clause_table",
+    """WITH n AS (SELECT cohort_id, count(*) AS clauses FROM cohort_clauses GROUP BY cohort_id),
+       c AS (SELECT *, [lower(trim(v)) FOR v IN string_split(trim(value, '()'), ',')] AS vals, TRY_CAST(value AS DOUBLE) AS num,
+               CASE WHEN field = 'timestamp' THEN TRY_CAST(value AS TIMESTAMP) END AS since FROM cohort_clauses),
+       hit AS (SELECT f.id, f.patient_id, c.cohort_id, count(*) AS held FROM facts f JOIN c ON CASE field
+           WHEN 'concept' THEN CASE op WHEN '!=' THEN f.concept <> vals[1] WHEN '>=' THEN f.concept >= vals[1] ELSE list_contains(vals, f.concept) END
+           WHEN 'value' THEN CASE op WHEN '>=' THEN f.value >= num WHEN '>' THEN f.value > num WHEN '<' THEN f.value < num ELSE f.value <= num END
+           ELSE f.timestamp >= since END GROUP BY ALL)
+       SELECT DISTINCT cohort_id, patient_id FROM hit JOIN n USING (cohort_id) WHERE held = clauses""",
+    "facts",
+    "cohort_clauses",
+)
+def _(t: Tables):
+    return evaluate_cohort_table(t["facts"], t["cohort_clauses"])
+
+
 @plan(
     "c14_visible_templates",
     """SELECT id, cohort_id, tenant_id, created_at FROM tenant_jobs WHERE tenant_id IS NULL OR tenant_id = 'tenant-2'
@@ -310,6 +331,43 @@ def _(t: Tables):
     return C.page(rows, [F.desc("timestamp"), F.asc("id")], 50, 3)
 
 
+def paged(t: Tables) -> DataFrame:
+    return t["facts"].select("id", "patient_id", "timestamp")
+
+
+@plan(
+    "c16_page_jump",
+    "SELECT id, patient_id, timestamp FROM facts ORDER BY timestamp DESC, id LIMIT 120 OFFSET 600",
+    "facts",
+)
+def _(t: Tables):
+    table = PagedTable.build(paged(t), f"{shared_dir(t.spark)}/pages-{uuid.uuid4().hex}", ["timestamp", "id"], [True, False], 2_000)
+    return table.page(120, 6)
+
+
+@plan(
+    "c16_page_after",
+    """SELECT id, patient_id, timestamp FROM (SELECT *, row_number() OVER (ORDER BY timestamp DESC, id) AS n FROM facts) x
+       WHERE n > (SELECT count(*) FROM facts WHERE timestamp >= TIMESTAMP '2024-01-15 00:00:00') ORDER BY n LIMIT 75""",
+    "facts",
+)
+def _(t: Tables):
+    return page_after(paged(t), ["timestamp", "id"], 75, ["2024-01-15 00:00:00", 2**62], [True, False])
+
+
+@plan(
+    "s6_exported_file",
+    f"""SELECT patient_id, resource_type, concept, coalesce(printf('%.6f', value), '') AS value,
+       strftime(timestamp, '%Y-%m-%dT%H:%M:%SZ') AS timestamp FROM facts WHERE {VITALS_SQL}""",
+    "facts",
+)
+def _(t: Tables):
+    folder = f"{shared_dir(t.spark)}/export-{uuid.uuid4().hex}"
+    export_cohort(C.cohort_filter(t["facts"], VITALS), C.DEFAULT_FIELDS, folder)
+    read = t.spark.read.option("header", True).csv(folder)
+    return read.select(*[F.coalesce(c, F.lit("")).alias(c) for c in C.DEFAULT_FIELDS])
+
+
 @plan(
     "s5_rollup_rows",
     """SELECT concat(master_id, ':', resource_type, ':', CAST(id AS VARCHAR)) AS id, master_id, patient_id,

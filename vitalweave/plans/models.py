@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import timedelta
 
 from pyspark.sql import DataFrame
@@ -11,7 +12,8 @@ from vitalweave.operators import features as X
 from vitalweave.operators import model as T
 from vitalweave.operators.model import LogisticModel
 from vitalweave.plans.registry import Tables, clock, plan, rounded
-from vitalweave.sources.tables import latest_models
+from vitalweave.session import shared_dir
+from vitalweave.sources.tables import latest_models, load_latest_model, save_model
 
 AS_OF = "2024-01-30 12:00:00"
 DAY = timedelta(days=1)
@@ -166,6 +168,36 @@ def _(t: Tables):
     return rows.select(rounded("bias", 8), F.round(F.col("coefficients")[0], 8).alias("coefficient"))
 
 
+ALL_EPOCHS_SQL = f"""WITH RECURSIVE {SAMPLES_SQL}, n AS (SELECT x, y, count(*) AS n FROM samples GROUP BY ALL),
+        f AS (SELECT 0 AS e, CAST(0 AS DOUBLE) AS b, CAST(0 AS DOUBLE) AS w UNION ALL
+              SELECT e + 1, b - 0.01 * sum((1 / (1 + exp(-(w * x + b))) - y) * n) / sum(n), w - 0.01 * sum((1 / (1 + exp(-(w * x + b))) - y) * x * n) / sum(n)
+              FROM f CROSS JOIN n WHERE e < {T.EPOCHS} GROUP BY e, b, w)"""
+
+
+@plan("t3_fit_logistic_full", f"{ALL_EPOCHS_SQL} SELECT round(b, 8) AS bias, round(w, 8) AS coefficient FROM f WHERE e = {T.EPOCHS}", "facts")
+def _(t: Tables):
+    rows = T.model_rows(t["facts"], T.fit_logistic(samples(t), ["x"]), "risk-score", "job", AS_OF)
+    return rows.select(rounded("bias", 8), F.round(F.col("coefficients")[0], 8).alias("coefficient"))
+
+
+@plan(
+    "s7_model_round_trip",
+    f"""WITH {SAMPLES_SQL}, e0 AS (SELECT CAST(0 AS DOUBLE) AS b, CAST(0 AS DOUBLE) AS w), {_epoch_sql(1)}, {_epoch_sql(2)}, {_epoch_sql(3)}
+        SELECT f.id, round(1 / (1 + exp(-(w * (value / 100) + b))), 8) AS risk_score,
+               CASE WHEN value IS NULL THEN 'missing feature x' END AS error FROM facts f CROSS JOIN e3""",
+    "facts",
+)
+def _(t: Tables):
+    """Fitted, saved, loaded and scored; an older and another model lie in the same registry."""
+    folder = f"{shared_dir(t.spark)}/models-{uuid.uuid4().hex}"
+    model = T.fit_logistic(samples(t), ["x"], epochs=3)
+    for kind, job, made, fitted in (("risk-score", "old", "2024-01-01 00:00:00", MODEL), ("triage", "other", "2024-03-01 00:00:00", MODEL), ("risk-score", "new", AS_OF, model)):
+        save_model(T.model_rows(t["facts"], fitted, kind, job, made), folder)
+    loaded = T.to_model(load_latest_model(t.spark, folder, "risk-score").first())
+    numeric = F.map_filter(F.create_map(F.lit("x"), F.col("value") / 100), lambda _, v: v.isNotNull())
+    return T.score(t["facts"].withColumn("numeric", numeric), loaded).select("id", rounded("risk_score", 8), "error")
+
+
 @plan(
     "t4_evaluate_logistic",
     """WITH x AS (SELECT 1 / (1 + exp(-(0.01 * value - 1.2))) AS p, CASE WHEN value >= 120 THEN 1 ELSE 0 END AS y FROM facts WHERE value IS NOT NULL)

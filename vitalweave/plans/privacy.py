@@ -73,6 +73,16 @@ def _(t: Tables):
     return P.phi_positions(t["phi_records"], "record_id", COLUMNS)
 
 
+@plan("p2_phi_offsets", positions_sql("phi_records", "record_id", COLUMNS), "phi_records")
+def _(t: Tables):
+    return P.phi_offsets(t["phi_records"], "record_id", COLUMNS)
+
+
+@plan("p2_page_offsets", positions_sql("pages", "page_id", ["html"]))
+def _(t: Tables):
+    return P.phi_offsets(t["pages"], "page_id", ["html"])
+
+
 @plan("p2_page_positions", positions_sql("pages", "page_id", ["html"]))
 def _(t: Tables):
     return P.phi_positions(t["pages"], "page_id", ["html"])

@@ -45,6 +45,8 @@ def plan(name: str, sql: str | None = None, *tables: str) -> Callable:
         if sql is not None and tables:
             ctes = fixtures.with_clause(*tables)
             body = sql.strip()
+            if body.upper().startswith("WITH RECURSIVE "):
+                ctes, body = "WITH RECURSIVE " + ctes[5:], "WITH " + body[15:]
             text = f"{ctes},\n{body[5:]}" if body.upper().startswith("WITH ") else f"{ctes}\n{body}"
         PLANS[name] = Plan(name, build, text)
         return build

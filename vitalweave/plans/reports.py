@@ -384,6 +384,19 @@ def _(t: Tables):
     return D.budget_ledger(t["room_log"], 150.0).select("query_id", "owner", rounded("used"), "accepted")
 
 
+@plan(
+    "d2_budget_admission",
+    """WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY asked_at, query_id) AS n, CAST(round(epsilon * 1000000) AS BIGINT) AS u FROM asks),
+       f AS (SELECT owner, n, query_id, u <= 12000000 AS accepted, CASE WHEN u <= 12000000 THEN u ELSE 0 END AS used FROM o WHERE n = 1
+             UNION ALL SELECT o.owner, o.n, o.query_id, f.used + o.u <= 12000000, f.used + CASE WHEN f.used + o.u <= 12000000 THEN o.u ELSE 0 END
+             FROM f JOIN o ON o.owner = f.owner AND o.n = f.n + 1)
+       SELECT query_id, owner, accepted, round(used / 1000000, 6) AS used FROM f""",
+    "asks",
+)
+def _(t: Tables):
+    return D.admit_queries(t["asks"], 12.0).select("query_id", "owner", "accepted", rounded("used"))
+
+
 @plan(
     "d3_lineage",
     """SELECT query_id, CAST(unnest(range(len(string_split(source_list, ',')))) AS INTEGER) AS position,
