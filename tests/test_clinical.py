@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vitalweave.operators import ingest as V
 from vitalweave.operators import normalize as N
-from vitalweave.sources.reference_data import CLINICAL_CONCEPTS, catalog_df
+from vitalweave.sources.reference_data import CLINICAL_CONCEPTS, Concept, catalog_df, read_catalog
 
 
 def parsed(spark, *documents):
@@ -108,3 +108,13 @@ def test_routing_reads_the_payload_once(spark, capsys):
 def test_patient_reference(spark, reference, expected):
     rows = parsed(spark, {"subject": {"reference": reference}})
     assert rows.select(N.patient_ref().alias("p")).first()["p"] == expected
+
+
+def test_concepts_that_differ_in_case_give_one_fact(spark, tmp_path):
+    rows = [Concept("a", "A", "1", "2", "3"), Concept("A", "other", "9", "9", "9")]
+    records = spark.createDataFrame([("1", "Observation", "A")], "id string, resource_type string, concept string")
+    found = N.attach_codes(records, catalog_df(spark, rows)).collect()
+    assert [(r.snomed, r.loinc) for r in found] == [("1", "2")]
+    path = tmp_path / "catalog.json"
+    path.write_text("\n".join('{"concept":"%s","display":"x","snomed":"%s"}' % x for x in (("b", "2"), ("B", "1"))))
+    assert read_catalog(spark, str(path)).count() == 1

@@ -38,19 +38,22 @@ def _noise(scale: float, seed: int | None, keys: Sequence[str], draw: str) -> Co
     return -F.lit(float(scale)) * F.signum(u) * F.log(1 - 2 * F.abs(u))
 
 
-def bounded_rows(df: DataFrame, person: str, value: str, bounds: Bounds, row_id: str) -> DataFrame:
-    """At most ``bounds.rows`` rows with a value of each person, with clamped values."""
-    order = [F.xxhash64(row_id), F.asc(row_id)]
-    kept = top_n_per_key(df.filter(F.col(value).isNotNull()), [person], order, bounds.rows)
+def bounded_rows(df: DataFrame, person: str, value: str, bounds: Bounds, row_id: str, order: Sequence[Column] = ()) -> DataFrame:
+    """At most ``bounds.rows`` rows with a value of each person, with clamped values.
+
+    Which ones is settled by a hash of the row's id, or by a total ``order``.
+    """
+    chosen = list(order) or [F.xxhash64(row_id), F.asc(row_id)]
+    kept = top_n_per_key(df.filter(F.col(value).isNotNull()), [person], chosen, bounds.rows)
     clamped = F.greatest(F.least(F.col(value).cast("double"), F.lit(bounds.high)), F.lit(bounds.low))
     return kept.withColumn(value, clamped)
 
 
 def exact_aggregate(
-    df: DataFrame, keys: Sequence[str], person: str, value: str, bounds: Bounds, row_id: str, public_keys: DataFrame
+    df: DataFrame, keys: Sequence[str], person: str, value: str, bounds: Bounds, row_id: str, public_keys: DataFrame, order: Sequence[Column] = ()
 ) -> DataFrame:
     """Count, sum and mean of the bounded rows for every public key, also for keys without rows."""
-    rows = bounded_rows(df.join(public_keys, list(keys), "left_semi"), person, value, bounds, row_id)
+    rows = bounded_rows(df.join(public_keys, list(keys), "left_semi"), person, value, bounds, row_id, order)
     grouped = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.sum(value).alias("total"))
     whole = public_keys.select(*keys).distinct().join(grouped, list(keys), "left").na.fill(0, ["n"]).na.fill(0.0, ["total"])
     return whole.withColumn("mean", F.when(F.col("n") > 0, F.col("total") / F.col("n")))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitalweave.functions.groups import top_n_per_key
-from vitalweave.functions.scalars import all_of, number, present
+from vitalweave.functions.scalars import all_of, number, present, utc_text
 from vitalweave.operators.features import latest_features, resolve_features
 from vitalweave.operators.linkage import linkage_summary
 
@@ -313,6 +313,32 @@ def materialize_cohort(facts: DataFrame, spec: CohortQuery, cohort_id: str) -> D
     )
 
 
+def cohort_features(materialized: DataFrame, materialized_at: Column) -> DataFrame:
+    """Materialized rows as versions for the feature store, one of each patient, under the patient's id.
+
+    The version is the time of the materialization in microseconds; empty values have no entry.
+    """
+    pairs = {
+        "cohort_id": F.col("cohort_id"),
+        "patient_id": F.col("patient_id"),
+        "record_count": F.col("record_count").cast("string"),
+        "materialized_at": utc_text(materialized_at),
+        "latest_concept": F.col("latest_concept"),
+        "latest_value": F.col("latest_value").cast("string"),
+        "latest_timestamp": utc_text("latest_timestamp"),
+        "average_value": F.col("average_value").cast("string"),
+    }
+    flat = [part for name, value in pairs.items() for part in (F.lit(name), value)]
+    known = materialized.filter(present("patient_id").isNotNull())
+    return known.select(
+        F.col("patient_id").alias("entity_id"),
+        F.unix_micros(materialized_at.cast("timestamp")).alias("version"),
+        F.map_filter(F.create_map(*flat), lambda _, v: v.isNotNull()).alias("features"),
+        materialized_at.alias("created_at"),
+        F.col("cohort_id").alias("source_id"),
+    )
+
+
 def clauses_of(table: DataFrame, limit: int = MAX_COHORTS) -> dict[str, list[Clause]]:
     """Saved cohorts from rows of (cohort_id, field, op, value). They become part of the plan, hence the check."""
     rows = table.select("cohort_id", "field", "op", "value").take(limit + 1)

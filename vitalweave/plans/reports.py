@@ -366,6 +366,23 @@ def _(t: Tables):
     return rows.select("concept", "n", rounded("total", 4), rounded("mean"))
 
 
+@plan(
+    "d1_bounded_aggregate",
+    """WITH k AS (SELECT DISTINCT concept FROM catalog),
+       r AS (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY timestamp DESC, id) AS n FROM facts
+             WHERE value IS NOT NULL AND concept IN (SELECT concept FROM k)),
+       x AS (SELECT concept, least(greatest(value, 5), 60) AS v FROM r WHERE n <= 3)
+       SELECT k.concept, count(v) AS n, round(coalesce(sum(v), 0), 4) AS total, round(avg(v), 6) AS mean
+       FROM k LEFT JOIN x ON x.concept = k.concept GROUP BY k.concept""",
+    "facts",
+    "catalog",
+)
+def _(t: Tables):
+    bounds, newest = D.Bounds(5.0, 60.0, 3), [F.desc("timestamp"), F.asc("id")]
+    rows = D.exact_aggregate(t["facts"], ["concept"], "patient_id", "value", bounds, "id", t["catalog"].select("concept"), newest)
+    return rows.select("concept", "n", rounded("total", 4), rounded("mean"))
+
+
 @plan("d1_dp_aggregate")
 def _(t: Tables):
     bounds = D.Bounds(0.0, 400.0, 20)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalweave.functions.groups import latest_per_key
-from vitalweave.operators.cohort import Clause, cohort_filter, cohort_patients, drilldown
+from vitalweave.operators.cohort import Clause, CohortQuery, cohort_features, cohort_filter, cohort_patients, drilldown, materialize_cohort
 from vitalweave.operators.match_index import MatchIndex
 from vitalweave.plans.clinical import CONDITION_SQL, KIND_SQL, OBSERVATION_SQL, PATIENT_SQL, TIME_SQL, VALUE_SQL
 from vitalweave.plans.registry import Tables, clock, plan
@@ -20,6 +21,7 @@ from vitalweave.sources.reference_data import CLINICAL_CONCEPTS, catalog_df
 from vitalweave.sources.tables import append_facts, read_facts
 from vitalweave.streaming import flow
 from vitalweave.streaming.feature_store import KeyedFeatures
+from vitalweave.streaming.online_features import read_online, run_online
 
 
 def fresh_dir(t: Tables, name: str) -> str:
@@ -328,3 +330,44 @@ def _(t: Tables):
     table.compact([0, 1, 2])
     window = [Clause("resource_type", "=", "Observation"), Clause("timestamp", ">=", "2024-01-10"), Clause("timestamp", "<", "2024-01-20 12:00")]
     return cohort_filter(table.read(), window).select("id", "patient_id", "concept", "value", "timestamp")
+
+
+@plan(
+    "c12_cohort_to_store",
+    """WITH m AS (SELECT patient_id, count(*) AS record_count, max_by(concept, row(timestamp, id)) AS latest_concept, max(timestamp) AS latest
+            FROM facts WHERE concept = 'blood-glucose' AND value >= 30 GROUP BY patient_id)
+       SELECT f.id, f.patient_id, CASE WHEN m.patient_id IS NULL THEN 'none' ELSE 'glucose' END AS cohort_id,
+              CAST(coalesce(record_count, 0) AS INTEGER) AS record_count, coalesce(strftime(latest, '%Y-%m-%dT%H:%M:%SZ'), '') AS latest
+       FROM facts f LEFT JOIN m USING (patient_id) WHERE f.resource_type = 'Procedure'""",
+    "facts",
+)
+def _(t: Tables):
+    """A cohort materialized twice into the store; the drill-down of all visits finds the newest version by patient."""
+    store = KeyedFeatures(t.spark, f"{fresh_dir(t, 'cohort')}/features")
+    spec = CohortQuery([Clause("concept", "=", "blood-glucose"), Clause("value", ">=", 30)])
+    for number, (facts, at) in enumerate(((t["facts"].filter("id % 2 = 0"), "2024-02-01 00:00:00"), (t["facts"], "2024-02-02 00:00:00"))):
+        store.append(cohort_features(materialize_cohort(facts, spec, "glucose"), clock(at)), number)
+    stored, visits = store.read(), t["facts"].filter("resource_type = 'Procedure'")
+    found = drilldown(visits, stored.limit(0), stored, t["fact_links"].limit(0), None, 1_000_000)
+    feature = lambda name: F.col("features")[name]
+    return found.select(
+        "id", "patient_id", F.coalesce(feature("cohort_id"), F.lit("none")).alias("cohort_id"),
+        F.coalesce(feature("record_count").cast("int"), F.lit(0)).alias("record_count"), F.coalesce(feature("latest_timestamp"), F.lit("")).alias("latest"),
+    )
+
+
+@plan(
+    "f3_online_stream",
+    """WITH r AS (SELECT *, max(created_at) OVER () AS now, row_number() OVER (PARTITION BY entity_id ORDER BY created_at DESC, version DESC) AS n FROM offline_features)
+       SELECT entity_id, version, concept, created_at FROM r WHERE n = 1 AND created_at > now - INTERVAL '1' DAY""",
+    "offline_features",
+)
+def _(t: Tables):
+    out = fresh_dir(t, "online")
+    facts = t.spark.sql(fixtures.STATEMENTS["facts"], events=event_stream(t))
+    rows = t.spark.sql(fixtures.STATEMENTS["offline_features"], facts=facts)
+    rows = rows.select("entity_id", "version", F.create_map(F.lit("concept"), F.col("concept")).alias("features"), "created_at", "source_id")
+    run_online(rows, f"{out}/changes", f"{out}/checkpoint", timedelta(days=1)).awaitTermination()
+    newest = t["events"].agg(F.max("ts")).first()[0]
+    view = read_online(t.spark, f"{out}/changes", F.lit(newest).cast("timestamp_ntz"), timedelta(days=1))
+    return view.select("entity_id", "version", F.col("features")["concept"].alias("concept"), "created_at")

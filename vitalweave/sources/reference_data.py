@@ -7,6 +7,7 @@ from dataclasses import asdict, dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MAX_RULES = 1_000
 
@@ -111,8 +112,10 @@ def read_rules(spark: SparkSession, path: str, limit: int = MAX_RULES) -> list[R
 
 
 def catalog_df(spark: SparkSession, given: Iterable[Concept | Mapping] | None = None) -> DataFrame:
+    """The catalog as a local table; of concepts that differ in case only, the first one counts."""
     found = _rows(Concept, given, DEFAULT_CONCEPTS, "terminology concepts")
-    return _local_table(spark, found)
+    first = {c.concept.lower(): c for c in reversed(found)}
+    return _local_table(spark, [c for c in found if first[c.concept.lower()] is c])
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
@@ -121,7 +124,10 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
         concepts = _yaml(spark, path).get("concepts") or {}
         empty = {"display": "", "snomed": "", "loinc": "", "icd10": ""}
         return catalog_df(spark, [{**empty, **_known_fields(Concept, c), "concept": k} for k, c in concepts.items()])
-    found = spark.read.schema(CATALOG_SCHEMA).json(path).na.fill("")
+    rows = spark.read.schema(CATALOG_SCHEMA).json(path).na.fill("")
+    # A concept joins in lower case, so it may be there only once in that form.
+    one = F.min_by(F.struct(*rows.columns), F.struct(*rows.columns))
+    found = rows.groupBy(F.lower("concept").alias("_key")).agg(one.alias("_row")).select("_row.*")
     if not found.take(1):
         raise ValueError("terminology catalog empty")
     return found
