@@ -295,3 +295,52 @@ def test_spread_join_is_the_join(spark, how):
     for tracked, few in ((50, 2), (50_000, 10_000)):
         found = frequent.spread_join(left, right, "k", how, tracked, few)
         assert sorted(map(str, found.select("k", "v", "w").collect())) == sorted(map(str, wanted.collect()))
+
+
+def test_html_keeps_subheadings_and_any_names(spark):
+    body = "<article><h1>T{0}</h1><h2>Ingredients</h2><p>i{0} flour</p><h2>Method</h2><p>m{0} bake</p><table><tr><th>Step</th><th>Time</th></tr><tr><td>s{0}</td><td>t{0}</td></tr></table><p>All rights reserved by us</p></article>"
+    rows = [(i, "http://cook.example/%d" % i, f"<html><body><div>Welcome</div>{body.format(i)}</body></html>", "h", 7) for i in range(6)]
+    df = spark.createDataFrame(rows + rows[:1], "page_id long, url string, html string, _host string, _wrapper int")
+    found = html_extract.extract_pages(df, ["page_id", "_host", "_wrapper"])
+    assert found.columns == ["page_id", "_host", "_wrapper", "text"] and found.count() == 7
+    assert {tuple(r) for r in found.collect()} == {(i, "h", 7, f"T{i}\nIngredients\ni{i} flour\nMethod\nm{i} bake\nStep\nTime\ns{i}\nt{i}") for i in range(6)}
+    assert html_extract.extract_pages(df.limit(0), ["page_id"]).count() == 0
+
+
+def shown(source, **scope):
+    return "".join(t for t, _ in chat.Template(source).render(scope))
+
+
+def test_templates_control_white_space_and_count_loops():
+    assert shown("{{ -1 }}") == "-1" and shown("a {{- 1 -}} b") == "a1b" and shown("a {{ 1 }} b") == "a 1 b"
+    assert shown("x \n{%- for i in xs -%} {{ i }} {%- if not loop.last -%} , {%- endif -%} {%- endfor %} y", xs=["a", "b"]) == "xa,b y"
+    assert shown("{% for i in xs %}{{ loop.index }}{{ loop.first }}{% for j in i %}{{ loop.index0 }}{% endfor %}{{ loop.last }};{% endfor %}", xs=["pq", "r"]) == "1True01False;2False0True;"
+    assert shown("{% for i in none %}{{ loop.index }}{% endfor %}{% for i in xs %}x{% endfor %}", xs=[]) == ""
+
+
+def test_template_trees_are_folded():
+    tree = chat.Template("a{{ 1 + 1 }}{% if false %}x{% elif 1 < 2 %}b{{ y }}{% else %}z{% endif %}{# c #}{% generation %}{{ '' }}{% endgeneration %}{% for i in none %}q{% endfor %}").tree
+    assert [type(n).__name__ for n in tree] == ["Text", "Output"] and tree[0] == chat.Text("a2b")
+
+
+def test_chat_of_an_empty_table(spark):
+    empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string, extra int")
+    assert chat.digest_conversations(empty).count() == 0 and chat.format_conversations(empty).count() == 0
+
+
+def test_language_without_labels_and_with_repeats(spark):
+    schema = "doc_id long, text string, lang string, score string, rejected int"
+    empty = spark.createDataFrame([], schema)
+    model = language.fit(empty)
+    rows = spark.createDataFrame([(1, "some words", None, "s", 1), (1, "some words", None, "s", 1), (2, None, None, "s", 1), (3, "", "x", "s", 1)], schema)
+    assert [(r.lang_pred, r.score, r.rejected) for r in language.predict(rows, model, ["doc_id", "score"]).collect()] == [("und", 0.0, True)] * 4
+    assert language.fit(rows.filter("lang IS NULL OR text = ''")).languages == ()
+    assert language.predict(empty, model, ["doc_id"]).count() == 0
+
+
+def test_language_of_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang IS NOT NULL AND length(text) > 100")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = language.fit(docs.filter(~held), order=F.col("doc_id"))
+    found = language.predict(docs.filter(held), model, ["lang"]).collect()
+    assert len(found) > 100 and sum(r.lang == r.lang_pred for r in found) >= 0.97 * len(found)

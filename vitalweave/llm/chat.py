@@ -3,9 +3,11 @@
 A template has texts, ``{{ expression }}``, ``{% for x in xs %}``, ``{% if %}`` with
 ``elif`` and ``else``, ``{% set x = expression %}`` and ``{% generation %}``. Expressions
 know names, fields of mappings, constants, comparison, ``and``, ``or``, ``not``, ``+``,
-conditional expressions and filters (``x | trim``). Nothing else can be written, so that a
-template reaches neither attributes nor functions of Python. It is parsed to a tree, in
-which constant parts are evaluated once, and the tree becomes closures.
+conditional expressions and filters (``x | trim``); a loop has ``loop.index``, ``loop.index0``,
+``loop.first`` and ``loop.last``. A hyphen next to the braces of a tag (``{%- ... -%}``) takes
+away the white space on that side. Nothing else can be written, so that a template reaches
+neither attributes nor functions of Python. It is parsed to a syntax tree, in which constant
+parts are folded, and the tree becomes closures.
 """
 
 from __future__ import annotations
@@ -14,7 +16,8 @@ import ast
 import hashlib
 import operator
 import re
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from itertools import chain
 
 import pyarrow as pa
@@ -72,98 +75,167 @@ class Constant:
         return self.value
 
 
+# The syntax tree of a template. Expressions in it are constants or closures scope -> value.
+
+
+@dataclass
+class Text:
+    value: str
+
+
+@dataclass
+class Output:
+    value: Callable
+
+
+@dataclass
+class Assignment:
+    name: str
+    value: Callable
+
+
+@dataclass
+class Loop:
+    name: str
+    items: Callable
+    body: list
+    counted: bool  # whether the body asks for ``loop``
+
+
+@dataclass
+class Choice:
+    test: Callable
+    body: list
+    other: list
+
+
+@dataclass
+class Generation:
+    body: list
+
+
+def fold(nodes: Sequence) -> list:
+    """The same tree with constant outputs as texts, decided choices replaced by what they choose, and texts joined."""
+    done: list = []
+    for node in nodes:
+        if isinstance(node, Output) and isinstance(node.value, Constant):
+            made = [Text(_shown(node.value.value))]
+        elif isinstance(node, Choice) and isinstance(node.test, Constant):
+            made = fold(node.body if node.test.value else node.other)
+        elif isinstance(node, Choice):
+            made = [Choice(node.test, fold(node.body), fold(node.other))]
+        elif isinstance(node, Loop):
+            made = [] if isinstance(node.items, Constant) and not node.items.value else [Loop(node.name, node.items, fold(node.body), node.counted)]
+        elif isinstance(node, Generation):
+            body = fold(node.body)
+            made = [Generation(body)] if body else []
+        else:
+            made = [node]
+        for part in made:
+            if isinstance(part, Text) and done and isinstance(done[-1], Text):
+                done[-1] = Text(done[-1].value + part.value)
+            elif not isinstance(part, Text) or part.value:
+                done.append(part)
+    return done
+
+
+def closure(nodes: Sequence) -> Callable:
+    """A folded tree as one closure (scope, generated) -> pieces."""
+    return _sequence([_step(node) for node in nodes])
+
+
+def _step(node) -> Callable:
+    if isinstance(node, Text):
+        return _constant(node.value)
+    if isinstance(node, Output):
+        return _output(node.value)
+    if isinstance(node, Assignment):
+        return _assign(node.name, node.value)
+    if isinstance(node, Loop):
+        return _loop(node.name, node.items, closure(node.body), node.counted)
+    if isinstance(node, Generation):
+        body = closure(node.body)
+        return lambda scope, generated: body(scope, True)
+    yes, no, test = closure(node.body), closure(node.other), node.test
+    return lambda scope, generated: (yes if test(scope) else no)(scope, generated)
+
+
 class Template:
     """A compiled template: ``render(scope)`` yields (text, generated) pieces as they come."""
 
     def __init__(self, source: str, filters: dict[str, Callable] | None = None):
         self.filters = {"trim": str.strip, "upper": str.upper, "lower": str.lower, "length": len, **(filters or {})}
-        self.parts = [p for p in TAG.split(source) if p and not p.startswith("{#")]
+        self.parts = list(_parts(source))
         self.at = 0
-        body, stop = self._block(())
+        self.counted = False
+        nodes, stop = self._block(())
         if stop:
             raise TemplateError(f"unexpected {stop}")
-        self.body = body
+        self.tree = fold(nodes)
+        self.body = closure(self.tree)
 
     def render(self, scope: dict) -> Iterator[tuple[str, bool]]:
         return self.body(scope, False)
 
-    # Statements: closures (scope, generated) -> pieces.
+    # Statements: nodes of the tree.
 
-    def _block(self, ends: tuple[str, ...]) -> tuple[Callable, str]:
-        steps: list[Callable | str] = []
-
-        def text(value: str) -> None:
-            if steps and isinstance(steps[-1], str):
-                steps[-1] += value
-            elif value:
-                steps.append(value)
-
-        stop = ""
+    def _block(self, ends: tuple[str, ...]) -> tuple[list, str]:
+        """The nodes up to one of the statements ``ends``, and that statement."""
+        nodes: list = []
         while self.at < len(self.parts):
-            part = self.parts[self.at]
+            kind, part = self.parts[self.at]
             self.at += 1
-            if part.startswith("{{"):
-                value = self._expression(part[2:-2])
-                if isinstance(value, Constant):
-                    text(_shown(value.value))
-                else:
-                    steps.append(_output(value))
-            elif part.startswith("{%"):
-                words = part[2:-2].strip("- \n").split(None, 1)
+            if kind == "text":
+                nodes.append(Text(part))
+            elif kind == "{{":
+                nodes.append(Output(self._expression(part)))
+            else:
+                words = part.split(None, 1)
                 if not words:
                     raise TemplateError("an empty statement")
                 if words[0] in ends:
-                    stop = part[2:-2].strip("- \n")
-                    break
-                step = self._statement(words[0], words[1] if len(words) > 1 else "")
-                if isinstance(step, str):
-                    text(step)
-                elif step is not None:
-                    steps.append(step)
-            else:
-                text(part)
-        else:
-            if ends:
-                raise TemplateError(f"{ends[-1]} is missing")
-        return _sequence([_constant(s) if isinstance(s, str) else s for s in steps]), stop
+                    return nodes, part.strip()
+                nodes.append(self._statement(words[0], words[1] if len(words) > 1 else ""))
+        if ends:
+            raise TemplateError(f"{ends[-1]} is missing")
+        return nodes, ""
 
     def _statement(self, word: str, rest: str):
         if word == "for":
             match = re.fullmatch(r"([A-Za-z_]\w*)\s+in\s+(.+)", rest, re.DOTALL)
-            if not match:
+            if not match or match[1] == "loop":
                 raise TemplateError(f"for {rest}")
-            items = self._expression(match[2])
+            items, outer, self.counted = self._expression(match[2]), self.counted, False
             body, _ = self._block(("endfor",))
-            return _loop(match[1], items, body)
+            node = Loop(match[1], items, body, self.counted)
+            self.counted = outer
+            return node
         if word == "if":
             return self._choice(rest)
         if word == "generation":
-            body, _ = self._block(("endgeneration",))
-            return lambda scope, generated: body(scope, True)
+            return Generation(self._block(("endgeneration",))[0])
         if word == "set":
             name, _, value = rest.partition("=")
             if not name.strip().isidentifier():
                 raise TemplateError(f"set {rest}")
-            return _assign(name.strip(), self._expression(value))
+            return Assignment(name.strip(), self._expression(value))
         raise TemplateError(f"unknown statement {word}")
 
-    def _choice(self, condition: str):
+    def _choice(self, condition: str) -> Choice:
         test = self._expression(condition)
         body, stop = self._block(("elif", "else", "endif"))
-        other = _constant("")
+        other: list = []
         if stop.startswith("elif"):
-            other = self._choice(stop[4:])
+            other = [self._choice(stop[4:])]
         elif stop == "else":
             other, _ = self._block(("endif",))
-        if isinstance(test, Constant):
-            return body if test.value else other
-        return lambda scope, generated: (body if test(scope) else other)(scope, generated)
+        return Choice(test, body, other)
 
     # Expressions: closures scope -> value.
 
     def _expression(self, source: str) -> Callable:
         try:
-            return self._value(ast.parse(source.strip().strip("-").strip(), mode="eval").body)
+            return self._value(ast.parse(source.strip(), mode="eval").body)
         except (SyntaxError, RecursionError, MemoryError) as error:
             raise TemplateError(f"not an expression: {source}") from error
 
@@ -174,6 +246,8 @@ class Template:
             name = node.id
             if name in ("true", "false", "none"):
                 return Constant({"true": True, "false": False, "none": None}[name])
+            if name == "loop":
+                self.counted = True
             return lambda scope: scope.get(name)
         if isinstance(node, ast.Attribute):
             return self._made(lambda x, key=node.attr: _field(x, key), node.value)
@@ -181,8 +255,8 @@ class Template:
             return self._made(_field, node.value, node.slice)
         if isinstance(node, ast.Compare) and len(node.ops) == 1 and type(node.ops[0]) in COMPARE:
             return self._made(COMPARE[type(node.ops[0])], node.left, node.comparators[0])
-        if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.Not):
-            return self._made(operator.not_, node.operand)
+        if isinstance(node, ast.UnaryOp) and isinstance(node.op, (ast.Not, ast.USub)):
+            return self._made(operator.not_ if isinstance(node.op, ast.Not) else operator.neg, node.operand)
         if isinstance(node, ast.BinOp) and isinstance(node.op, ast.Add):
             return self._made(_added, node.left, node.right)
         if isinstance(node, ast.BinOp) and isinstance(node.op, ast.BitOr) and isinstance(node.right, ast.Name):
@@ -258,15 +332,47 @@ def _assign(name: str, value: Callable) -> Callable:
     return run
 
 
-def _loop(name: str, items: Callable, body: Callable) -> Callable:
+def _loop(name: str, items: Callable, body: Callable, counted: bool) -> Callable:
     def run(scope, generated):
-        for item in items(scope) or ():
+        if not counted:
+            for item in items(scope) or ():
+                scope[name] = item
+                yield from body(scope, generated)
+            return
+        # Whether an item is the last one is known when the next one has been looked for.
+        outer, rest = scope.get("loop"), iter(items(scope) or ())
+        item, index = next(rest, _NONE), 0
+        while item is not _NONE:
+            following = next(rest, _NONE)
             scope[name] = item
+            scope["loop"] = {"index": index + 1, "index0": index, "first": index == 0, "last": following is _NONE}
             yield from body(scope, generated)
+            item, index = following, index + 1
+        scope["loop"] = outer
 
     return run
 
 
+_NONE = object()
+
+
+def _parts(source: str) -> Iterator[tuple[str, str]]:
+    """Texts, outputs and statements in order. A hyphen next to a tag's brace takes away the white space on that side."""
+    pieces = TAG.split(source)
+    for at, piece in enumerate(pieces):
+        if at % 2:
+            if not piece.startswith("{#"):
+                inner = piece[2:-2]
+                yield piece[:2], inner[inner.startswith("-") : len(inner) - (len(inner) > 1 and inner.endswith("-"))]
+            continue
+        if at and pieces[at - 1][-3] == "-":
+            piece = piece.lstrip()
+        if at + 1 < len(pieces) and pieces[at + 1][2] == "-":
+            piece = piece.rstrip()
+        if piece:
+            yield "text", piece
+
+
 class Reader:
     """Reads formatted turns back piece by piece, holding one turn at a time."""
 
@@ -353,7 +459,10 @@ def digest_conversations(conversations: DataFrame, control: Sequence[str] = CONT
 
     Formats with the built-in template and reads each turn as it comes, so that memory
     is bounded by one turn. The digest of a conversation is one sequence, so one task
-    works through a conversation however many turns it has.
+    works through a conversation however many turns it has. Turns go by number, null first, then
+    by role and text; a null role or text is empty, rows with a null conv_id are one
+    conversation, and repeated rows are repeated turns. Other columns are not read. An empty
+    table has no conversations.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

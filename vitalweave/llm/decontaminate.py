@@ -20,8 +20,8 @@ from pyspark.sql.types import StructType
 from vitalweave.llm.common import as_bytes, map_texts, worker_value
 
 WINDOW = 10
-#: Items of a block have this many bytes together, at most, unless one item alone has more.
-BLOCK_BYTES = 8 << 20
+#: Items of a block have this many bytes together, at most, unless one item alone has more; its automaton takes some 200 times as much in a worker.
+BLOCK_BYTES = 1 << 20
 #: Bytes as words see them: A-Z in lower case, ASCII letters and digits and all others beyond ASCII kept, the rest a space.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 

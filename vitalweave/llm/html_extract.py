@@ -45,6 +45,8 @@ HEADER_NAMES = frozenset(["header", "masthead"])
 PLAIN_WORDS = frozenset("site page main top bottom left right list box block bar area wrapper wrap container section buttons links widget inner outer global".split())
 BOXES = frozenset("div section fieldset details hgroup".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
+#: What names parts of a text. Headings between varying text belong to it, even if all pages have them.
+LABELS = HEADINGS | frozenset("caption dt figcaption legend summary th".split())
 DIVIDING = frozenset("div section article main header table center fieldset".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>?|[^<]+|<", re.DOTALL)
 NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
@@ -270,6 +272,40 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)", 1)), F.lit(""))
 
 
+def labels(node: Node) -> bool:
+    """Whether all text of a node is in headings, captions, terms and head cells."""
+    return node.tag in LABELS or all(not c.strip() if isinstance(c, str) else labels(c) for c in node.children)
+
+
+def between(root: Node, dropped: set[int]) -> set[int]:
+    """The dropped nodes of an article that name its parts: headings and other labels between varying text.
+
+    Pages of one kind have them in common, as recipes have their ingredients. Constant
+    paragraphs, lists and boxes are notices and share lines, and what is constant at the border
+    of an article may head or end every page.
+    """
+    order: list[Node | None] = []  # dropped labels, None for varying text
+    todo: list = [root]
+    while todo:
+        item = todo.pop()
+        if isinstance(item, str):
+            if item.strip():
+                order.append(None)
+        elif id(item) in dropped:
+            if labels(item):
+                order.append(item)
+        elif item is root or not item.skipped:
+            todo.extend(reversed(item.children))
+    varying = [i for i, x in enumerate(order) if x is None]
+    todo = [x for x in order[varying[0] : varying[-1]] if x is not None] if varying else []
+    kept: set[int] = set()
+    while todo:
+        item = todo.pop()
+        kept.add(id(item))
+        todo.extend(c for c in item.children if isinstance(c, Node))
+    return kept
+
+
 def extract(page: str, constant: dict[tuple[int | None, int], set[int]]) -> str:
     """Main text of a page, given the constant texts (hashes) of places of its host, for all layouts (None) and for each."""
     tree = parse(page)
@@ -286,6 +322,8 @@ def extract(page: str, constant: dict[tuple[int | None, int], set[int]]) -> str:
                 dropped.add(id(node))
         # An article that is the same on nearly all pages is template too.
         own = [r for r in articles if id(r) not in dropped]
+        for root in own:
+            dropped -= between(root, dropped)
     gone = frozenset(dropped)
     tries = [(own or [tree], gone, True)]
     if articles:
@@ -369,16 +407,21 @@ def extract_pages(pages: DataFrame, keep: Sequence[str], url: str = "url", page:
     """Columns ``keep`` of each row and the main text of its page.
 
     Blocks are joined by line ends in page order. A null or empty page has an empty text.
-    Repeated rows stay; a null url is a host of its own.
+    Repeated rows stay; a null url is a host of its own; kept columns may have any names. An empty
+    table gives an empty table.
     """
     wrappers = stored(induce_wrappers(pages, url, page))
-    named = pages.withColumn("_host", host_of(F.col(f"`{url}`")))
+    names = [f"_c{i}" for i in range(len(pages.columns))]
+    place = {c: n for c, n in zip(pages.columns, names)}
+    named = pages.toDF(*names).withColumn("_host", host_of(F.col(place[url])))
     sent = _sent(wrappers, F.length("wrapper"))
     joined = named.join(sent.select(F.col("host").alias("_host"), F.col("wrapper").alias("_wrapper")), "_host", "left")
+    kept = [c for c in keep if c != into]
     shared = pages.sparkSession.sparkContext.broadcast(CONSTANT)
 
     def work(columns: list[pa.Array]) -> list[pa.Array]:
         known = worker_value(shared, lambda _: {})
         return [pa.array([extract(as_text(t), _wrapper(known, w)) for t, w in zip(as_bytes(columns[0]), as_bytes(columns[1]))], pa.string())]
 
-    return map_texts(joined, keep, [F.col(f"`{page}`").cast("string"), F.col("_wrapper")], f"`{into}` string", work)
+    made = map_texts(joined, [place[c] for c in kept], [F.col(place[page]).cast("string"), F.col("_wrapper")], "_text string", work)
+    return made.toDF(*kept, into)

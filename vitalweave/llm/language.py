@@ -86,13 +86,13 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order: Colu
     """A model of the labelled texts; rows with a null or empty text or a null language are left out.
 
     Of a language, about ``settings.sample`` texts are used, chosen by a hash of ``order``
-    (default: of the text). Raises ValueError without any labelled text.
+    (default: of the text). Without any labelled text the model knows no language.
     """
     rows = labelled.select(F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").alias("lang"), F.xxhash64(F.col(f"`{text}`") if order is None else order).alias("_order"))
     rows = rows.filter("text <> '' AND lang IS NOT NULL")
     found = rows.groupBy("lang").count()
     share = F.least(F.lit(settings.sample) / F.col("count"), F.lit(1.0)) * 1_000_000
-    sample = rows.join(F.broadcast(found.withColumn("_share", share).drop("count")), "lang").filter(F.pmod("_order", F.lit(1_000_000)) < F.col("_share"))
+    sample = rows.join(found.withColumn("_share", share).drop("count"), "lang").filter(F.pmod("_order", F.lit(1_000_000)) < F.col("_share"))
     sample = stored(sample.select("lang", "text"))
 
     def frequencies(batches):
@@ -108,7 +108,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order: Colu
     df = np.zeros(settings.cells + 1)
     df[known["cell"].to_numpy()] = known["n"].to_numpy()
     if not df[-1]:
-        raise ValueError("no labelled text to learn from")
+        return Model((), np.zeros(settings.cells, np.float32), np.zeros((0, settings.cells), np.float32), np.zeros(0, np.float32))
     idf = np.log((1 + df[-1]) / (1 + df[:-1])).astype(np.float32) + 1
 
     def centroids(rows: pa.Table) -> pa.Table:
@@ -126,7 +126,9 @@ def predict(docs: DataFrame, model: Model, keep: Sequence[str], text: str = "tex
     """Columns ``keep`` of each row with lang_pred, score (the cosine, 0 to 1) and rejected.
 
     The whole text counts. A null text and one without a letter are ``und`` with score 0,
-    rejected. Equal cosines go to the language that comes first by name. Row-local.
+    rejected; so is every text if the model knows no language. Equal cosines go to the language
+    that comes first by name. Repeated rows stay, a kept column of an added name is replaced.
+    Row-local.
     """
     plain = (model.languages, model.idf, model.centroids, model.limits)
     shared = docs.sparkSession.sparkContext.broadcast(plain)
@@ -137,6 +139,11 @@ def predict(docs: DataFrame, model: Model, keep: Sequence[str], text: str = "tex
         names, scores, far = [], [], []
         for start in range(0, len(texts), 256):
             part = texts[start : start + 256]
+            if not languages:
+                names += [UNKNOWN] * len(part)
+                scores += [0.0] * len(part)
+                far += [True] * len(part)
+                continue
             cosines = vectors(counts_of(part, cells), idf) @ matrix.T
             best = np.argmax(cosines, axis=1)
             for text, k, row in zip(part, best, cosines):
