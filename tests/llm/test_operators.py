@@ -344,3 +344,73 @@ def test_language_of_held_out_texts(spark):
     model = language.fit(docs.filter(~held), order=F.col("doc_id"))
     found = language.predict(docs.filter(held), model, ["lang"]).collect()
     assert len(found) > 100 and sum(r.lang == r.lang_pred for r in found) >= 0.97 * len(found)
+
+
+def test_secret_scans_of_odd_tables(spark):
+    forest = secret_scan.train(secret_scan.labelled_findings(600))
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    text = f'token = "{key}" ' + "word " * 20_000 + f"password: {key}"
+    rows = spark.createDataFrame([(1, text, "f", 1), (1, text, "f", 1), (2, None, None, None)], "doc_id long, text string, findings string, _new int")
+    found = secret_scan.scan(rows, forest, ["doc_id", "findings"]).collect()
+    spans = [[(s.start, s.end) for s in r.findings] for r in found if r.doc_id == 1]
+    assert spans == [[(9, 49), (len(text) - 40, len(text))]] * 2 and [r.findings for r in found if r.doc_id == 2] == [[]]
+    masked = secret_scan.redact(rows, forest)
+    assert masked.columns == rows.columns and [(r.findings, r._new) for r in masked.filter("doc_id = 1").collect()] == [("f", 1)] * 2
+    assert all(key not in r.text for r in masked.filter("doc_id = 1").collect())
+    empty = rows.limit(0)
+    assert secret_scan.scan(empty, forest, ["doc_id"]).count() == 0 and secret_scan.redact(empty, forest).count() == 0
+    assert secret_scan.corpus_findings(empty) == []
+
+
+def test_secret_findings_of_the_corpus_are_bounded_and_learned(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    drawn = secret_scan.corpus_findings(docs, settings=secret_scan.Training(findings=5))
+    assert {r[3] for r in drawn} <= {0, 1} and all(sum(r[3] == k for r in drawn) <= 5 for k in (0, 1))
+    assert len(drawn) == len(set(drawn))
+    # Labelled findings that the forest has not seen.
+    forest, held = secret_scan.train(secret_scan.labelled_findings(1500, seed=1)), secret_scan.labelled_findings(500, seed=99)
+    points = np.array([secret_scan.features(t, a, b) for t, a, b, _ in held], float)
+    hits = forest.probability(points) >= 0.5
+    labels = np.array([r[3] for r in held]) == 1
+    assert (hits & labels).sum() >= 0.95 * labels.sum() and (hits & ~labels).sum() <= 0.05 * hits.sum()
+
+
+def test_quality_of_odd_tables(spark):
+    good = " ".join(f"word{i} goes on." for i in range(30))
+    rows = [(1, good, "d", 1), (1, good, "d", 1), (2, None, "d", 1), (3, "", "d", 1), (4, "too short", "d", 1), (5, good + "\n" + "| » • › " * 3, "d", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, line string, n_words int")
+    left = quality.clean(df, "text")
+    assert left.columns == df.columns
+    kept = left.collect()
+    assert sorted(r.doc_id for r in kept) == [1, 1, 5] and all(r.text.startswith("word0 goes") and "»" not in r.text for r in kept)
+    assert quality.clean(df.limit(0), "text").count() == 0
+
+
+@pytest.mark.parametrize("name", ["quality_rules", "ngram_jaccard_join", "benchmark_decontamination", "secret_scans", "bpe_encoding"])
+def test_pipeline_stages_take_odd_tables(spark, tmp_path, name):
+    spark.createDataFrame([(1, " ".join(f"b{i}" for i in range(15))), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    good = " ".join(f"word{i} goes on." for i in range(30))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, good, "en", "s", len(good)), (1, good, "en", "s", len(good)), (None, good + " more", None, None, None), (2, None, "en", "s", 0), (3, "", "en", "s", 0)]
+    stage = dict(corpus_pipeline.STAGES)[name]
+    docs = spark.createDataFrame(rows, schema)
+    out = stage(spark, docs, str(tmp_path))
+    if name != "bpe_encoding":
+        assert out.columns == docs.columns and dict(out.dtypes)["n_chars"] == "bigint"
+    assert {r.text for r in out.collect()} <= {good, good + " more", None, ""} and good[:20] in str(out.collect())
+    assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_pipeline_is_its_stages(spark, tmp_path):
+    draw = random.Random(12)
+    text = lambda n: ". ".join(" ".join(draw.choice(WORDS) + str(draw.randint(0, 99)) for _ in range(8)) for _ in range(n))
+    item = " ".join(f"bench{i}" for i in range(14))
+    base, secret = text(12), "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    docs = [(1, base), (2, base), (3, base + " tail"), (4, text(12) + " " + item + " " + text(12)), (5, text(9) + f' password = "{secret}" ' + text(9)), (6, "short"), (7, text(10)), (8, None)]
+    folder = str(tmp_path / "in")
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    found = {r.doc_id: r for r in corpus_pipeline.run(spark, folder).collect()}
+    assert set(found) == {1, 4, 5, 7} and "bench3" not in found[4].text and secret not in found[5].text and found[7].text == docs[6][1]
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert all(r.ids == library.encode(r.text, add_special_tokens=False).ids and r.n_tokens == len(r.ids) for r in found.values())

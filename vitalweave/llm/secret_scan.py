@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalweave.llm.common import as_bytes, map_texts, worker_value
@@ -261,9 +261,10 @@ def corpus_findings(docs: DataFrame, text: str = "text", settings: Training = Tr
 
     found = map_texts(docs, [], [F.col(f"`{text}`").cast("string")], "findings array<struct<context:binary,start:int,end:int,label:int>>", work)
     rows = found.select(F.inline("findings")).distinct()
-    one = rows.filter("label = 1").orderBy(F.xxhash64("context"), "start").limit(settings.findings)
-    none = rows.filter("label = 0").orderBy(F.xxhash64("context"), "start").limit(settings.findings)
-    return [(bytes(r.context), r.start, r.end, r.label) for r in one.unionByName(none).toLocalIterator()]
+    # One pass finds the sample of both labels; a task sends on as many rows of a label as are wanted at most.
+    order = Window.partitionBy("label").orderBy(F.xxhash64("context"), "start", "end")
+    drawn = rows.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= settings.findings).drop("_rank")
+    return [(bytes(r.context), r.start, r.end, r.label) for r in drawn.orderBy(F.desc("label"), F.xxhash64("context"), "start", "end").toLocalIterator()]
 
 
 FINDINGS = "findings array<struct<start:long,end:long,score:double>>"
@@ -285,7 +286,8 @@ def _judged(contents: Sequence[bytes | None], forest: Forest, threshold: float)
 def scan(docs: DataFrame, forest: Forest, keep: Sequence[str], text: str = "text", threshold: float = 0.5) -> DataFrame:
     """Columns ``keep`` of each row and its findings: start and end in code points of the whole text, and the score.
 
-    A null or empty text has none. Row-local; repeated rows stay.
+    A null or empty text has none; a long text is scanned whole. Row-local: repeated rows stay, an
+    empty table gives an empty one, and a kept column of the name ``findings`` is replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(forest.trees)
 
