@@ -74,6 +74,10 @@ def cluster(points: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndar
     return at, np.array(limits, np.float32)
 
 
+#: Languages whose shares of the sample are sent to all executors, at most; of more, texts are joined by shuffle.
+FEW_LANGUAGES = 100_000
+
+
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
@@ -90,9 +94,11 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order: Colu
     """
     rows = labelled.select(F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").alias("lang"), F.xxhash64(F.col(f"`{text}`") if order is None else order).alias("_order"))
     rows = rows.filter("text <> '' AND lang IS NOT NULL")
-    found = rows.groupBy("lang").count()
     share = F.least(F.lit(settings.sample) / F.col("count"), F.lit(1.0)) * 1_000_000
-    sample = rows.join(found.withColumn("_share", share).drop("count"), "lang").filter(F.pmod("_order", F.lit(1_000_000)) < F.col("_share"))
+    shares = stored(rows.groupBy("lang").count().withColumn("_share", share).drop("count"))
+    if shares.count() <= FEW_LANGUAGES:
+        shares = F.broadcast(shares)
+    sample = rows.join(shares, "lang").filter(F.pmod("_order", F.lit(1_000_000)) < F.col("_share"))
     sample = stored(sample.select("lang", "text"))
 
     def frequencies(batches):
