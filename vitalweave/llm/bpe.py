@@ -82,6 +82,9 @@ class Recent:
         self.old: dict = {}
         self.held = 0
 
+    def forget(self) -> None:
+        self.new, self.old, self.held = {}, {}, 0
+
     def missing(self, key):
         """The value of a key that is not among the latest."""
         value = self.old.get(key)
@@ -242,6 +245,12 @@ class Encoder:
             ids += found
         return ids
 
+    def forget(self) -> None:
+        """Drop what was kept of earlier words."""
+        self.words.forget()
+        self.chunks.forget()
+        self.compatible.clear()
+
     def encode(self, text: str) -> list[int]:
         if self.special_split is None or "<|" not in text:
             return self._encode_plain(text)
@@ -275,7 +284,10 @@ def encode_texts(df: DataFrame, vocabulary: dict, text: str = "text", into: str
     def work(columns: list[pa.Array]) -> list[pa.Array]:
         return [_id_lists(worker_value(shared, Encoder), columns[0])]
 
-    return map_texts(df, df.columns if keep is None else keep, [F.col(f"`{text}`").cast("string")], f"`{into}` array<int>", work)
+    def ended() -> None:
+        worker_value(shared, Encoder).forget()
+
+    return map_texts(df, df.columns if keep is None else keep, [F.col(f"`{text}`").cast("string")], f"`{into}` array<int>", work, ended=ended)
 
 
 def decode_ids(df: DataFrame, vocabulary: dict, ids: str = "ids", into: str = "decoded", keep: Sequence[str] | None = None) -> DataFrame:
@@ -300,4 +312,7 @@ def round_trip(df: DataFrame, vocabulary: dict, text: str = "text", keep: Sequen
         ids = _id_lists(encoder, columns[0])
         return [ids, _texts_of(decoder, ids)]
 
-    return map_texts(df, df.columns if keep is None else keep, [F.col(f"`{text}`").cast("string")], "ids array<int>, decoded string", work)
+    def ended() -> None:
+        worker_value(shared, lambda v: (Encoder(v), Decoder(v)))[0].forget()
+
+    return map_texts(df, df.columns if keep is None else keep, [F.col(f"`{text}`").cast("string")], "ids array<int>, decoded string", work, ended=ended)

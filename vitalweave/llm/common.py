@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -47,6 +48,14 @@ def worker_value(shared, build: Callable):
     return made
 
 
+def give_back() -> None:
+    """Return memory that is free, but still held by the allocators, to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_texts(
     df: DataFrame,
     keep: Sequence[str],
@@ -54,11 +63,13 @@ def map_texts(
     added: str,
     work: Callable[[list[pa.Array]], list[pa.Array]],
     sized: bool = True,
+    ended: Callable[[], None] | None = None,
 ) -> DataFrame:
     """Columns ``keep`` of ``df`` and the columns ``added`` that ``work`` makes of the ``inputs``, batch by batch.
 
     ``work`` gets the arrays of a batch and returns one array for each added column, with as
-    many rows. Batches are cut by the bytes of the first input, or with ``sized`` off, by rows. Kept
+    many rows. Batches are cut by the bytes of the first input, or with ``sized`` off, by rows. After
+    the last one, ``ended`` runs and the worker gives free memory back: workers are used again. Kept
     columns travel under other names, so that no name can clash; one that is also added is
     replaced.
     """
@@ -74,6 +85,9 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, place) if sized else (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
             yield pa.RecordBatch.from_arrays([*batch.columns[:place], *work(batch.columns[place:])], names=names)
+        if ended is not None:
+            ended()
+        give_back()
 
     return rows.mapInArrow(run, schema).toDF(*keep, *fields.names)
 
