@@ -32,7 +32,7 @@ END_OF_WORD = "</w>"
 #: Word endings are other symbols than the same bytes inside a word.
 ENDING = 0xF0000
 #: Bytes of the entries that a memory of words takes up in a worker, at most, about.
-CACHED_BYTES = 48 << 20
+CACHED_BYTES = 36 << 20
 CACHED_PAIRS = 100_000
 CACHED_CHARS = 64
 #: White space as the regular expressions of the tokenizer files see it; str.split() also splits at U+001C to U+001F.
