@@ -18,16 +18,14 @@ import time
 from vitalweave.plans import PLANS
 from vitalweave.session import build_session
 from vitalweave.sources import fixtures
+from vitalweave.sources.reference_data import CLINICAL_RULES
 
 GLUCOSE = "resource_type = 'Observation' AND concept = 'blood-glucose' AND value >= 100"
-SSN = r"\\b\\d{{3}}-\\d{{2}}-\\d{{4}}\\b"
-DOB = r"\\b\\d{{1,2}}/\\d{{1,2}}/\\d{{4}}\\b"
-EMAIL = r"\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Z|a-z]{{2,}}\\b"
-PHONE = r"\\b\\d{{3}}-\\d{{3}}-\\d{{4}}\\b|\\b\\(\\d{{3}}\\)\\s?\\d{{3}}-\\d{{4}}\\b"
-MRN = r"MRN\\s*[:#]?\\s*[A-Z0-9-]{{6,}}"
 MASKED = "text"
-for _pattern, _mask in ((SSN, "***-**-****"), (DOB, "##/##/####"), (EMAIL, "***@***"), (PHONE, "(***) ***-****"), (MRN, "MRN-******")):
-    MASKED = f"regexp_replace({MASKED}, '{_pattern}', '{_mask}')"
+for _rule in CLINICAL_RULES:
+    # A backslash stands twice in a literal, a brace twice in a statement with names.
+    _pattern = _rule.pattern.replace("\\", "\\\\").replace("{", "{{").replace("}", "}}")
+    MASKED = f"regexp_replace({MASKED}, '{_pattern}', '{_rule.mask}')"
 NEWEST = "row_number() OVER (PARTITION BY {0} ORDER BY {1})"
 YARDSTICK = {
     "c3_cohort_count": f"SELECT count(DISTINCT patient_id) FROM {{facts}} WHERE {GLUCOSE}",
