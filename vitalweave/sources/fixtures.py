@@ -253,20 +253,20 @@ FROM {orders}""",
     "asks": """
 SELECT query_id, concat(owner, '-', CAST(query_id % 8 AS VARCHAR(20))) AS owner, asked_at,
        CASE WHEN query_id % 11 = 0 THEN CAST(7.5 AS DOUBLE) ELSE epsilon END AS epsilon FROM {room_log}""",
-    # A saved cohort of each customer: a text clause, bounds of the value and, for some, a time.
+    # A saved cohort of each supplier: a text clause, bounds of the value and, for some, a time.
     "cohort_clauses": """
-SELECT concat('cohort-', CAST(c_custkey AS VARCHAR(20))) AS cohort_id, 'concept' AS field,
-       CASE c_custkey % 4 WHEN 0 THEN '=' WHEN 1 THEN 'in' WHEN 2 THEN '!=' ELSE '>=' END AS op,
-       CASE c_custkey % 4 WHEN 0 THEN 'Heart-Rate' WHEN 1 THEN '(heart-rate,blood-glucose)' WHEN 2 THEN 'blood-pressure' ELSE 'blood-pressure' END AS value
-FROM {customer} WHERE c_custkey % 7 <> 3
+SELECT concat('cohort-', CAST(s_suppkey AS VARCHAR(20))) AS cohort_id, 'concept' AS field,
+       CASE s_suppkey % 4 WHEN 0 THEN '=' WHEN 1 THEN 'in' WHEN 2 THEN '!=' ELSE '>=' END AS op,
+       CASE s_suppkey % 4 WHEN 0 THEN 'Heart-Rate' WHEN 1 THEN '(heart-rate,blood-glucose)' WHEN 2 THEN 'blood-pressure' ELSE 'blood-pressure' END AS value
+FROM {supplier} WHERE s_suppkey % 7 <> 3
 UNION ALL
-SELECT concat('cohort-', CAST(c_custkey AS VARCHAR(20))), 'value', CASE c_custkey % 3 WHEN 0 THEN '>=' WHEN 1 THEN '>' ELSE '<' END,
-       CAST(c_custkey % 97 + 0.5 AS VARCHAR(20)) FROM {customer}
+SELECT concat('cohort-', CAST(s_suppkey AS VARCHAR(20))), 'value', CASE s_suppkey % 3 WHEN 0 THEN '>=' WHEN 1 THEN '>' ELSE '<' END,
+       CAST(s_suppkey % 97 + 0.5 AS VARCHAR(20)) FROM {supplier}
 UNION ALL
-SELECT concat('cohort-', CAST(c_custkey AS VARCHAR(20))), 'value', '<=', CAST(c_custkey % 97 + 20 AS VARCHAR(20)) FROM {customer} WHERE c_custkey % 5 <> 0
+SELECT concat('cohort-', CAST(s_suppkey AS VARCHAR(20))), 'value', '<=', CAST(s_suppkey % 97 + 20 AS VARCHAR(20)) FROM {supplier} WHERE s_suppkey % 5 <> 0
 UNION ALL
-SELECT concat('cohort-', CAST(c_custkey AS VARCHAR(20))), 'timestamp', '>=', concat('2024-01-', lpad(CAST(1 + c_custkey % 28 AS VARCHAR(20)), 2, '0'))
-FROM {customer} WHERE c_custkey % 6 = 0""",
+SELECT concat('cohort-', CAST(s_suppkey AS VARCHAR(20))), 'timestamp', '>=', concat('2024-01-', lpad(CAST(1 + s_suppkey % 28 AS VARCHAR(20)), 2, '0'))
+FROM {supplier} WHERE s_suppkey % 6 = 0""",
     # Each intake visit links the patient to a master.
     "fact_links": """
 SELECT id, concat(master_id, '-', CAST(id % 3 AS VARCHAR(20))) AS master_id, patient_id,
