@@ -31,13 +31,15 @@ class TextBatch:
         self.counts = np.zeros((len(raw), _CLASSES), dtype=np.uint16 if width < 2**16 else np.uint32)
         places, rows = np.nonzero(np.arange(width)[:, None] < self.lengths)
         np.add.at(self.counts, (rows, self.codes[places, rows] % _CLASSES), 1)
+        #: Equal for texts with the same bytes in any order.
+        self.keys = np.array([hash(bytes(sorted(r))) for r in raw], dtype=np.int64)
 
     def __len__(self) -> int:
         return len(self.lengths)
 
     def take(self, rows: np.ndarray) -> "TextBatch":
         part = object.__new__(TextBatch)
-        part.lengths, part.codes, part.counts = self.lengths[rows], self.codes[:, rows], self.counts[rows]
+        part.lengths, part.codes, part.counts, part.keys = self.lengths[rows], self.codes[:, rows], self.counts[rows], self.keys[rows]
         return part
 
     def right_side(self) -> np.ndarray:
@@ -104,15 +106,36 @@ def _bounds(left: TextBatch, right: TextBatch) -> np.ndarray:
     return found + 1e-9
 
 
-def best_matches(texts: Sequence[str], many: TextBatch, floor: float, probe: int = 16) -> list[tuple[int, float] | None]:
-    """For each text the row of ``many`` with the highest score of at least ``floor``; the lowest row wins a tie.
+def pair_bounds(left: TextBatch, right: TextBatch, fixed: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Greatest score of text i of ``left`` with text j of ``right``, of pairs that miss at most one byte of each other.
+
+    Texts of one size are taken to miss one byte each, unless they have the same bytes. Those with the same
+    bytes lose by each two bytes that change places, or by the two that are too far off to match.
+    """
+    a, b = left.lengths[i], right.lengths[j]
+    shared = np.where(a == b, a - (left.keys[i] != right.keys[j]), np.minimum(a, b))
+    jaro = (shared / a + shared / b + 1) / 3
+    same = np.flatnonzero((shared == a) & (a == b))
+    if len(same):
+        height = min(left.codes.shape[0], fixed.shape[0])
+        x, y = i[same], j[same]
+        apart = np.zeros(len(same), np.int64)
+        for place in range(height):
+            # Both paddings count as different, so they are left out by size.
+            apart += (left.codes[place, x] != fixed[place, y]) & (place < a[same])
+        jaro[same] = 1 - np.minimum(apart // 2, 2) / (3 * a[same])
+    return _boost(jaro, _prefix(left.codes[:, i], fixed[:, j])) + 1e-9
+
+
+def best_matches(texts: Sequence[str], many: TextBatch, floor: float | Sequence[float], probe: int = 16) -> list[tuple[int, float] | None]:
+    """For each text the row of ``many`` with the highest score of at least ``floor`` (or its own floor); the lowest row wins a tie.
 
     Rows are scored in rounds by falling bound, until no row left could reach the best
     score found so far. None that could win is skipped.
     """
     left = TextBatch(texts)
     bounds = _bounds(left, many)
-    best = np.full(len(left), floor, dtype=float)
+    best = np.array(np.broadcast_to(floor, len(left)), dtype=float)
     rows = np.full(len(left), -1, dtype=np.int64)
     active, width = np.arange(len(left)), min(probe, len(many))
     while len(active) and width:

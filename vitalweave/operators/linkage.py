@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from vitalweave.functions.groups import top_n_per_key
 from vitalweave.functions.scalars import clean, present
 from vitalweave.functions.similarity import TextBatch, best_matches
+from vitalweave.operators.near_texts import best_by_text, byte_numbers, equal_bytes, near_matches, tiles
 from vitalweave.session import cut_lineage
 
 THRESHOLD = 0.85
@@ -56,20 +57,7 @@ def link_known(df: DataFrame, known: DataFrame) -> DataFrame:
     )
 
 
-def _tiles(rows: DataFrame, tile: int, side: str) -> tuple[DataFrame, DataFrame]:
-    """Distinct texts of a block in groups of about ``tile``, and the number of groups of each block."""
-    sizes = rows.groupBy("_block").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias(f"_{side}_tiles"))
-    numbered = rows.join(sizes, "_block").withColumn(
-        f"_{side}_tile", F.pmod(F.xxhash64("_text"), F.col(f"_{side}_tiles")).cast("int")
-    )
-    # Without this exchange the grouping would reuse the partitions of the join, one per block.
-    spread = numbered.repartition("_block", f"_{side}_tile")
-    items = F.collect_list(F.struct(*[c for c in ("_text", "_ref") if c in rows.columns]))
-    grouped = spread.groupBy("_block", f"_{side}_tile").agg(items.alias(f"_{side}"))
-    return grouped, sizes
-
-
-def _score_tiles(floor: float):
+def _score_tiles():
     """Best registry row for each incoming text of a tile pair, in one pass over Arrow batches.
 
     Pairs with the same registry tile arrive together, so its encoding is kept for the next pair.
@@ -79,12 +67,12 @@ def _score_tiles(floor: float):
         held, refs, encoded = None, [], None
         for batch in batches:
             rows: list[tuple] = []
-            for block, tile, incoming, texts, numbers in batch.itertuples(index=False):
+            for block, tile, incoming, floors, texts, numbers in batch.itertuples(index=False):
                 if held != (block, tile):
                     order = sorted(range(len(numbers)), key=lambda i: numbers[i])
                     held, refs = (block, tile), [numbers[i] for i in order]
                     encoded = TextBatch([texts[i] for i in order])
-                for text, found in zip(incoming, best_matches(list(incoming), encoded, floor)):
+                for text, found in zip(incoming, best_matches(list(incoming), encoded, floors)):
                     if found is not None:
                         rows.append((block, text, refs[found[0]], found[1]))
             yield pd.DataFrame(rows, columns=["_block", "_text", "_ref", "_score"])
@@ -97,7 +85,8 @@ def best_candidates(
 ) -> DataFrame:
     """(block, text, ref, score) of the best registry row for each distinct incoming text.
 
-    Copies collapse first, equal texts are settled by a plain join, and the rest is
+    Copies collapse first, equal texts are settled by a plain join, most others by
+    :func:`near_matches`, and those that may have a better partner elsewhere are
     scored tile against tile: a pair of rows never becomes a row, no task holds more
     than one tile of each side at a time, and a hot block is spread over its tiles.
     Every registry text of the block is considered.
@@ -113,9 +102,10 @@ def best_candidates(
     known = cut_lineage(known)
     settled = cut_lineage(asked.join(known, ["_block", "_text"], "left"))
     equal = settled.filter(F.col("_ref").isNotNull()).withColumn("_score", F.lit(1.0))
-    open_ = settled.filter(F.col("_ref").isNull()).drop("_ref")
-    left, _ = _tiles(open_, tile, "left")
-    right, right_sizes = _tiles(known, tile, "right")
+    near, open_ = near_matches(settled.filter(F.col("_ref").isNull()).drop("_ref"), known, threshold, tile)
+    open_ = cut_lineage(reachable(open_, known))
+    left, _ = tiles(open_, tile, "left", ["_block"])
+    right, right_sizes = tiles(known.join(open_.select("_block").distinct(), "_block", "left_semi"), tile, "right", ["_block"])
     # One copy of an incoming tile per registry tile; pairs of tiles then spread a hot block.
     spread = left.join(right_sizes, "_block").select(
         "_block", "_left_tile", "_left", F.explode(F.sequence(F.lit(0), F.col("_right_tiles") - 1)).alias("_right_tile")
@@ -125,15 +115,24 @@ def best_candidates(
     tasks = 4 * int(incoming.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = spread.join(right, ["_block", "_right_tile"]).repartition(tasks, "_block", "_right_tile", "_left_tile")
     pairs = placed.select(
-        "_block", "_right_tile", "_left._text", F.col("_right._text").alias("_texts"), F.col("_right._ref").alias("_refs")
+        "_block", "_right_tile", "_left._text", "_left._floor", F.col("_right._text").alias("_texts"), F.col("_right._ref").alias("_refs")
     )
     kinds = {f.name: f.dataType.simpleString() for f in known.schema.fields}
-    scored = pairs.mapInPandas(
-        _score_tiles(threshold), f"_block {kinds['_block']}, _text string, _ref {kinds['_ref']}, _score double"
-    )
-    top = F.min_by("_ref", F.struct((-F.col("_score")).alias("s"), "_ref"))
-    best = scored.groupBy("_block", "_text").agg(top.alias("_ref"), F.max("_score").alias("_score"))
-    return equal.unionByName(best)
+    scored = pairs.mapInPandas(_score_tiles(), f"_block {kinds['_block']}, _text string, _ref {kinds['_ref']}, _score double")
+    return equal.unionByName(best_by_text(near.unionByName(scored)))
+
+
+def reachable(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """The asked texts (block, text, floor) that have enough bytes in common with all known texts of some size together."""
+    def counted(rows: DataFrame, *names: str) -> DataFrame:
+        return rows.select("_block", *names, F.octet_length("_text").alias("_size"), F.explode(byte_numbers("_text")).alias("_token"))
+
+    known = known.join(asked.select("_block").distinct(), "_block", "left_semi").filter("_text <> ''")
+    held = cut_lineage(counted(known).distinct().withColumnRenamed("_size", "_other"))
+    shared = counted(asked, "_text", "_floor").join(held, ["_block", "_token"]).groupBy("_block", "_text", "_floor", "_size", "_other").count()
+    enough = F.col("count") >= equal_bytes(F.col("_floor"), F.col("_size"), F.col("_other"))
+    empty = asked.filter("_text = ''")
+    return shared.filter(enough).select("_block", "_text", "_floor").distinct().unionByName(empty)
 
 
 def link_probabilistic(
