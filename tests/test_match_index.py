@@ -72,3 +72,22 @@ def test_block_is_required_and_empty_tables_work(spark, tmp_path):
     assert [(r.reg_id, r.score, r.method) for r in M.link_indexed(rows, index, "block").collect()] == [(None, 1.0, "new")]
     assert shared_dir(spark)
     assert rows.select(F.col("id")).count() == 1
+
+
+def test_texts_with_a_slip_need_no_candidates(spark, tmp_path, monkeypatch):
+    known = [("b", f"pat-{(k * 7919) % 1000003:07d}-ab", f"m{k:04d}") for k in range(2000)]
+    index = M.MatchIndex.build(spark.createDataFrame(known, "block string, text string, ref string"), str(tmp_path / "index"), "block", "text", "ref")
+    seen = []
+    searched = M.MatchIndex.candidates
+
+    def candidates(self, asked, score):
+        found = searched(self, asked, score)
+        seen.append(found.count())
+        return found
+
+    monkeypatch.setattr(M.MatchIndex, "candidates", candidates)
+    asked = {("b", t[:8] + t[9] + t[8] + t[10:]) for _, t, _ in known[:60]} | {("b", "PAT-0000001-AB"), ("b", known[7][1])}
+    found = {(r.block, r.text): (r.ref, r.score) for r in index.match(spark.createDataFrame(sorted(asked), "block string, text string")).collect()}
+    assert found == brute(asked, known)
+    # Those that the classes of equal bytes settle are not looked up by their rare bytes.
+    assert sum(seen) < 5

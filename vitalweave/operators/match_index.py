@@ -10,7 +10,6 @@ the higher the score, the fewer bytes need to be looked up.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Mapping
 
 import pandas as pd
@@ -19,42 +18,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitalweave.functions.scalars import present
-from vitalweave.functions.similarity import PREFIX_LIMIT, PREFIX_WEIGHT, jaro_winkler
-from vitalweave.operators.linkage import THRESHOLD
+from vitalweave.functions.similarity import jaro_winkler
+from vitalweave.operators.linkage import THRESHOLD, TILE
+from vitalweave.operators.near_texts import SLACK, byte_tokens, equal_bytes, near_matches, share
 from vitalweave.session import cut_lineage
 
 #: Scores at which a search looks before it goes down to its threshold.
 ROUNDS = (0.97, 0.93, 0.89)
 #: Repetitions of a byte in a text that are counted one by one; the order table has 256 times as many rows.
 COUNTED = 16
-SLACK = 1e-6
 BASE = -1
 TEXTS = "block string, text string, size int, ref string, batch_id long"
 ENTRIES = "block string, size int, token int, place int, text string, ref string, batch_id long"
 ORDER = "token int, n long"
 
 
-def _share(score: float) -> float:
-    """The least sum of the shares of equal bytes in both texts; the common start may add as much as it ever does."""
-    most = PREFIX_LIMIT * PREFIX_WEIGHT
-    return 3 * (score - most) / (1 - most) - 1
-
-
-def equal_bytes(score: float, size: Column, other: Column) -> Column:
-    """Number of equal bytes without which two texts of these sizes score less."""
-    return F.ceil(F.lit(_share(score)) * size * other / (size + other) - F.lit(SLACK)).cast("int")
-
-
-def byte_tokens(text: str) -> list[int]:
-    """The bytes of a text, each with the number of times that it has come before."""
-    seen: Counter = Counter()
-    tokens = []
-    for byte in text.encode("utf-8"):
-        tokens.append(seen[byte] << 8 | byte)
-        seen[byte] += 1
-    return tokens
-
-
 def _in_order(counts: Mapping[int, int]):
     """Tokens of a text, the rarest first; any fixed order gives the same links."""
 
@@ -100,7 +78,7 @@ class MatchIndex:
         sized = cut_lineage(known.withColumn("size", F.octet_length("text")))
         sized.write.mode("overwrite").parquet(f"{self.path}/texts/batch_id={batch_id}")
         # A text looks its own bytes up from the front; no search goes further than this.
-        first = F.col("size") - F.ceil(F.lit(max(_share(THRESHOLD) - 1, 0.0)) * F.col("size") - F.lit(SLACK)).cast("int") + 1
+        first = F.col("size") - F.ceil(F.lit(max(share(THRESHOLD) - 1, 0.0)) * F.col("size") - F.lit(SLACK)).cast("int") + 1
         entries = sized.select("*", F.posexplode(F.slice(self.tokens("text"), F.lit(1), first)).alias("place", "token"))
         entries.select("block", "size", "token", "place", "text", "ref").write.mode("overwrite").parquet(f"{self.path}/entries/batch_id={batch_id}")
 
@@ -138,17 +116,27 @@ class MatchIndex:
         if threshold < THRESHOLD:
             raise ValueError(f"the index serves scores from {THRESHOLD} on")
         asked = cut_lineage(self.asked(texts))
-        known = self.known()
-        found = [cut_lineage(asked.select("block", "text").join(known, ["block", "text"]).withColumn("score", F.lit(1.0)))]
+        # Blocks that are not asked for are not read further.
+        known = cut_lineage(self.known().join(asked.select("block").distinct(), "block", "left_semi"))
+        equal = cut_lineage(asked.select("block", "text").join(known, ["block", "text"]).withColumn("score", F.lit(1.0)))
+        asked = asked.join(equal.select("block", "text"), ["block", "text"], "left_anti")
+        private = {c: f"_{c}" for c in ("block", "text", "ref")}
+        near, left = near_matches(asked.select("block", "text").withColumnsRenamed(private), known.withColumnsRenamed(private), threshold, TILE)
+        found = [near.toDF("block", "text", "ref", "score")]
+        # Other texts may serve those left as well as the best so far, or better.
+        asked = cut_lineage(asked.join(left.toDF("block", "text", "floor"), ["block", "text"]))
         for score in [*(r for r in ROUNDS if r > threshold), threshold]:
-            asked = cut_lineage(asked.join(found[-1].select("block", "text"), ["block", "text"], "left_anti"))
             if asked.isEmpty():
                 break
             found.append(cut_lineage(best_of(self.candidates(asked, score), score)))
+            done = found[-1].select("block", "text")
+            asked = cut_lineage(asked.filter(F.col("floor") < score).join(done, ["block", "text"], "left_anti"))
         whole = found[0]
         for part in found[1:]:
             whole = whole.unionByName(part)
-        return whole
+        top = F.min_by("ref", F.struct((-F.col("score")).alias("s"), "ref"))
+        best = whole.groupBy("block", "text").agg(top.alias("ref"), F.max("score").alias("score"))
+        return cut_lineage(equal.unionByName(best))
 
 
 def best_of(pairs: DataFrame, score: float) -> DataFrame:
