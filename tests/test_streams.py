@@ -159,3 +159,13 @@ def test_letters_are_mended_and_replayed_once(spark, tmp_path):
         flow.replay_letters(spark, out, checkpoint, catalog, "salt", links).awaitTermination()
         assert sorted(r.id for r in flow.read_store(spark, out, "facts").collect()) == ["1", "2"]
         assert [r.stage for r in flow.open_letters(spark, out).collect()] == ["validate"]
+
+
+def test_messages_of_one_file_are_prepared_by_many_tasks(spark, tables, tmp_path, monkeypatch):
+    folder = str(tmp_path / "topic")
+    write_events(messages(tables["payloads"]).coalesce(1), folder)
+    tasks = []
+    monkeypatch.setattr(flow, "store_batch", lambda records, *rest: tasks.append(records.rdd.getNumPartitions()))
+    stream = read_events(spark, "parquet", {"path": folder})
+    flow.run_flow(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint"), catalog_df(spark, CLINICAL_CONCEPTS), "salt", tables["links"].limit(0)).awaitTermination()
+    assert tasks == [int(spark.conf.get("spark.sql.shuffle.partitions"))]

@@ -227,7 +227,7 @@ def run_flow(
     """Start the stream over decoded events; it stops by itself when the available input is stored.
 
     The stages up to the canonical record belong to the streaming plan, which is built
-    once; a batch only links and writes. With a ``delay``, an event id that comes again
+    once; a batch only links and writes. Messages are dealt evenly to tasks first. With a ``delay``, an event id that comes again
     within it is stored once. The links known at the start are reduced to one master for
     each key before the first batch. ``lane`` keeps the batches of another run into the same
     tables apart; ``similar``, ``entity`` and ``keyed_features`` are those of :func:`store_batch`.
@@ -240,6 +240,9 @@ def run_flow(
     if delay:
         timed = events.withColumn("sent_at", rfc3339_time("timestamp").cast("timestamp"))
         events = dedupe_events(timed, delay, "sent_at")
+    else:
+        # Parsing and masking are the work here, not the bytes: a source of few splits would keep them in few tasks.
+        events = events.repartition(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return (
         prepare(events, catalog, salt, **options)
         .writeStream.foreachBatch(store)
